@@ -175,3 +175,20 @@ def p8_round_trip(spark: SparkSession, sf: str) -> DataFrame:
 
     ids = encode_corpus(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
     return decode_corpus(ids, F.col("doc_id"), F.col("ids"))
+
+
+# ---------------------------------------------------------------- problem 5
+
+
+def _texts(spark: SparkSession, sf: str) -> DataFrame:
+    questions = table(spark, sf, "sub_questions").select(F.lit(0).alias("space"), F.col("id").cast("long").alias("id"), "text")
+    topics = table(spark, sf, "topics").select(F.lit(1).alias("space"), F.col("id").cast("long").alias("id"), F.col("representative_text").alias("text"))
+    return questions.unionByName(topics)
+
+
+@query()
+def p5_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillmine.llm.similarity import near_duplicates
+
+    pairs = near_duplicates(spark, _texts(spark, sf))
+    return pairs.select(F.when(F.col("space") == 0, "sub_questions").otherwise("topics").alias("source_table"), F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
