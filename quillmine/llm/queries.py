@@ -25,6 +25,47 @@ def query(sql: str | None = None):
     return add
 
 
+# ---------------------------------------------------------------- problem 1
+
+
+def _papers(spark: SparkSession, sf: str) -> DataFrame:
+    from quillmine.llm.history import hash_digits, month_of
+
+    return table(spark, sf, "papers").select("id", hash_digits(F.col("content_hash")).alias("digits"), month_of(F.col("created_at")).alias("batch"), (F.col("status") == "approved").alias("accepted"))
+
+
+@query()
+def p1_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillmine.llm.history import seen_hashes, seen_texts
+
+    papers = _papers(spark, sf)
+    rows = table(spark, sf, "sub_questions").select("id", "paper_id", "text")
+    texts = seen_texts(rows, papers.select(F.col("id").alias("paper_id"), "batch", "accepted"))
+    return seen_hashes(papers).select(F.lit("paper").alias("kind"), "id").unionByName(texts.select(F.lit("sub_question").alias("kind"), "id"))
+
+
+@query("""
+    WITH p AS (SELECT id, year(created_at) * 12 + month(created_at) AS batch, status = 'approved' AS accepted,
+                      nullif(regexp_extract(lower(content_hash), '([0-9a-f]{64})[^0-9a-z]*$', 1), '') AS digits FROM papers)
+    SELECT id FROM p WHERE digits IS NOT NULL AND EXISTS (SELECT 1 FROM p q WHERE q.accepted AND q.digits = p.digits AND q.batch < p.batch)""")
+def p1_papers(spark: SparkSession, sf: str) -> DataFrame:
+    """Papers whose file an accepted paper of an earlier month holds."""
+    from quillmine.llm.history import seen_hashes
+
+    return seen_hashes(_papers(spark, sf))
+
+
+@query()
+def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes of each question, and those in byte chunks that accepted papers of earlier months hold."""
+    from quillmine.llm.history import chunk_table, coverage
+
+    questions = table(spark, sf, "sub_questions")
+    papers = _papers(spark, sf).select(F.col("id").alias("paper_id"), "batch", "accepted")
+    batches = questions.select("id", "paper_id").join(papers, "paper_id").select("id", "batch", "accepted")
+    return coverage(chunk_table(questions.select("id", "text")), batches)
+
+
 # ---------------------------------------------------------------- problem 2
 
 
@@ -97,10 +138,14 @@ def p3_golden(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _keyed(spark: SparkSession, sf: str) -> DataFrame:
+    """Keys of all questions; the papers of the latest month are a batch of their own, the rest was there before."""
+    from quillmine.llm.history import month_of
     from quillmine.llm.ledger import canonical_key
 
-    rows = table(spark, sf, "sub_questions").select("id", canonical_key(F.col("text")).alias("key"), F.pmod("paper_id", F.lit(2)).alias("batch"))
-    return materialize(rows, "keyed")
+    rows = materialize(table(spark, sf, "sub_questions").select("id", "paper_id", canonical_key(F.col("text")).alias("key")), "keyed")
+    papers = table(spark, sf, "papers").select(F.col("id").alias("paper_id"), month_of(F.col("created_at")).alias("month"))
+    last = papers.agg(F.max("month")).first()[0] or 0
+    return materialize(rows.join(papers, "paper_id", "left").select("id", "key", (F.coalesce("month", F.lit(0)) == last).alias("latest")), "batched")
 
 
 _P6_KEY = """list_sort(list_filter(list_transform(string_split(text, '|'), lambda c: regexp_replace(lower(c), '[^\\p{L}\\p{N}]+', '', 'g')), lambda c: c <> ''))"""
@@ -114,7 +159,7 @@ def p6_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillmine.llm.ledger import ledger_of
 
     rows = _keyed(spark, sf)
-    ledger = ledger_of(rows, [F.col("batch") == 0, F.coalesce("batch", F.lit(1)) == 1])
+    ledger = ledger_of(rows, [~F.col("latest"), F.col("latest")])
     firsts = ledger.table().filter("copies > 1").select("key", "first_id")
     return rows.select("id", "key").join(firsts, "key").filter("id <> first_id").select(F.col("first_id").cast("int").alias("first_id"), F.col("id").alias("copy_id"))
 
@@ -125,7 +170,7 @@ def p6_counts(spark: SparkSession, sf: str) -> DataFrame:
     """One row per different text with the number of its copies."""
     from quillmine.llm.ledger import ledger_of
 
-    ledger = ledger_of(_keyed(spark, sf), [F.col("batch") == 0, F.coalesce("batch", F.lit(1)) == 1])
+    ledger = ledger_of(_keyed(spark, sf), [~F.col("latest"), F.col("latest")])
     return ledger.table().select("first_id", "copies")
 
 
