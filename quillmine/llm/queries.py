@@ -237,3 +237,21 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
 
     pairs = near_duplicates(spark, _texts(spark, sf))
     return pairs.select(F.when(F.col("space") == 0, "sub_questions").otherwise("topics").alias("source_table"), F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
+
+
+# ---------------------------------------------------------------- problem 10
+
+
+@query()
+def p10_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillmine.llm.spans import sharing_pairs
+
+    return sharing_pairs(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+
+
+@query()
+def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
+    """Of each document, how many of its characters stand in long runs that another document has too."""
+    from quillmine.llm.spans import shared_share
+
+    return shared_share(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
