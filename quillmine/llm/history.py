@@ -52,28 +52,26 @@ def seen_hashes(papers: DataFrame) -> DataFrame:
     return rows.join(since, "digits").filter("batch > since").select("id")
 
 
-def _earlier(left: dict[str, np.ndarray], right: dict[str, np.ndarray]) -> np.ndarray:
-    return (left["since"] < right["last"]) | (right["since"] < left["last"])
-
-
 def seen_texts(rows: DataFrame, batches: DataFrame, tenths: int = 7) -> DataFrame:
     """``id`` of rows near-duplicate to a row of an accepted paper of an earlier batch.
 
     ``rows``: ``id`` long, ``paper_id``, ``text``; ``batches``: ``paper_id``, ``batch`` int, ``accepted`` boolean.
+    All batches are judged in one pass: a pair counts where one side was accepted before the other's last batch.
     """
-    members, found = similarity.classes(rows.withColumn("space", F.lit(0)))
-    members = members.join(batches, "paper_id").filter(F.col("batch").isNotNull()).select("uid", "id", "batch", "accepted")
+    hashed = similarity.hashed_rows(rows.withColumn("space", F.lit(0)))
+    members = materialize(hashed.select("uid", "id", "paper_id").join(batches, "paper_id").filter(F.col("batch").isNotNull()).select("uid", "id", "batch", "accepted"), "members")
     times = members.groupBy("uid").agg(F.coalesce(F.min(F.when(F.col("accepted"), F.col("batch"))), F.lit(NEVER)).alias("since"), F.max("batch").alias("last"))
-    found = materialize(found.join(times, "uid"), "history")
-    order = similarity.word_order(found)
-    blocks = 1 + found.count() // 400_000
-    carry = ("since", "last")
-    columns = similarity.matrix(found, order, tenths, min(blocks, 64), carry)
-    pairs = similarity.confirmed(similarity.candidates(columns, tenths, _earlier, carry), found, tenths)
-    times = found.select("uid", "since")
+    times = materialize(times, "times")
+
+    def of(side: str) -> DataFrame:
+        return times.select(F.col("uid").alias(side), F.col("since").alias(f"since_{side}"), F.col("last").alias(f"last_{side}"))
+
+    pairs = similarity.candidate_pairs(hashed, tenths).join(of("a"), "a").join(of("b"), "b")
+    pairs = pairs.filter("since_a < last_b or since_b < last_a").select("a", "b")
+    pairs = similarity.confirmed(materialize(pairs, "pairs"), hashed, tenths)
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("uid")), F.struct(F.col("b").alias("at"), F.col("a").alias("uid")))).alias("p")).select("p.*")
-    near = both.join(times.filter(F.col("since") < NEVER), "uid").select(F.col("at").alias("uid"), "since")
-    first = near.unionByName(times).groupBy("uid").agg(F.min("since").alias("since"))
+    near = both.join(times.select("uid", "since").filter(F.col("since") < NEVER), "uid").select(F.col("at").alias("uid"), "since")
+    first = near.unionByName(times.select("uid", "since")).groupBy("uid").agg(F.min("since").alias("since"))
     return members.join(first, "uid").filter("batch > since").select("id")
 
 
@@ -133,38 +131,30 @@ def coverage(chunks: DataFrame, batch_of: DataFrame) -> DataFrame:
 class History:
     """Accepted records of earlier batches in durable tables: ``check`` a batch, then ``append`` what was accepted."""
 
-    def __init__(self, spark: SparkSession, order: similarity.WordOrder, tenths: int = 7) -> None:
-        self.spark, self.order, self.tenths = spark, order, tenths
+    def __init__(self, spark: SparkSession, order: similarity.WordOrder, tenths: int = 7, parts: int = 8) -> None:
+        self.spark, self.order, self.tenths, self.parts = spark, order, tenths, parts
         self.columns: list[str] = []
         self.words: list[str] = []
 
-    def _classes(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        members, found = similarity.classes(rows.select("id", "text").withColumn("space", F.lit(0)))
-        return members, found
-
     def check(self, rows: DataFrame) -> DataFrame:
         """``id`` of the batch rows (``id``, ``text``) that the history already holds, exactly or nearly."""
-        members, found = self._classes(rows)
+        new = similarity.hashed_rows(rows.select("id", "text").withColumn("space", F.lit(0)))
         if not self.columns:
-            return members.select("id").limit(0)
-        found = materialize(found.withColumn("old", F.lit(0)), "batch")
-        held = self.spark.read.parquet(*self.columns)
-        old_words = self.spark.read.parquet(*self.words).dropDuplicates(["uid"])
-        same = found.join(old_words.select("uid"), "uid", "left_semi").select("uid")
-        new = similarity.matrix(found, self.order, self.tenths, 1, ("old",))
-        pairs = similarity.candidates(new.unionByName(held), self.tenths, lambda a, b: a["old"] != b["old"], ("old",))
-        every = found.select("uid", "space", "words").unionByName(old_words.select("uid", "space", "words")).dropDuplicates(["uid"])
-        near = similarity.confirmed(pairs, every, self.tenths)
+            return new.select("id").limit(0)
+        old = self.spark.read.parquet(*self.words)
+        same = new.select("uid").join(old.select("uid"), "uid", "left_semi")
+        columns = similarity.matrix(new, self.order, self.tenths, self.parts).unionByName(self.spark.read.parquet(*self.columns))
+        pairs = similarity.candidates(columns, self.tenths, self.parts, against_old=True)
+        near = similarity.confirmed(pairs, new.select("uid", "words").unionByName(old.select("uid", "words")), self.tenths)
         hit = near.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(same).distinct()
-        return members.join(hit, "uid", "left_semi").select("id")
+        return new.join(hit, "uid", "left_semi").select("id")
 
     def append(self, rows: DataFrame) -> None:
         """Add the chunks of accepted rows; earlier tables are never rewritten."""
-        _, found = self._classes(rows)
         words, columns = work_path(self.spark, "history-words"), work_path(self.spark, "history-chunks")
-        found.write.parquet(words)
-        found = self.spark.read.parquet(words)
-        similarity.matrix(found.withColumn("old", F.lit(1)), self.order, self.tenths, 1, ("old",)).write.parquet(columns)
+        hashed = similarity.hashed_rows(rows.select("id", "text").withColumn("space", F.lit(0)))
+        hashed.select("uid", "space", "words").write.parquet(words)
+        similarity.matrix(hashed, self.order, self.tenths, self.parts, old=True).write.parquet(columns)
         self.words.append(words)
         self.columns.append(columns)
 

@@ -235,7 +235,7 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillmine.llm.similarity import near_duplicates
 
-    pairs = near_duplicates(spark, _texts(spark, sf))
+    pairs = near_duplicates(_texts(spark, sf))
     return pairs.select(F.when(F.col("space") == 0, "sub_questions").otherwise("topics").alias("source_table"), F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
 
 

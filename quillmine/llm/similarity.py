@@ -7,9 +7,12 @@ enough must share a word among the first ``p = n - ceil(t n) + 1`` of each, two
 ``p + 1`` and three among the first ``p + 2``.  Rare words are therefore columns of their own,
 frequent words count only in pairs, and the most frequent only in threes, which bounds the length
 of a column.  Inside a block, pairs are dropped by the bound that their sizes give for the number of
-differing words, against a lower bound of that number from 128-bit parity sketches; the remaining
+differing words, against a lower bound of that number from 64-bit parity sketches; the remaining
 pairs are counted exactly.
 
+Words are compared by 32-bit hashes; that two of a pair's words are taken for one has a chance of
+some 4e-7 for texts of 30 words.
+
 Defined results: null texts and texts with fewer than ``least`` words are similar to nothing;
 repeated rows are copies of one class; an empty table gives no pair.
 """
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 from quillmine.session import materialize
 
-#: Words whose frequency is known to every task; a fixed bound of the broadcast (1 MB).
+#: Words whose frequency is known to every task; a fixed bound of what is sent to them (1 MB).
 KNOWN_WORDS = 65_536
 ALONE_UP_TO, PAIRED_UP_TO = 200, 4_000
 LEAST_WORDS = 8
@@ -34,20 +37,47 @@ PAIRS_AT_ONCE = 4_000_000
 
 
 def word_hashes(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the words of a text: runs of letters and digits in lower case."""
+    """Sorted distinct 32-bit hashes of the words of a text: runs of letters and digits in lower case."""
     words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
-    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
+    return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.hash(w))))
 
 
-def classes(rows: DataFrame, least: int = LEAST_WORDS) -> tuple[DataFrame, DataFrame]:
-    """Split rows (``space``, ``id``, ``text`` and more) into members (row, ``uid``) and classes (``uid``, ``words``).
+def hashed_rows(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+    """Rows (``space``, ``id``, ``text`` and more) with ``uid`` and ``words`` for ``text``; rows with equal words have one uid.
 
     Rows of different spaces are never compared.
     """
     kept = [c for c in rows.columns if c != "text"]
     hashed = rows.filter(F.col("text").isNotNull()).select(*kept, word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= least)
-    hashed = materialize(hashed.select(*kept, F.xxhash64("space", "words").alias("uid"), "words"), "words")
-    return hashed.drop("words"), hashed.groupBy("uid").agg(F.first("space").alias("space"), F.first("words").alias("words"))
+    return materialize(hashed.select(*kept, F.xxhash64("space", "words").alias("uid"), "words"), "words")
+
+
+def _pack(part: np.ndarray, parts: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
+    """One row per part with the bytes of its entries: a shuffle moves blocks instead of single entries."""
+    by = np.argsort(part, kind="stable")
+    arrays = [a[by] for a in arrays]
+    ends = np.searchsorted(part[by], np.arange(parts + 1))
+    used = np.flatnonzero(np.diff(ends))
+    blobs = [b"".join(a[ends[i] : ends[i + 1]].tobytes() for a in arrays) for i in used]
+    return pa.RecordBatch.from_arrays([pa.array(used.astype(np.int32)), pa.array(blobs, pa.binary())], names=["part", "block"])
+
+
+def _unpack(batches: Iterator[pa.RecordBatch], kinds: tuple[type, ...]) -> list[np.ndarray]:
+    width = sum(np.dtype(k).itemsize for k in kinds)
+    out: list[list[np.ndarray]] = [[np.empty(0, k)] for k in kinds]
+    for batch in batches:
+        for block in batch.column("block"):
+            data = block.as_buffer()
+            n, at = data.size // width, 0
+            for held, kind in zip(out, kinds, strict=True):
+                held.append(np.frombuffer(data, kind, n, at))
+                at += n * np.dtype(kind).itemsize
+    return [np.concatenate(x) for x in out]
+
+
+def _parts(spark: SparkSession, entries: int) -> int:
+    """Number of shuffle parts: the session's, or more so that a part holds some two million entries."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // 2_000_000)
 
 
 @dataclass(frozen=True)
@@ -59,12 +89,34 @@ class WordOrder:
     counts: np.ndarray
 
 
-def word_order(found: DataFrame) -> WordOrder:
-    """Frequencies of the words over all classes; the most frequent ``KNOWN_WORDS`` go to the driver."""
-    counted = found.select(F.explode("words").alias("w")).groupBy("w").count().filter(F.col("count") > ALONE_UP_TO // 4)
-    top = counted.orderBy(F.desc("count"), "w").limit(KNOWN_WORDS).toPandas()
-    top = top.sort_values(["count", "w"], kind="stable")
-    hashes, counts = top["w"].to_numpy(np.int64), top["count"].to_numpy(np.int64)
+def word_order(hashed: DataFrame, n_rows: int) -> WordOrder:
+    """Frequencies of the words over all rows; the most frequent ``KNOWN_WORDS`` go to the driver."""
+    parts = _parts(hashed.sparkSession, 5 * n_rows)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = np.empty(0, np.int32), np.empty(0, np.int64)
+        held: list[np.ndarray] = []
+        for batch in (*batches, None):
+            if batch is not None:
+                held.append(batch.column(0).flatten().to_numpy())
+            if held and (batch is None or sum(map(len, held)) > PAIRS_AT_ONCE):
+                new, times = np.unique(np.concatenate(held), return_counts=True)
+                words, at = np.unique(np.concatenate([words, new]), return_inverse=True)
+                counts = np.bincount(at, np.concatenate([counts, times]), len(words)).astype(np.int64)
+                held = []
+        if len(words):
+            yield _pack(words.view(np.uint32).astype(np.int64) % parts, parts, [words, counts.astype(np.int32)])
+
+    def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words, counts = _unpack(batches, (np.int32, np.int32))
+        words, at = np.unique(words, return_inverse=True)
+        sums = np.bincount(at, counts, len(words)).astype(np.int64)
+        keep = sums > ALONE_UP_TO // 4
+        yield pa.RecordBatch.from_arrays([pa.array(words[keep]), pa.array(sums[keep])], names=["w", "n"])
+
+    counted = hashed.select("words").mapInArrow(count, "part int, block binary").repartitionById(parts, F.col("part")).mapInArrow(total, "w int, n long")
+    top = counted.orderBy(F.desc("n"), "w").limit(KNOWN_WORDS).toPandas().sort_values(["n", "w"], kind="stable")
+    hashes, counts = top["w"].to_numpy(np.int32), top["n"].to_numpy(np.int64)
     by = np.argsort(hashes)
     return WordOrder(hashes[by], np.arange(1, len(by) + 1)[by], counts[by])
 
@@ -89,16 +141,12 @@ def _columns(uid: np.ndarray, space: np.ndarray, offsets: np.ndarray, flat: np.n
     count = np.where(known, order.counts[at] if len(order.counts) else 0, 0)
     level = np.where(count > PAIRED_UP_TO, 3, np.where(count > ALONE_UP_TO, 2, 1))
     by = np.argsort(row * (KNOWN_WORDS + 2) + place, kind="stable")
-    word, level = flat[by].view(np.uint64), level[by]
+    word, level = _mix(flat[by].view(np.uint32).astype(np.uint64) + np.uint64(1)), level[by]
     rank = np.arange(len(row)) - offsets[row]
     p = _first_share(n, tenths)[row]
 
-    bit = _mix(word)
-    half = np.uint64(1) << (bit & np.uint64(63))
-    upper = (bit >> np.uint64(6)) & np.uint64(1)
-    # parity sketches: bits of shared words cancel, so no more bits differ than words do
-    s0 = np.bitwise_xor.reduceat(np.where(upper == 0, half, np.uint64(0)), offsets[:-1])
-    s1 = np.bitwise_xor.reduceat(np.where(upper == 1, half, np.uint64(0)), offsets[:-1])
+    # parity sketch: bits of shared words cancel, so no more bits differ than words do
+    sketch = np.bitwise_xor.reduceat(np.uint64(1) << (word >> np.uint64(58)), offsets[:-1])
 
     seed = _mix(space.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
     alone = np.flatnonzero((level == 1) & (rank < p))
@@ -136,26 +184,30 @@ def _columns(uid: np.ndarray, space: np.ndarray, offsets: np.ndarray, flat: np.n
         key, row, side = np.concatenate(out_key), np.concatenate(out_row), np.concatenate(out_block)
     else:
         side = np.zeros(len(row), np.int64)
-    return key.view(np.int64), row, n[row], s0.view(np.int64)[row], s1.view(np.int64)[row], side
+    return (key >> np.uint64(32)).astype(np.uint32), row, sketch, side
+
+
+#: An entry of the matrix: column, class, number of words, sketch, and side + 4 if it is old.
+ENTRY = (np.uint32, np.int64, np.uint16, np.uint64, np.uint8)
 
 
-def matrix(found: DataFrame, order: WordOrder, tenths: int, blocks: int = 1, carry: tuple[str, ...] = ()) -> DataFrame:
-    """The sparse matrix by column: ``col``, ``uid``, ``n``, ``s0``, ``s1``, ``side`` and the carried int columns."""
+def matrix(hashed: DataFrame, order: WordOrder, tenths: int, parts: int, blocks: int = 1, old: bool = False) -> DataFrame:
+    """The sparse matrix by column, as packed blocks (``part``, ``block``)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
                 continue
-            uid, space = batch.column(0).to_numpy(zero_copy_only=False), batch.column(1).to_numpy(zero_copy_only=False)
-            words = batch.column(2)
+            uid, first = np.unique(batch.column(0).to_numpy(), return_index=True)
+            space, words = batch.column(1).to_numpy()[first], batch.column(2).take(pa.array(first))
             offsets = words.offsets.to_numpy().astype(np.int64)
             flat = words.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            col, row, n, s0, s1, side = _columns(np.ascontiguousarray(uid), space, offsets - offsets[0], np.ascontiguousarray(flat), order, tenths, blocks)
-            extra = [batch.column(3 + i).take(pa.array(row)) for i in range(len(carry))]
-            yield pa.RecordBatch.from_arrays([pa.array(col), pa.array(uid[row]), pa.array(n.astype(np.int32)), pa.array(s0), pa.array(s1), pa.array(side.astype(np.int8)), *extra], names=["col", "uid", "n", "s0", "s1", "side", *carry])
+            offsets = offsets - offsets[0]
+            col, row, sketch, side = _columns(uid, space, offsets, np.ascontiguousarray(flat), order, tenths, blocks)
+            n = np.minimum(np.diff(offsets), 65_535)
+            yield _pack(col.astype(np.int64) % parts, parts, [col, uid[row], n[row].astype(np.uint16), sketch[row], side.astype(np.uint8) + np.uint8(4 * old)])
 
-    schema = "col long, uid long, n int, s0 long, s1 long, side byte" + "".join(f", {c} int" for c in carry)
-    return found.select("uid", "space", "words", *carry).mapInArrow(run, schema)
+    return hashed.select("uid", "space", "words").mapInArrow(run, "part int, block binary")
 
 
 def _pairs_of(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -170,58 +222,54 @@ def _pairs_of(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarra
             yield ok[i : i + PAIRS_AT_ONCE], ok[i : i + PAIRS_AT_ONCE] + gap
 
 
-def candidates(columns: DataFrame, tenths: int, useful=None, carry: tuple[str, ...] = ()) -> DataFrame:
-    """Distinct pairs (``a`` < ``b``) that share a column and pass the size bound.
-
-    ``useful(left, right)``: which pairs to keep by their carried columns (arrays by name).
-    """
+def candidates(columns: DataFrame, tenths: int, parts: int, against_old: bool = False) -> DataFrame:
+    """Distinct pairs (``a`` < ``b``) that share a column and pass the size bound; or only old with new ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [b for b in batches if b.num_rows]
-        if not parts:
-            return
-        table = pa.Table.from_batches(parts)
-        col, uid, n, s0, s1, side = (table.column(i).to_numpy() for i in range(6))
-        by = np.argsort(col, kind="stable")
-        col, uid, n, side = col[by], uid[by], n[by].astype(np.int64), side[by]
-        s0, s1 = s0[by].view(np.uint64), s1[by].view(np.uint64)
-        extra = {c: table.column(6 + i).to_numpy()[by] for i, c in enumerate(carry)}
-        del table, parts
-        first = np.flatnonzero(np.r_[True, col[1:] != col[:-1]])
+        col, uid, n, sketch, side = _unpack(batches, ENTRY)
+        by = np.lexsort((uid, col))
+        col, uid, side = col[by], uid[by], side[by]
+        # copies of a class from several batches are one entry
+        by = by[new := np.r_[True, (col[1:] != col[:-1]) | (uid[1:] != uid[:-1]) | (side[1:] != side[:-1])][: len(by)]]
+        col, uid, side, n, sketch = col[new], uid[new], side[new], n[by].astype(np.int32), sketch[by]
+        first = np.flatnonzero(np.r_[True, col[1:] != col[:-1]][: len(col)])
         length = np.diff(np.r_[first, len(col)])
         sizes, starts = np.repeat(length, length), np.repeat(first, length)
         seen: list[np.ndarray] = []
         held = 0
+
+        def flush() -> pa.RecordBatch:
+            pairs = np.concatenate(seen)
+            pairs = pairs[np.lexsort((pairs[:, 1], pairs[:, 0]))]
+            pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
+            return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
         for i, j in _pairs_of(sizes, starts):
-            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             # of 10 + t tenths of all words, at most 10 - t tenths may differ
-            most = (low + high) * (10 - tenths) // (10 + tenths)
-            apart = np.bitwise_count(s0[i] ^ s0[j]).astype(np.int64) + np.bitwise_count(s1[i] ^ s1[j])
-            keep = (low * 10 >= high * tenths) & (apart <= most) & (uid[i] != uid[j]) & ((side[i] == 0) & (side[j] == 0) | (side[i] + side[j] == 3))
+            apart = np.bitwise_count(sketch[i] ^ sketch[j])
+            keep = apart <= (n[i] + n[j]) * (10 - tenths) // (10 + tenths)
+            i, j = i[keep], j[keep]
+            low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
+            one, two = side[i] & 3, side[j] & 3
+            keep = ((low * 10 >= high * tenths) | (high == 65_535)) & (uid[i] != uid[j]) & ((one == 0) & (two == 0) | (one + two == 3))
+            if against_old:
+                keep &= side[i] >> 2 != side[j] >> 2
             i, j = i[keep], j[keep]
-            if useful is not None and len(i):
-                keep = useful({c: x[i] for c, x in extra.items()}, {c: x[j] for c, x in extra.items()})
-                i, j = i[keep], j[keep]
             if len(i):
                 seen.append(np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])], axis=1))
                 held += len(i)
             if held > PAIRS_AT_ONCE:
-                pairs = np.unique(np.concatenate(seen), axis=0)
-                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+                yield flush()
                 seen, held = [], 0
         if seen:
-            pairs = np.concatenate(seen)
-            by = np.lexsort((pairs[:, 1], pairs[:, 0]))
-            pairs = pairs[by]
-            pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+            yield flush()
 
-    return columns.repartition("col").mapInArrow(run, "a long, b long").distinct()
+    return columns.repartitionById(parts, F.col("part")).mapInArrow(run, "a long, b long").distinct()
 
 
-def confirmed(pairs: DataFrame, found: DataFrame, tenths: int) -> DataFrame:
+def confirmed(pairs: DataFrame, hashed: DataFrame, tenths: int) -> DataFrame:
     """The pairs (``a``, ``b``, ``shared``, ``total``) whose exact similarity reaches ``tenths`` / 10."""
-    words = found.select("uid", "words")
+    words = hashed.groupBy("uid").agg(F.first("words").alias("words"))
     both = pairs.join(words.select(F.col("uid").alias("a"), F.col("words").alias("wa")), "a").join(words.select(F.col("uid").alias("b"), F.col("words").alias("wb")), "b")
     shared = F.size(F.array_intersect("wa", "wb"))
     both = both.select("a", "b", shared.alias("shared"), (F.size("wa") + F.size("wb")).alias("sizes"))
@@ -229,21 +277,22 @@ def confirmed(pairs: DataFrame, found: DataFrame, tenths: int) -> DataFrame:
     return both.filter(F.col("shared") * 10 >= F.col("total") * tenths)
 
 
-def similar_classes(found: DataFrame, tenths: int = 7) -> DataFrame:
-    """Pairs of different classes with similarity of at least ``tenths`` / 10."""
-    blocks = 1 + found.count() // 400_000
-    columns = matrix(found, word_order(found), tenths, min(blocks, 64))
-    return confirmed(candidates(columns, tenths), found, tenths)
+def candidate_pairs(hashed: DataFrame, tenths: int = 7) -> DataFrame:
+    """Pairs of different classes that may have a similarity of at least ``tenths`` / 10."""
+    n = hashed.count()
+    parts = _parts(hashed.sparkSession, 12 * n)
+    order = word_order(hashed, n)
+    return candidates(matrix(hashed, order, tenths, parts, min(1 + n // 400_000, 64)), tenths, parts)
 
 
-def near_duplicates(spark: SparkSession, rows: DataFrame, tenths: int = 7) -> DataFrame:
+def near_duplicates(rows: DataFrame, tenths: int = 7) -> DataFrame:
     """All pairs (``space``, ``id_a`` < ``id_b``) of near-duplicate rows, copies included.
 
     ``rows``: ``space`` int, ``id`` long, ``text`` string.
     """
-    members, found = classes(rows)
-    found = materialize(found, "classes")
-    between = materialize(similar_classes(found, tenths).select("a", "b"), "pairs")
+    hashed = hashed_rows(rows)
+    members = hashed.select("uid", "space", "id")
+    between = materialize(confirmed(candidate_pairs(hashed, tenths), hashed, tenths).select("a", "b"), "pairs")
     own = members.groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b"))
     every = between.unionByName(own)
     left = members.select(F.col("uid").alias("a"), "space", F.col("id").alias("x"))
