@@ -255,3 +255,30 @@ def p10_shared(spark: SparkSession, sf: str) -> DataFrame:
     from quillmine.llm.spans import shared_share
 
     return shared_share(table(spark, sf, "documents"), F.col("doc_id"), F.col("text"))
+
+
+# ---------------------------------------------------------------- problem 4
+
+
+def _scans(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    questions = table(spark, sf, "sub_questions").select("id", "paper_id", "text")
+    papers = table(spark, sf, "papers")
+    scanned = papers.filter("pdf_type = 'scanned'").select(F.col("id").alias("paper_id"), F.col("subject_code").alias("code"), F.col("subject_name").alias("name"))
+    return questions.join(scanned, "paper_id").drop("paper_id"), questions.join(scanned, "paper_id", "left_anti").select("text")
+
+
+@query()
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    from quillmine.llm.scans import kinds_of, noise
+
+    looked, fixes, _ = noise(*_scans(spark, sf))
+    return kinds_of(looked, fixes).select("id", "kind")
+
+
+@query()
+def p4_text(spark: SparkSession, sf: str) -> DataFrame:
+    """Every scanned question as continuous readable text."""
+    from quillmine.llm.scans import noise, repaired
+
+    scanned, clean = _scans(spark, sf)
+    return repaired(scanned, *noise(scanned, clean))
