@@ -282,3 +282,27 @@ def p4_text(spark: SparkSession, sf: str) -> DataFrame:
 
     scanned, clean = _scans(spark, sf)
     return repaired(scanned, *noise(scanned, clean))
+
+
+# ---------------------------------------------------------------- problem 9
+
+
+def _packed(spark: SparkSession, sf: str) -> DataFrame:
+    from quillmine.llm.packing import pack
+    from quillmine.llm.tokenizer import count_corpus
+
+    tokens = materialize(count_corpus(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")), "tokens")
+    return pack(tokens.select(F.col("doc_id").alias("item"), F.col("tokens").alias("size")))
+
+
+@query()
+def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
+    """Container of every piece of every document."""
+    return _packed(spark, sf).select(F.col("item").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("tokens"), "container")
+
+
+@query()
+def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
+    """Containers by fill in hundredths: the space that was left over."""
+    fill = _packed(spark, sf).groupBy("container").agg(F.sum("size").alias("tokens"))
+    return fill.groupBy(F.floor(F.col("tokens") * 100 / 2048).cast("int").alias("hundredths")).agg(F.count("*").alias("containers"), F.sum("tokens").alias("tokens"))
