@@ -9,7 +9,6 @@ used; on a cluster its absence is an error, as a machine-local folder would lose
 from __future__ import annotations
 
 import atexit
-import gc
 import os
 import shutil
 import tempfile
@@ -64,20 +63,26 @@ def work_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/quillmine/{name}-{uuid.uuid4().hex[:12]}"
 
 
+#: Drops the shuffle files of a query when it has ended; else they stay until the driver happens to collect garbage.
+CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at durable files."""
+    """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
+
+    Nothing reads the shuffles of this one write again, so they are dropped with its end.
+    """
     spark = df.sparkSession
     path = work_path(spark, name)
-    df.write.options(**options).parquet(path)
+    before = spark.conf.get(CLEAN_UP, "false")
+    spark.conf.set(CLEAN_UP, "true")
+    try:
+        df.write.options(**options).parquet(path)
+    finally:
+        spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now; else they stay until the driver happens to collect garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
-
-
 def remove_path(spark: SparkSession, path: str) -> None:
     """Delete a written table once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
