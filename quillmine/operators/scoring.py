@@ -42,7 +42,7 @@ def scores(met: DataFrame, topics: DataFrame, papers: DataFrame, year: int) -> D
     share = F.col("frequency") / F.col("total")
     return joined.select(
         "topic_id", "subject", "module_no", "label", "representative_text", "frequency", "total", "last_year", "avg_marks",
-        share.alias("share"), half_up(F.col("score"), 4).alias("weighted_score"), half_up(share * F.col("avg_marks"), 2).alias("expected"),
+        share.alias("share"), half_up(F.col("score") + 1e-9, 4).alias("weighted_score"), half_up(share * F.col("avg_marks"), 2).alias("expected"),
     )
 
 
