@@ -27,11 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmine.session import materialize
+from quillmine.session import materialize, remove_path
 
 #: Words whose frequency is known to every task; a fixed bound of what is sent to them (1 MB).
 KNOWN_WORDS = 65_536
-ALONE_UP_TO, PAIRED_UP_TO = 200, 4_000
+ALONE_UP_TO, PAIRED_UP_TO = 2_000, 50_000
 LEAST_WORDS = 8
 PAIRS_AT_ONCE = 4_000_000
 
@@ -49,7 +49,8 @@ def hashed_rows(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
     """
     kept = [c for c in rows.columns if c != "text"]
     hashed = rows.filter(F.col("text").isNotNull()).select(*kept, word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= least)
-    return materialize(hashed.select(*kept, F.xxhash64("space", "words").alias("uid"), "words"), "words")
+    # words recur, so a dictionary of a whole file's words pays
+    return materialize(hashed.select(*kept, F.xxhash64("space", "words").alias("uid"), "words"), "words", **{"parquet.dictionary.page.size": str(16 << 20)})
 
 
 def _pack(part: np.ndarray, parts: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
@@ -111,7 +112,7 @@ def word_order(hashed: DataFrame, n_rows: int) -> WordOrder:
         words, counts = _unpack(batches, (np.int32, np.int32))
         words, at = np.unique(words, return_inverse=True)
         sums = np.bincount(at, counts, len(words)).astype(np.int64)
-        keep = sums > ALONE_UP_TO // 4
+        keep = sums > 50
         yield pa.RecordBatch.from_arrays([pa.array(words[keep]), pa.array(sums[keep])], names=["w", "n"])
 
     counted = hashed.select("words").mapInArrow(count, "part int, block binary").repartitionById(parts, F.col("part")).mapInArrow(total, "w int, n long")
@@ -149,7 +150,10 @@ def _columns(uid: np.ndarray, space: np.ndarray, offsets: np.ndarray, flat: np.n
     sketch = np.bitwise_xor.reduceat(np.uint64(1) << (word >> np.uint64(58)), offsets[:-1])
 
     seed = _mix(space.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
+    # of two classes, the smaller has the shared word among its first ``middle`` ones
+    middle = (n - (n * 2 * tenths + tenths + 9) // (10 + tenths) + 1)[row]
     alone = np.flatnonzero((level == 1) & (rank < p))
+    late = [(rank[alone] >= middle[alone])]
     keys, rows, salts = [word[alone] ^ seed[row[alone]]], [row[alone]], [np.full(len(alone), -1)]
     longest = int(n.max()) if len(n) else 0
     for gap in range(1, longest):
@@ -161,7 +165,8 @@ def _columns(uid: np.ndarray, space: np.ndarray, offsets: np.ndarray, flat: np.n
         keys.append(_mix(word[i] + np.uint64(1)) ^ (word[i + gap] * np.uint64(0x9E3779B97F4A7C15)) ^ seed[row[i]])
         rows.append(row[i])
         salts.append(np.full(len(i), -1))
-    for r in np.unique(row[(level == 3) & (rank <= p + 1)]):
+    common = np.bincount(row[(level == 3) & (rank <= p + 1)], minlength=len(n))
+    for r in np.flatnonzero(common >= 3):
         own = np.arange(offsets[r], offsets[r] + min(n[r], p[offsets[r]] + 2))
         own = own[level[own] == 3]
         if len(own) < 3:
@@ -171,23 +176,27 @@ def _columns(uid: np.ndarray, space: np.ndarray, offsets: np.ndarray, flat: np.n
         rows.append(np.full(len(a), r))
         salts.append(np.zeros(len(a), int))
     key, row, salt = np.concatenate(keys), np.concatenate(rows), np.concatenate(salts)
+    late = np.concatenate([*late, np.zeros(len(key) - len(late[0]), bool)])
     block = (_mix(uid.view(np.uint64)) % np.uint64(blocks)).astype(np.int64)[row]
     if blocks > 1 and (salt == 0).any():
         # the longest columns are cut into blocks; a task takes one pair of blocks
         wide = np.flatnonzero(salt == 0)
-        out_row, out_key, out_block = [row[salt < 0]], [key[salt < 0]], [block[salt < 0] * 0]
+        out_row, out_key, out_block, out_late = [row[salt < 0]], [key[salt < 0]], [block[salt < 0] * 0], [late[salt < 0]]
         for other in range(blocks):
             low, high = np.minimum(block[wide], other), np.maximum(block[wide], other)
             out_row.append(row[wide])
+            out_late.append(late[wide])
             out_key.append(_mix(key[wide] + (low * blocks + high + 1).astype(np.uint64)))
             out_block.append(np.where(block[wide] == other, 0, np.where(block[wide] < other, 1, 2)))
-        key, row, side = np.concatenate(out_key), np.concatenate(out_row), np.concatenate(out_block)
+        key, row, side, late = np.concatenate(out_key), np.concatenate(out_row), np.concatenate(out_block), np.concatenate(out_late)
     else:
         side = np.zeros(len(row), np.int64)
-    return (key >> np.uint64(32)).astype(np.uint32), row, sketch, side
+    return (key >> np.uint64(32)).astype(np.uint32), row, sketch, side + LATE * late
 
 
-#: An entry of the matrix: column, class, number of words, sketch, and side + 4 if it is old.
+#: Flags beside the block side of an entry: from the history, and not among the first words that a smaller class needs.
+OLD, LATE = 4, 8
+#: An entry of the matrix: column, class, number of words, sketch, and side with flags.
 ENTRY = (np.uint32, np.int64, np.uint16, np.uint64, np.uint8)
 
 
@@ -205,15 +214,15 @@ def matrix(hashed: DataFrame, order: WordOrder, tenths: int, parts: int, blocks:
             offsets = offsets - offsets[0]
             col, row, sketch, side = _columns(uid, space, offsets, np.ascontiguousarray(flat), order, tenths, blocks)
             n = np.minimum(np.diff(offsets), 65_535)
-            yield _pack(col.astype(np.int64) % parts, parts, [col, uid[row], n[row].astype(np.uint16), sketch[row], side.astype(np.uint8) + np.uint8(4 * old)])
+            yield _pack(col.astype(np.int64) % parts, parts, [col, uid[row], n[row].astype(np.uint16), sketch[row], side.astype(np.uint8) + np.uint8(OLD * old)])
 
     return hashed.select("uid", "space", "words").mapInArrow(run, "part int, block binary")
 
 
-def _pairs_of(sizes: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Index pairs inside runs, a bounded number at a time."""
+def _pairs_of(sizes: np.ndarray, starts: np.ndarray, early: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Index pairs inside runs, a bounded number at a time; the first of a pair is an early entry."""
     # one step pairs each entry with the one ``gap`` places further in the same run
-    ends, ok = starts + sizes, np.arange(len(sizes))
+    ends, ok = starts + sizes, np.flatnonzero(early)
     for gap in range(1, int(sizes.max()) if len(sizes) else 0):
         ok = ok[ends[ok] > ok + gap]
         if not len(ok):
@@ -227,7 +236,8 @@ def candidates(columns: DataFrame, tenths: int, parts: int, against_old: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         col, uid, n, sketch, side = _unpack(batches, ENTRY)
-        by = np.lexsort((uid, col))
+        # early entries stand first in a column
+        by = np.lexsort((uid, side & LATE, col))
         col, uid, side = col[by], uid[by], side[by]
         # copies of a class from several batches are one entry
         by = by[new := np.r_[True, (col[1:] != col[:-1]) | (uid[1:] != uid[:-1]) | (side[1:] != side[:-1])][: len(by)]]
@@ -244,16 +254,16 @@ def candidates(columns: DataFrame, tenths: int, parts: int, against_old: bool =
             pairs = pairs[np.r_[True, (pairs[1:] != pairs[:-1]).any(axis=1)]]
             return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-        for i, j in _pairs_of(sizes, starts):
+        for i, j in _pairs_of(sizes, starts, side & LATE == 0):
             # of 10 + t tenths of all words, at most 10 - t tenths may differ
             apart = np.bitwise_count(sketch[i] ^ sketch[j])
-            keep = apart <= (n[i] + n[j]) * (10 - tenths) // (10 + tenths)
+            keep = (apart <= (n[i] + n[j]) * (10 - tenths) // (10 + tenths)) & ((side[j] & LATE == 0) | (n[j] > n[i]))
             i, j = i[keep], j[keep]
             low, high = np.minimum(n[i], n[j]), np.maximum(n[i], n[j])
             one, two = side[i] & 3, side[j] & 3
             keep = ((low * 10 >= high * tenths) | (high == 65_535)) & (uid[i] != uid[j]) & ((one == 0) & (two == 0) | (one + two == 3))
             if against_old:
-                keep &= side[i] >> 2 != side[j] >> 2
+                keep &= (side[i] ^ side[j]) & OLD != 0
             i, j = i[keep], j[keep]
             if len(i):
                 seen.append(np.stack([np.minimum(uid[i], uid[j]), np.maximum(uid[i], uid[j])], axis=1))
@@ -290,9 +300,13 @@ def near_duplicates(rows: DataFrame, tenths: int = 7) -> DataFrame:
 
     ``rows``: ``space`` int, ``id`` long, ``text`` string.
     """
+    spark = rows.sparkSession
     hashed = hashed_rows(rows)
-    members = hashed.select("uid", "space", "id")
-    between = materialize(confirmed(candidate_pairs(hashed, tenths), hashed, tenths).select("a", "b"), "pairs")
+    members = materialize(hashed.select("uid", "space", "id"), "members")
+    maybe = materialize(candidate_pairs(hashed, tenths), "candidates")
+    between = materialize(confirmed(maybe, hashed, tenths).select("a", "b"), "pairs")
+    for path in (hashed, maybe):
+        remove_path(spark, path.inputFiles()[0].rsplit("/", 1)[0]) if path.inputFiles() else None
     own = members.groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b"))
     every = between.unionByName(own)
     left = members.select(F.col("uid").alias("a"), "space", F.col("id").alias("x"))
