@@ -68,7 +68,10 @@ def seen_texts(rows: DataFrame, batches: DataFrame, tenths: int = 7) -> DataFram
 
     pairs = similarity.candidate_pairs(hashed, tenths).join(of("a"), "a").join(of("b"), "b")
     pairs = pairs.filter("since_a < last_b or since_b < last_a").select("a", "b")
-    pairs = similarity.confirmed(materialize(pairs, "pairs"), hashed, tenths)
+    pairs = materialize(pairs, "pairs")
+    pairs = materialize(similarity.confirmed(pairs, hashed, tenths).select("a", "b"), "pairs")
+    if files := hashed.inputFiles():
+        remove_path(rows.sparkSession, files[0].rsplit("/", 1)[0])
     both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("uid")), F.struct(F.col("b").alias("at"), F.col("a").alias("uid")))).alias("p")).select("p.*")
     near = both.join(times.select("uid", "since").filter(F.col("since") < NEVER), "uid").select(F.col("at").alias("uid"), "since")
     first = near.unionByName(times.select("uid", "since")).groupBy("uid").agg(F.min("since").alias("since"))
