@@ -57,6 +57,54 @@ def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
     return found.groupBy("query_id").agg(F.max(F.struct("sim", -F.col("best_id"))).alias("m")).select("query_id", (-F.col("m.col2")).alias("best_id"), F.col("m.sim").alias("sim"))
 
 
+def best_per_paper(queries: DataFrame, base: DataFrame) -> DataFrame:
+    """(query_paper, query_id, paper, sim): each stated query's best similarity in every other paper.
+
+    ``queries``: ``id``, ``paper``, ``vector``; ``base``: ``paper``, ``vector``.  Queries are read block by block; a task
+    returns one row per query and paper that it holds.
+    """
+    path = work_path(base.sparkSession, "queries")
+    queries.select("id", "paper", "vector").write.option("maxRecordsPerFile", BLOCK).parquet(path)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import fs
+        from pyarrow import parquet as pq
+
+        files, root = fs.FileSystem.from_uri(path)
+        names = sorted(i.path for i in files.get_file_info(fs.FileSelector(root)) if i.path.endswith(".parquet"))
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            papers = batch.column(0).to_numpy()
+            rows = np.asarray(batch.column(1).to_pylist(), np.float64)
+            order = np.argsort(papers, kind="stable")
+            papers, rows = papers[order], rows[order]
+            starts = np.flatnonzero(np.r_[True, papers[1:] != papers[:-1]])
+            for name in names:
+                part = pq.ParquetFile(files.open_input_file(name)).read()
+                if not part.num_rows:
+                    continue
+                sims = np.maximum.reduceat(np.asarray(part.column(2).to_pylist(), np.float64) @ rows.T, starts, axis=1)
+                own, ids = part.column(1).to_numpy(), part.column(0).to_numpy()
+                q, k = np.nonzero(own[:, None] != papers[starts][None, :])
+                yield pa.RecordBatch.from_arrays([pa.array(own[q]), pa.array(ids[q]), pa.array(papers[starts][k]), pa.array(sims[q, k])], names=["query_paper", "query_id", "paper", "sim"])
+
+    found = base.select(F.col("paper").cast("long"), "vector").mapInArrow(run, "query_paper long, query_id long, paper long, sim double")
+    return found.groupBy("query_paper", "query_id", "paper").agg(F.max("sim").alias("sim"))
+
+
+def compare_papers(queries: DataFrame, base: DataFrame, same: float = 0.85) -> DataFrame:
+    """(query_paper, paper, score): share of a paper's questions that another paper has; not symmetric."""
+    best = best_per_paper(queries.select(F.col("id").cast("long").alias("id"), F.col("paper").cast("long").alias("paper"), "vector"), base)
+    return best.groupBy("query_paper", "paper").agg(half_up(F.avg((half_up(F.col("sim"), 3) >= same).cast("double")), 3).alias("score"))
+
+
+def best_match(scores: DataFrame) -> DataFrame:
+    """(query_paper, paper, score): the paper with the highest score, the lowest id on ties."""
+    best = scores.groupBy("query_paper").agg(F.max(F.struct("score", -F.col("paper"))).alias("m"))
+    return best.select("query_paper", (-F.col("m.col2")).alias("paper"), F.col("m.score").alias("score"))
+
+
 def assign(rows: DataFrame, centres: DataFrame, key: str, threshold: float) -> DataFrame:
     """(id, cluster): the nearest centre, or none where it is below ``threshold``.
 

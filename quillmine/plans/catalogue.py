@@ -14,8 +14,8 @@ from pyspark.sql import functions as F
 from quillmine.functions import catalog as C
 from quillmine.functions import text as X
 from quillmine.functions import vectors as V
-from quillmine.operators import browse, fold, layout, lifecycle, match, parse, scoring
-from quillmine.plans import snapshot
+from quillmine.operators import browse, fold, headers, layout, lifecycle, match, parse, scoring
+from quillmine.plans import rebuild, snapshot
 from quillmine.session import materialize, table, work_path
 from quillmine.streaming import ingest
 
@@ -485,6 +485,54 @@ def greedy_clusters(spark, sf):
     return fold.ordered_fold(_vectors(spark, sf), ["space"], ["id"], ["id", "vector"], "id long, cluster int", fold.greedy_clusters(0.35))
 
 
+_COMPARE_SQL = f"""b AS (SELECT a.label AS query_paper, a.vec_id AS query_id, b.label AS paper, max(floor(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1000.0 + 0.5) / 1000.0) AS sim
+    FROM embeddings a JOIN embeddings b ON a.label <> b.label GROUP BY 1, 2, 3),
+    s AS (SELECT CAST(query_paper AS BIGINT) AS query_paper, CAST(paper AS BIGINT) AS paper, floor(avg(CASE WHEN sim >= 0.35 THEN 1.0 ELSE 0.0 END) * 1000.0 + 0.5) / 1000.0 AS score FROM b GROUP BY 1, 2)"""
+
+
+def _comparison(spark, sf):
+    rows = _vectors(spark, sf).select("id", F.col("space").alias("paper"), "vector")
+    return match.compare_papers(rows, rows, 0.35)
+
+
+@query(f"WITH {_COMPARE_SQL} SELECT query_paper, paper, score FROM s")
+def compare_papers(spark, sf):
+    return _comparison(spark, sf)
+
+
+@query(f"WITH {_COMPARE_SQL} SELECT query_paper, paper, score FROM (SELECT *, row_number() OVER (PARTITION BY query_paper ORDER BY score DESC, paper) AS n FROM s) WHERE n = 1")
+def best_match(spark, sf):
+    return match.best_match(_comparison(spark, sf))
+
+
+@query()
+def question_clusters(spark, sf):
+    """All live questions of all subjects as topics, with keys carried over from the former topics."""
+    topics, members = rebuild.topics_of(table(spark, sf, "sub_questions"), table(spark, sf, "papers"))
+    return rebuild.carried(topics, members, previous_keys(spark, sf).select("sub_question_id", "stable_key").distinct())
+
+
+@query()
+def header_metadata(spark, sf):
+    """Metadata of every document from its first lines and, as a file would have it, its source."""
+    docs = table(spark, sf, "documents").filter("text is not null")
+    rows = docs.select(F.col("doc_id").alias("paper_id"), F.posexplode(F.slice(F.split("text", r"\r\n|\r|\n"), 1, headers.ROWS)).alias("row_no", "line")).select("paper_id", "row_no", F.array("line").alias("cells"))
+    stem = X.stem(F.col("source"))
+    names = docs.select(F.col("doc_id").alias("paper_id"), F.coalesce("source", F.lit("")).alias("filename"), F.lit("UNKNOWN").alias("code"), X.month_in(stem).alias("month"), X.year_of(stem).alias("year"), F.coalesce(X.exam_type(stem), F.lit("regular")).alias("exam_type"))
+    return headers.merged(names, headers.header_metadata(rows, table(spark, sf, "subjects")))
+
+
+@query("""WITH m AS (SELECT DISTINCT a.topic_id, s.id, s.q_no, s.sub_q, p.exam_year FROM topic_appearances a JOIN sub_questions s ON s.id = a.sub_question_id JOIN papers p ON p.id = s.paper_id WHERE p.status = 'approved')
+    SELECT topic_id, string_agg(concat('Q', coalesce(CAST(q_no AS VARCHAR), '?'), coalesce(sub_q, '?'), '(', coalesce(CAST(exam_year AS VARCHAR), '?'), ')'), ' · ' ORDER BY coalesce(exam_year, 0) DESC, id) AS appearances FROM m GROUP BY topic_id""")
+def appearance_text(spark, sf):
+    unknown = F.lit("?")
+    asked = table(spark, sf, "sub_questions").select(F.col("id").alias("sub_question_id"), "q_no", "sub_q")
+    met = _met(spark, sf).select("topic_id", "sub_question_id", "exam_year").join(asked, "sub_question_id")
+    shown = F.concat(F.lit("Q"), F.coalesce(F.col("q_no").cast("string"), unknown), F.coalesce("sub_q", unknown), F.lit("("), F.coalesce(F.col("exam_year").cast("string"), unknown), F.lit(")"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.coalesce("exam_year", F.lit(0))).alias("y"), F.col("sub_question_id").alias("i"), shown.alias("s"))))
+    return met.groupBy("topic_id").agg(F.array_join(F.transform(ordered, lambda x: x["s"]), " · ").alias("appearances"))
+
+
 @query("""WITH q AS (SELECT paper_id, count(*) AS n, count(DISTINCT module_no) AS m FROM sub_questions GROUP BY paper_id)
     SELECT p.id, CASE WHEN coalesce(q.n, 0) < 5 OR coalesce(q.m, 0) < 3 THEN 'rejected' ELSE 'awaiting_confirmation' END AS gate,
       concat_ws(' ', CASE WHEN s.code IS NULL THEN 'The subject is not in the catalogue.' END, CASE WHEN coalesce(q.n, 0) < 8 OR coalesce(q.m, 0) < 4 THEN 'Few questions or modules were found.' END,
