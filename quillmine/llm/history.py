@@ -58,8 +58,8 @@ def seen_texts(rows: DataFrame, batches: DataFrame, tenths: int = 7) -> DataFram
     ``rows``: ``id`` long, ``paper_id``, ``text``; ``batches``: ``paper_id``, ``batch`` int, ``accepted`` boolean.
     All batches are judged in one pass: a pair counts where one side was accepted before the other's last batch.
     """
-    hashed = similarity.hashed_rows(rows.withColumn("space", F.lit(0)))
-    members = materialize(hashed.select("uid", "id", "paper_id").join(batches, "paper_id").filter(F.col("batch").isNotNull()).select("uid", "id", "batch", "accepted"), "members")
+    hashed = similarity.hashed_rows(rows.select("id", "paper_id", "text", F.lit(0).alias("space")))
+    members = materialize(hashed.select("uid", "id", "paper_id").join(batches.select("paper_id", "batch", "accepted"), "paper_id").filter(F.col("batch").isNotNull()).select("uid", "id", "batch", "accepted"), "members")
     times = members.groupBy("uid").agg(F.coalesce(F.min(F.when(F.col("accepted"), F.col("batch"))), F.lit(NEVER)).alias("since"), F.max("batch").alias("last"))
     times = materialize(times, "times")
 
@@ -109,7 +109,7 @@ def chunk_table(rows: DataFrame) -> DataFrame:
             starts = np.r_[0, np.cumsum(lengths)[:-1]]
             ends = np.unique(np.r_[_boundaries(data, starts), np.cumsum(lengths)])
             ends = ends[ends > 0]
-            begin = np.r_[0, ends[:-1]]
+            begin = np.r_[0, ends][: len(ends)]
             owner = np.searchsorted(np.cumsum(lengths), ends - 1, side="right")
             blob = data.tobytes()
             import xxhash
@@ -125,7 +125,7 @@ def coverage(chunks: DataFrame, batch_of: DataFrame) -> DataFrame:
 
     ``batch_of``: ``id``, ``batch``, ``accepted``.
     """
-    rows = chunks.join(batch_of, "id").filter(F.col("batch").isNotNull())
+    rows = chunks.join(batch_of.select("id", "batch", "accepted"), "id").filter(F.col("batch").isNotNull())
     held = rows.filter("accepted").groupBy("chunk").agg(F.min("batch").alias("since"))
     judged = rows.join(held, "chunk", "left")
     return judged.groupBy("id").agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("batch") > F.col("since"), F.col("bytes")).otherwise(0)).alias("shared"))

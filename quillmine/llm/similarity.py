@@ -301,7 +301,7 @@ def near_duplicates(rows: DataFrame, tenths: int = 7) -> DataFrame:
     ``rows``: ``space`` int, ``id`` long, ``text`` string.
     """
     spark = rows.sparkSession
-    hashed = hashed_rows(rows)
+    hashed = hashed_rows(rows.select("space", "id", "text"))
     members = materialize(hashed.select("uid", "space", "id"), "members")
     maybe = materialize(candidate_pairs(hashed, tenths), "candidates")
     between = materialize(confirmed(maybe, hashed, tenths).select("a", "b"), "pairs")

@@ -76,6 +76,17 @@ def anchors(texts: list[str], length: int = LENGTH, key: int = KEY) -> tuple[np.
     return text, at - (ends - lengths)[text], h[at]
 
 
+def _pieces(texts: list[str], length: int) -> tuple[list[str], list[int], list[int]]:
+    """(pieces, text number, offset): long texts in overlapping pieces that between them hold every window."""
+    pieces, owner, offset = [], [], []
+    for i, text in enumerate(texts):
+        for at in range(0, max(1, len(text) - length + 1), CHARS_AT_ONCE):
+            pieces.append(text[at : at + CHARS_AT_ONCE + length - 1])
+            owner.append(i)
+            offset.append(at)
+    return pieces, owner, offset
+
+
 def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
     start = size = 0
     for i, text in enumerate(texts):
@@ -90,14 +101,15 @@ def _slices(texts: list[str]) -> Iterator[tuple[int, int]]:
 def _anchor_rows(length: int, key: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            uid, texts = batch.column(0).to_numpy(), batch.column(1).to_pylist()
+            texts, owner, offset = _pieces(batch.column(1).to_pylist(), length)
+            uid, begin = batch.column(0).to_numpy()[owner], np.array(offset, np.int64)
             for a, b in _slices(texts):
                 text, at, h = anchors(texts[a:b], length, key)
                 # the same phrase again in one text says nothing new
                 order = np.lexsort((at, h, text))
                 text, at, h = text[order], at[order], h[order]
                 new = np.r_[True, (text[1:] != text[:-1]) | (h[1:] != h[:-1])][: len(text)]
-                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(uid[a + text[new]]), pa.array(at[new])], names=["phrase", "uid", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(h[new].view(np.int64)), pa.array(uid[a + text[new]]), pa.array(begin[a + text[new]] + at[new])], names=["phrase", "uid", "at"])
 
     return run
 
@@ -169,9 +181,24 @@ def _shared(length: int, key: int):
                             one, two = two, one
                         yield one[0], two[0], *one[1:], *two[1:]
 
+    def by_runs(rows: list[tuple]) -> Iterator[tuple]:
+        """The same for a phrase that comes very often inside few texts: occurrences meet by equal surroundings."""
+        met: dict[tuple[str, str], list[tuple[int, int]]] = {}
+        for uid, at, left, right in rows:
+            for before in range(max(0, reach - len(right)), min(len(left), reach) + 1):
+                met.setdefault((left[:before], right[: reach - before]), []).append((uid, at - before))
+        for places in met.values():
+            firsts = dict(reversed(places))
+            if len(firsts) > 1:
+                one, two = sorted(firsts)[:2]
+                links = [(x, low, y, firsts[y]) for x, low in places for y in ((one if x != one else two),)]
+                links += [(x, firsts[x], y, firsts[y]) for x in firsts for y in firsts if x < y]
+                for x, low, y, other in links:
+                    yield (x, y, low, low + length, other, other + length) if x < y else (y, x, other, other + length, low, low + length)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def group(rows: list[tuple]) -> pa.RecordBatch:
-            columns = list(zip(*pairs(rows), strict=True)) or [[]] * 6
+            columns = list(zip(*set(pairs(rows) if len(rows) <= 4 * COMPARED_UP_TO else by_runs(rows)), strict=True)) or [[]] * 6
             return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=names)
 
         current, rows, held = None, [], []
@@ -234,7 +261,7 @@ def shared_spans(members: DataFrame, texts: DataFrame, length: int = LENGTH, key
     cut.repartition("shard").write.partitionBy("shard").parquet(path)
 
     stream = sent.select(F.explode("shards").alias("shard"), "uid", "text")
-    stream = stream.repartition("shard", F.pmod("uid", F.lit(8))).sortWithinPartitions("shard")
+    stream = stream.repartition("shard", F.pmod("uid", F.lit(32))).sortWithinPartitions("shard")
     kinds = "phrase long, many boolean, uid long, at long, left string, right string, words string"
     met = materialize(stream.mapInArrow(_occurrences(path, length, key), kinds), "occurrences")
     few = met.filter("not many").select("phrase", "uid", "at", "left", "right").repartition("phrase").sortWithinPartitions("phrase")
