@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import atexit
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -17,6 +18,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+_USED: set[str] = set()
 
 
 def builder(app: str = "quillmine", cores: int | str = "*", shuffle_partitions: int = 8) -> SparkSession.Builder:
@@ -40,27 +42,43 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _drop_local() -> None:
+def _drop_used() -> None:
+    """Remove this process's tables when it ends; nothing can read them after that."""
+    for path in _USED:
+        if path.startswith("file://"):
+            shutil.rmtree(path[7:], ignore_errors=True)
+        elif (spark := SparkSession.getActiveSession()) is not None:
+            remove_path(spark, path)
     for path in _LOCAL:
         shutil.rmtree(path, ignore_errors=True)
 
 
+def qualified(spark: SparkSession, folder: str) -> str:
+    """A folder with its scheme, so that tasks that read files themselves find the same file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return re.sub(r"^file:/+", "file:///", files.makeQualified(path).toString()).rstrip("/")
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors share, from ``spark.checkpoint.dir``."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if base:
-        return base.rstrip("/")
+        return qualified(spark, base)
     if not spark.sparkContext.master.startswith("local"):
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _LOCAL:
         _LOCAL.append(tempfile.mkdtemp(prefix="quillmine-"))
-        atexit.register(_drop_local)
     return "file://" + _LOCAL[0]
 
 
 def work_path(spark: SparkSession, name: str) -> str:
     """A fresh path below the shared folder."""
-    return f"{shared_dir(spark)}/quillmine/{name}-{uuid.uuid4().hex[:12]}"
+    root = f"{shared_dir(spark)}/quillmine/{spark.sparkContext.applicationId}"
+    if not _USED:
+        atexit.register(_drop_used)
+    _USED.add(root)
+    return f"{root}/{name}-{uuid.uuid4().hex[:12]}"
 
 
 #: Drops the shuffle files of a query when it has ended; else they stay until the driver happens to collect garbage.

@@ -6,17 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-#: The stored tables.
-PAPERS = T.StructType.fromDDL(
+#: The stored tables, as schema strings.
+PAPERS = (
     "id int, status string, stage string, status_reason string, subject_code string, subject_name string, exam_year int, exam_month string, paper_type string, "
     "session_key string, detected string, filename string, content_hash string, storage_key string, pdf_type string, page_count int, question_count int, modules_found int, "
     "upload_token_hash string, uploader_hash string, reviewed_by string, reviewed_at timestamp_ntz, created_at timestamp_ntz, updated_at timestamp_ntz"
 )
-SUB_QUESTIONS = T.StructType.fromDDL("id int, paper_id int, module_no int, q_no int, sub_q string, is_or_alt int, text string, marks int, bloom_level string, course_outcome string")
-TOPICS = T.StructType.fromDDL("id int, subject_code string, module_no int, stable_key string, label string, representative_text string, avg_marks double, frequency int, weighted_score double, last_seen_year int")
-RAW_ROWS = T.StructType.fromDDL("paper_id int, row_no int, cells array<string>")
+SUB_QUESTIONS = "id int, paper_id int, module_no int, q_no int, sub_q string, is_or_alt int, text string, marks int, bloom_level string, course_outcome string"
+TOPICS = "id int, subject_code string, module_no int, stable_key string, label string, representative_text string, avg_marks double, frequency int, weighted_score double, last_seen_year int"
+RAW_ROWS = "paper_id int, row_no int, cells array<string>"
 
 Extractor = Callable[[bytes], list[list[str]]]
 
