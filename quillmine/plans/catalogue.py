@@ -257,13 +257,13 @@ def filename_codes(spark, sf):
     return papers.select("id", F.coalesce(X.find_code(X.stem(F.col("filename")), F.col("known")), F.lit("UNKNOWN")).alias("code"))
 
 
-@query("""SELECT doc_id, list_extract(list_filter(list_transform(l, lambda x: CASE WHEN contains(lower(x), 'max. marks') THEN CAST(nullif(regexp_extract(lower(x), 'max\\. marks: ?([0-9]+)', 1), '') AS INTEGER) END), lambda x: x IS NOT NULL), 1) AS max_marks,
+@query("""SELECT doc_id, list_extract(list_filter(list_transform(l, lambda x: CASE WHEN contains(lower(x), 'max. marks') THEN CAST(nullif(regexp_extract(lower(x), 'max\\. marks: ?([0-9]{1,6})', 1), '') AS INTEGER) END), lambda x: x IS NOT NULL), 1) AS max_marks,
     list_extract(list_filter(list_transform(l, lambda x: nullif(regexp_extract(x, '^ *([A-Z]{2,5}[0-9]{3}[A-Z]?)\\b', 1), '')), lambda x: x IS NOT NULL), 1) AS code
     FROM (SELECT doc_id, list_slice(string_split(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), chr(10)), 1, 15) AS l FROM documents WHERE text IS NOT NULL)""")
 def header_first_match(spark, sf):
     """First hits over the first fifteen lines of each text, in line order."""
     lines = F.slice(F.split("text", r"\r\n|\r|\n"), 1, 15)
-    marks = F.filter(F.transform(lines, lambda x: X.blank_to_null(F.regexp_extract(F.lower(x), r"max\. marks: ?([0-9]+)", 1)).cast("int")), lambda x: x.isNotNull())
+    marks = F.filter(F.transform(lines, lambda x: X.blank_to_null(F.regexp_extract(F.lower(x), r"max\. marks: ?([0-9]{1,6})", 1)).cast("int")), lambda x: x.isNotNull())
     codes = F.filter(F.transform(lines, lambda x: X.blank_to_null(F.regexp_extract(x, r"^ *([A-Z]{2,5}[0-9]{3}[A-Z]?)\b", 1))), lambda x: x.isNotNull())
     return table(spark, sf, "documents").filter("text is not null").select("doc_id", F.get(marks, F.lit(0)).alias("max_marks"), F.get(codes, F.lit(0)).alias("code"))
 
@@ -606,7 +606,7 @@ def word_buckets(spark, sf):
 @query()
 def parsed_rows(spark, sf):
     """Documents' lines as table rows of one cell each beside number and label, parsed as papers are."""
-    docs = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").cast("int").alias("paper_id"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("row_no", "line"))
+    docs = table(spark, sf, "documents").filter("text is not null").select(F.col("doc_id").alias("paper_id"), F.posexplode(F.split("text", r"\r\n|\r|\n")).alias("row_no", "line"))
     cells = F.array(F.regexp_extract("line", r"^\s*([QO]\.?\s?\d{1,2})", 1), F.regexp_extract("line", r"^\s*[QO]\.?\s?\d{1,2}\s+([a-d])\)", 1), F.regexp_replace("line", r"^\s*[QO]\.?\s?\d{1,2}\s+[a-d]\)\s*|\s*\[[^\]]*\]\s*$", ""), F.regexp_extract("line", r"\[([^\]]*)\]\s*$", 1))
     return parse.parse_papers(docs.select("paper_id", "row_no", cells.alias("cells")))
 
