@@ -38,6 +38,23 @@ VERBS = (
 ).split()
 
 
+#: What a question, a text for the encoder and a label are freed from.
+QUESTION_LABEL = r"^(?i)(?:Q\.?\s*\d{1,2}|[a-c]\.)\s*"
+LEVEL_TOKENS = r"(?i)\b(?:L[1-6]|CO\d+|col)\b"
+LEADING_JUNK = r"(?i)^[\s_\-|.]*(?:[a-c]\.?\s*)?(?:Q\.?\s*\d{1,2}\.?\s*)?(?:[a-c]\.?\s*)?[\s_\-|.]*"
+TRAILING_JUNK = r"[\s_\-|.]+$"
+STUCK_PREFIX = r"^[A-Z][a-z]?((?:With|Explain|Describe|Define|List|Derive|Illustrate)\b)"
+WITH_DIAGRAM = r"(?i)\bwith\s+(?:an?\s+)?(?:neat\s+|suitable\s+|relevant\s+|clear\s+)?(?:block\s+|labell?ed\s+)?(?:diagrams?|sketch(?:es)?|examples?|figures?)\b\s*,?\s*"
+LIST_MARKER = r"(?i)(?<![A-Za-z])(?:[a-d]|i{1,3}|iv)\)\s*"
+CLAUSE_END = r"(?i)[?.;:]\s*|,\s*|\s+(?:with|using|for\s+the\s+given|by\s+taking)\s+"
+INSTRUCTIONS = (
+    r"(?i)^(?:(?:what|which|how|why|when)\s+(?:is\s+meant\s+by|is\s+the|are\s+the|is|are|do|does)\s+|(?:briefly|clearly|neatly)\s+|"
+    rf"(?:{'|'.join(VERBS)})(?:\s+|$)(?:and\s+(?:explain|describe|discuss)\s+|out\s+|down\s+)?|"
+    r"(?:an?|the|about|in\s+brief|in\s+detail|short\s+notes?\s+on|notes?\s+on|(?:the\s+)?following|between|different|various|any\s+(?:two|three|four))(?:\s+|$))+"
+)
+TRAILING_ADVERB = r"(?i)\s+(?:in\s+detail|in\s+brief|briefly|neatly|in\s+short)$"
+
+
 def blank_to_null(c: Column) -> Column:
     """Null for an empty string."""
     return F.when(c != "", c)
@@ -148,19 +165,15 @@ def module_of_question(q_no: Column) -> Column:
 
 def clean_question(text: Column) -> Column:
     """Label, level and outcome tokens and cell bars removed."""
-    c = F.regexp_replace(text, r"^(?i)(?:Q\.?\s*\d{1,2}|[a-c]\.)\s*", "")
-    c = F.regexp_replace(c, r"(?i)\b(?:L[1-6]|CO\d+|col)\b", "")
+    c = F.regexp_replace(F.regexp_replace(text, QUESTION_LABEL, ""), LEVEL_TOKENS, "")
     c = F.regexp_replace(F.replace(c, F.lit("|"), F.lit(" ")), r"\s+", " ")
     return F.regexp_replace(c, r"^[ .,;:]+|[ .,;:]+$", "")
 
 
 def clean_for_embedding(text: Column) -> Column:
     """Labels, rules and stuck-on scan prefixes removed before a text is encoded."""
-    junk = r"[\s_\-|.]*"
-    c = F.trim(F.regexp_replace(text, rf"(?i)^{junk}(?:[a-c]\.?\s*)?(?:Q\.?\s*\d{{1,2}}\.?\s*)?(?:[a-c]\.?\s*)?{junk}", ""))
-    c = F.regexp_replace(c, r"[\s_\-|.]+$", "")
-    c = F.regexp_replace(c, r"^[A-Z][a-z]?((?:With|Explain|Describe|Define|List|Derive|Illustrate)\b)", "$1")
-    return F.trim(F.regexp_replace(c, r"\s{2,}", " "))
+    c = F.regexp_replace(F.trim(F.regexp_replace(text, LEADING_JUNK, "")), TRAILING_JUNK, "")
+    return F.trim(F.regexp_replace(F.regexp_replace(c, STUCK_PREFIX, "$1"), r"\s{2,}", " "))
 
 
 def title_case(words: Column) -> Column:
@@ -175,17 +188,10 @@ def title_case(words: Column) -> Column:
 def phrase_label(text: Column) -> Column:
     """Subject of a question: its first clause without instruction words, at most six words."""
     c = F.regexp_replace(F.trim(text), r"^[a-cA-C][.)]\s+", "")
-    c = F.regexp_replace(c, r"(?i)\bwith\s+(?:an?\s+)?(?:neat\s+|suitable\s+|relevant\s+|clear\s+)?(?:block\s+|labell?ed\s+)?(?:diagrams?|sketch(?:es)?|examples?|figures?)\b\s*,?\s*", "")
-    c = F.regexp_replace(c, r"(?i)(?<![A-Za-z])(?:[a-d]|i{1,3}|iv)\)\s*", " ")
-    clauses = F.split(c, r"(?i)[?.;:]\s*|,\s*|\s+(?:with|using|for\s+the\s+given|by\s+taking)\s+")
-    leading = (
-        r"(?i)^(?:(?:what|which|how|why|when)\s+(?:is\s+meant\s+by|is\s+the|are\s+the|is|are|do|does)\s+|(?:briefly|clearly|neatly)\s+|"
-        rf"(?:{'|'.join(VERBS)})(?:\s+|$)(?:and\s+(?:explain|describe|discuss)\s+|out\s+|down\s+)?|"
-        r"(?:an?|the|about|in\s+brief|in\s+detail|short\s+notes?\s+on|notes?\s+on|(?:the\s+)?following|between|different|various|any\s+(?:two|three|four))(?:\s+|$))+"
-    )
+    clauses = F.split(F.regexp_replace(F.regexp_replace(c, WITH_DIAGRAM, ""), LIST_MARKER, " "), CLAUSE_END)
 
     def words(clause: Column) -> Column:
-        bare = F.regexp_replace(F.regexp_replace(F.trim(clause), leading, ""), r"(?i)\s+(?:in\s+detail|in\s+brief|briefly|neatly|in\s+short)$", "")
+        bare = F.regexp_replace(F.regexp_replace(F.trim(clause), INSTRUCTIONS, ""), TRAILING_ADVERB, "")
         parts = F.split(F.regexp_replace(bare, r"^[ \-()'\"]+|[ \-()'\"]+$", ""), r"\s+")
         return F.slice(F.filter(F.transform(parts, lambda w: F.regexp_replace(w, r"^[()'\"]+|[()'\"]+$", "")), lambda w: w != ""), 1, 6)
 

@@ -6,7 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quillmine.functions import text as X
+from quillmine.session import bounded
 
+#: Entries of a catalogue at most, as its codes and names go to every task.
+CATALOGUE = 100_000
 #: How many rows are looked at, and words that no subject name has.
 ROWS = 15
 NOT_A_NAME = "time|note|max|marks|answer|module|hours|hrs|bloom|course|outcome"
@@ -18,6 +21,7 @@ def header_metadata(rows: DataFrame, catalogue: DataFrame) -> DataFrame:
 
     ``catalogue`` (``code``, ``name``) is a fixed dimension; names that several codes share decide nothing.
     """
+    catalogue = bounded(catalogue, CATALOGUE, "the catalogue")
     place = F.row_number().over(Window.partitionBy("paper_id").orderBy("row_no"))
     known = catalogue.agg(F.collect_set("code").alias("known"))
     lines = rows.withColumn("n", place).filter(F.col("n") <= ROWS)
@@ -55,7 +59,7 @@ def _named(per: DataFrame, catalogue: DataFrame) -> DataFrame:
     guess = per.crossJoin(F.broadcast(listed)).withColumn("fit", fits)
     code = F.coalesce("explicit", F.when(F.col("fit")["codes"] == 1, F.col("fit")["code"]))
     official = catalogue.select(F.col("code").alias("explicit"), F.col("name").alias("official"))
-    out = guess.withColumn("code", code).join(F.broadcast(official), "explicit", "left")
+    out = guess.withColumn("code", code).join(official, "explicit", "left")
     name = F.when(F.col("explicit").isNotNull(), F.coalesce("official", "title", "explicit")).otherwise(F.col("title"))
     return out.select("paper_id", "code", name.alias("name"), "month", "year", F.when(F.col("model"), "mqp").otherwise("regular").alias("exam_type"))
 

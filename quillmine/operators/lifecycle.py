@@ -21,8 +21,10 @@ def upsert(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
 
 
 def insert_new(table: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Rows are added unless their key is there already."""
-    fresh = rows.dropDuplicates(list(keys)).join(table.select(*keys), list(keys), "left_anti")
+    """Rows are added unless their key is there already; of several with one key the least in column order."""
+    rest = [c for c in table.columns if c not in keys]
+    one = rows.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("v")).select(*keys, "v.*") if rest else rows.select(*keys).distinct()
+    fresh = one.join(table.select(*keys), list(keys), "left_anti")
     return table.unionByName(fresh.select(*table.columns))
 
 

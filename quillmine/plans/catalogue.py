@@ -16,7 +16,7 @@ from quillmine.functions import text as X
 from quillmine.functions import vectors as V
 from quillmine.operators import browse, fold, headers, layout, lifecycle, match, parse, scoring
 from quillmine.plans import rebuild, snapshot
-from quillmine.session import materialize, table, work_path
+from quillmine.session import bounded, materialize, table, work_path
 from quillmine.streaming import ingest
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -252,7 +252,7 @@ def filename_metadata(spark, sf):
 @query()
 def filename_codes(spark, sf):
     """Subject code of each file name; the catalogue's codes (a fixed list) are one array column."""
-    known = table(spark, sf, "subjects").agg(F.collect_set("code").alias("known"))
+    known = bounded(table(spark, sf, "subjects"), headers.CATALOGUE, "the catalogue").agg(F.collect_set("code").alias("known"))
     papers = table(spark, sf, "papers").select("id", "filename").crossJoin(F.broadcast(known))
     return papers.select("id", F.coalesce(X.find_code(X.stem(F.col("filename")), F.col("known")), F.lit("UNKNOWN")).alias("code"))
 

@@ -42,6 +42,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def bounded(df: DataFrame, limit: int, what: str) -> DataFrame:
+    """``df`` itself once its rows are known to be at most ``limit``, so that it may go to every task."""
+    if df.limit(limit + 1).count() > limit:
+        raise ValueError(f"{what} has more than {limit} rows; it can't be sent to every task, so apply the operator to parts of it")
+    return df
+
+
 def _drop_used() -> None:
     """Remove this process's tables when it ends; nothing can read them after that."""
     for path in _USED:
