@@ -131,7 +131,7 @@ _ROW = "district long, island int, item long, piece int, size long, bin double,
 
 def _round(items: DataFrame, districts: int, capacity: int) -> DataFrame:
     """Pack items (``item``, ``piece``, ``size``) in districts; (district, item, piece, size, bin)."""
-    # round robin by size gives every district the same mix
+    # by hash, every district gets the same mix of sizes
     spread = F.pmod(F.xxhash64("item", "piece"), F.lit(districts))
     rows = items.select(spread.alias("district"), F.explode(F.sequence(F.lit(0), F.lit(ISLANDS - 1))).alias("island"), "item", "piece", "size", F.lit(None).cast("double").alias("bin"))
     for epoch in range(EPOCHS):

@@ -33,7 +33,7 @@ from quillmine.session import materialize, remove_path
 KNOWN_WORDS = 65_536
 ALONE_UP_TO, PAIRED_UP_TO = 2_000, 50_000
 LEAST_WORDS = 8
-PAIRS_AT_ONCE = 4_000_000
+PAIRS_AT_ONCE = 1_000_000
 
 
 def word_hashes(text: Column) -> Column:
@@ -77,8 +77,8 @@ def _unpack(batches: Iterator[pa.RecordBatch], kinds: tuple[type, ...]) -> list[
 
 
 def _parts(spark: SparkSession, entries: int) -> int:
-    """Number of shuffle parts: the session's, or more so that a part holds some two million entries."""
-    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // 2_000_000)
+    """Number of shuffle parts: the session's, or more so that a task holds less than a million entries."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), entries // 750_000)
 
 
 @dataclass(frozen=True)

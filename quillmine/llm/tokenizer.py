@@ -22,8 +22,9 @@ from pyspark.sql import Column, DataFrame
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how this vocabulary's texts are split into words before merges apply.
 SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-WORDS_KEPT = 400_000
-STATES_KEPT = 1_500_000
+#: What a worker keeps at most; beyond it, it starts anew.  A state takes about half a kilobyte.
+WORDS_KEPT = 200_000
+STATES_KEPT = 250_000
 
 
 class _State:
@@ -49,6 +50,7 @@ class Transducer:
         self.joins: dict[tuple[int, int], bool] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.states: dict[tuple[int, bytes], _State] = {}
+        self.made = 0
         self.start = _State(-1, b"", [(-1, 0)])
 
     @classmethod
@@ -83,6 +85,7 @@ class Transducer:
         return out[::-1]
 
     def _step(self, state: _State, byte: int) -> tuple[tuple[int, ...], _State]:
+        self.made += 1
         pending, cells = state.pending + bytes((byte,)), list(state.cells)
         n = len(pending)
         for length in range(min(n, self.longest), 0, -1):
@@ -109,8 +112,6 @@ class Transducer:
         cut = sum(len(self.bytes_of[t]) for t in out)
         key = (out[-1], pending[cut:])
         if key not in self.states:
-            if len(self.states) > STATES_KEPT:
-                self.states.clear()
             self.states[key] = _State(out[-1], pending[cut:], [(-1, 0), *cells[cut + 1 :]])
         return out, self.states[key]
 
@@ -131,7 +132,8 @@ class Transducer:
     def _unseen(self, word: str) -> tuple[int, ...]:
         if len(self.words) > WORDS_KEPT:
             self.words.clear()
-            self.start = _State(-1, b"", [(-1, 0)])
+        if self.made > STATES_KEPT:
+            self.made, self.start = 0, _State(-1, b"", [(-1, 0)])
             self.states.clear()
         ids = self.word(word)
         if len(word) < 64:
