@@ -12,6 +12,7 @@ from collections.abc import Callable, Iterable, Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
@@ -113,6 +114,12 @@ def greedy_clusters(threshold: float):
     return fresh
 
 
+def ballots(votes: DataFrame, topic: list[str]) -> DataFrame:
+    """(topic, votes): votes (topic, ``stable_key``, ``label``, ``n``, ``first``) as claim_keys takes them; equal counts by the first question."""
+    vote = F.struct((-F.col("n")).alias("n"), "first", F.col("stable_key").alias("old_key"), "label")
+    return votes.groupBy(*topic).agg(F.sort_array(F.collect_list(vote)).alias("votes"))
+
+
 def claim_keys():
     """Give each topic its most voted old key that no topic before it took.  Row: (topic, votes by falling count)."""
 

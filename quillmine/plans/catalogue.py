@@ -508,8 +508,8 @@ def best_match(spark, sf):
 @query()
 def question_clusters(spark, sf):
     """All live questions of all subjects as topics, with keys carried over from the former topics."""
-    topics, members = rebuild.topics_of(table(spark, sf, "sub_questions"), table(spark, sf, "papers"))
-    return rebuild.carried(topics, members, previous_keys(spark, sf).select("sub_question_id", "stable_key").distinct())
+    topics, members = rebuild.topics_of(table(spark, sf, "sub_questions"), table(spark, sf, "papers"), year=YEAR)
+    return rebuild.carried(topics, members, previous_keys(spark, sf))
 
 
 @query()
@@ -560,22 +560,24 @@ def confirm_violations(spark, sf):
 @query("""SELECT n.topic_id, o.stable_key, count(*) AS votes FROM (SELECT DISTINCT * FROM topic_appearances) n JOIN (SELECT DISTINCT * FROM topic_appearances) x ON x.sub_question_id = n.sub_question_id AND x.topic_id <> n.topic_id
     JOIN topics o ON o.id = x.topic_id GROUP BY 1, 2""")
 def carry_votes(spark, sf):
-    return _votes(spark, sf)
+    return _votes(spark, sf).groupBy("topic_id", "stable_key").agg(F.count("*").alias("votes"))
 
 
 def _votes(spark, sf):
     links = table(spark, sf, "topic_appearances").distinct()
-    keys = table(spark, sf, "topics").select(F.col("id").alias("old_id"), "stable_key")
+    keys = table(spark, sf, "topics").select(F.col("id").alias("old_id"), "stable_key", "label")
     old = links.select(F.col("topic_id").alias("old_id"), "sub_question_id").join(keys, "old_id")
-    return links.join(old, "sub_question_id").filter("topic_id <> old_id").groupBy("topic_id", "stable_key").agg(F.count("*").alias("votes"))
+    return links.join(old, "sub_question_id").filter("topic_id <> old_id")
 
 
 @query()
 def carry_claims(spark, sf):
-    """Old keys claimed by topics in order of module and id, each key once per subject."""
-    votes = _votes(spark, sf).groupBy("topic_id").agg(F.sort_array(F.collect_list(F.struct((-F.col("votes")).alias("n"), F.col("stable_key").alias("old_key"), F.lit(None).cast("string").alias("label")))).alias("votes"))
+    """Old keys and their labels claimed by topics in order of module and rank, each key once per subject; topics without a rank come last."""
+    votes = _votes(spark, sf).groupBy("topic_id", "stable_key", "label").agg(F.count("*").alias("n"), F.min("sub_question_id").alias("first"))
+    ranks = scoring.ranked(_scores(spark, sf)).select("topic_id", "rank_no")
     topics = table(spark, sf, "topics").select(F.col("id").alias("topic_id"), F.upper(F.trim("subject_code")).alias("subject"), "module_no", F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 12).alias("own"))
-    return fold.ordered_fold(topics.join(votes, "topic_id", "left"), ["subject"], ["module_no", "topic_id"], ["topic_id", "votes", "own"], "topic_id int, key string, label string", fold.claim_keys())
+    rows = topics.join(ranks, "topic_id", "left").join(fold.ballots(votes, ["topic_id"]), "topic_id", "left").withColumn("unranked", F.col("rank_no").isNull())
+    return fold.ordered_fold(rows, ["subject"], ["module_no", "unranked", "rank_no", "topic_id"], ["topic_id", "votes", "own"], "topic_id int, key string, label string", fold.claim_keys())
 
 
 # ---------------------------------------------------------------- page layout and parsing

@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from quillmine.functions import text as X
 from quillmine.functions import vectors as V
-from quillmine.operators import cluster, fold
+from quillmine.operators import cluster, fold, scoring
 from quillmine.session import materialize
 
 SHORTEST = 12
 
 
-def topics_of(questions: DataFrame, papers: DataFrame, threshold: float = 0.7, encode=None) -> tuple[DataFrame, DataFrame]:
-    """(topics, members): ``members`` links each question to its topic."""
+def topics_of(questions: DataFrame, papers: DataFrame, threshold: float = 0.7, encode=None, year: int = 2025) -> tuple[DataFrame, DataFrame]:
+    """(topics, members): ``members`` links each question to its topic; ``rank_no`` counts topics within a module as of ``year``."""
     live = papers.filter("status = 'approved'").select(F.col("id").alias("paper_id"), F.upper(F.trim("subject_code")).alias("subject"), "exam_year")
     rows = questions.select(F.col("id").cast("long").alias("id"), "paper_id", "module_no", "text", "marks").join(live, "paper_id")
     rows = rows.filter(F.col("subject").isNotNull() & F.col("module_no").between(1, 5) & (F.length(F.trim("text")) >= SHORTEST))
@@ -28,19 +28,28 @@ def topics_of(questions: DataFrame, papers: DataFrame, threshold: float = 0.7, e
         F.coalesce(F.avg(F.when(F.col("marks") != 0, F.col("marks"))), F.lit(0.0)).alias("avg_marks"),
         F.countDistinct("paper_id").alias("frequency"), F.max("exam_year").alias("last_seen_year"), F.min("id").alias("first_id"),
     )
+    asked = F.least(F.lit(year), F.when(F.col("exam_year") != 0, F.col("exam_year")))
+    once = members.groupBy("subject", "module_no", "cluster", "paper_id").agg(F.max("exam_year").alias("exam_year"))
+    score = once.groupBy("subject", "module_no", "cluster").agg(F.sum(F.pow(F.lit(scoring.DECAY), F.lit(year) - asked)).alias("score"))
+    total = live.groupBy("subject").agg(F.count("*").alias("total"))
+    topics = topics.join(score, ["subject", "module_no", "cluster"]).join(total, "subject").withColumn("weighted_score", scoring.half_up(F.col("score") + 1e-9, 4))
+    topics = scoring.ranked(topics.withColumn("topic_id", F.col("cluster"))).drop("topic_id", "score", "total")
     own = F.substring(F.sha2(F.concat_ws("|", "subject", "module_no", "first_id"), 256), 1, 12)
-    topics = topics.withColumn("own", own).withColumn("label", X.phrase_label(F.col("representative_text")))
+    topics = topics.withColumn("own", own)
     return topics, members.select("subject", "module_no", "cluster", F.col("id").alias("sub_question_id"))
 
 
 def carried(topics: DataFrame, members: DataFrame, previous: DataFrame) -> DataFrame:
-    """Topics with ``stable_key``: the most voted old key that is free, else a new one made from the topic itself.
+    """Topics with ``stable_key`` and ``label``: the most voted old key that is free and its label, else new ones made from the topic itself.
 
-    ``previous``: sub_question_id, stable_key.
+    ``previous``: sub_question_id, stable_key and, where there are any, label.  Topics claim in order of module and rank.
     """
-    votes = members.join(previous, "sub_question_id").groupBy("subject", "module_no", "cluster", "stable_key").agg(F.count("*").alias("n"))
-    ballots = votes.groupBy("subject", "module_no", "cluster").agg(F.sort_array(F.collect_list(F.struct((-F.col("n")).alias("n"), F.col("stable_key").alias("old_key"), F.lit(None).cast("string").alias("label")))).alias("votes"))
-    rows = topics.select("subject", "module_no", "cluster", "own").join(ballots, ["subject", "module_no", "cluster"], "left").withColumn("topic", F.struct("module_no", "cluster"))
-    claimed = fold.ordered_fold(rows, ["subject"], ["module_no", "cluster"], ["topic", "votes", "own"], "topic struct<module_no: int, cluster: int>, stable_key string, old_label string", fold.claim_keys())
-    keys = claimed.select("subject", F.col("topic.module_no").alias("module_no"), F.col("topic.cluster").alias("cluster"), "stable_key")
-    return topics.drop("own", "first_id").join(keys, ["subject", "module_no", "cluster"])
+    topic = ["subject", "module_no", "cluster"]
+    if "label" not in previous.columns:
+        previous = previous.withColumn("label", F.lit(None).cast("string"))
+    votes = members.join(previous, "sub_question_id").groupBy(*topic, "stable_key", "label").agg(F.count("*").alias("n"), F.min("sub_question_id").alias("first"))
+    rows = topics.select(*topic, "rank_no", "own").join(fold.ballots(votes, topic), topic, "left").withColumn("topic", F.struct("module_no", "cluster"))
+    claimed = fold.ordered_fold(rows, ["subject"], ["module_no", "rank_no"], ["topic", "votes", "own"], "topic struct<module_no: int, cluster: int>, stable_key string, old_label string", fold.claim_keys())
+    keys = claimed.select("subject", F.col("topic.module_no").alias("module_no"), F.col("topic.cluster").alias("cluster"), "stable_key", "old_label")
+    label = F.coalesce(X.blank_to_null(F.col("old_label")), X.phrase_label(F.col("representative_text")))
+    return topics.drop("own", "first_id").join(keys, topic).withColumn("label", label).drop("old_label")

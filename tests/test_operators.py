@@ -173,6 +173,24 @@ def test_rebuild_keeps_keys(spark):
     assert len(fresh) == 2 and all(len(k) == 12 for k in fresh)
 
 
+def test_labels_carried_by_rank(spark):
+    texts = ["Explain the paging unit of the memory", "Describe the routing table of a switch"]
+    # the first topic is met once, long ago; the second in two papers, so it ranks first and claims the key that both want
+    q = spark.createDataFrame([(1, 1, 1, texts[0], 8), (2, 1, 1, texts[1], 8), (3, 2, 1, texts[1], 8)], "id int, paper_id int, module_no int, text string, marks int")
+    p = spark.createDataFrame([(1, "approved", "s1", 2018), (2, "approved", "s1", 2025)], "id int, status string, subject_code string, exam_year int")
+    topics, members = rebuild.topics_of(q, p)
+    old = spark.createDataFrame([(1, "k1", "Old label"), (2, "k1", "Old label"), (3, "k1", "Old label")], "sub_question_id long, stable_key string, label string")
+    got = {r["representative_text"]: (r["rank_no"], r["stable_key"], r["label"]) for r in rebuild.carried(topics, members, old).collect()}
+    assert got[texts[1]] == (1, "k1", "Old label")
+    assert got[texts[0]][0] == 2 and got[texts[0]][1] != "k1" and got[texts[0]][2] == "Paging Unit of the Memory"
+
+
+def test_claims_carry_labels(spark, small):
+    old = {(r["stable_key"], r["label"]) for r in catalogue.table(spark, small, "topics").collect()}
+    taken = [(r["key"], r["label"]) for r in catalogue.QUERIES["carry_claims"](spark, small).collect() if r["key"] in {k for k, _ in old}]
+    assert any(label for _, label in taken) and set(taken) <= old
+
+
 def test_encoder(spark):
     df = spark.createDataFrame([("paging in memory",), ("Paging  in memory",), ("",), (None,)], "t string")
     a, b, c, d = (np.array(r[0]) for r in df.select(V.encoder(32)(F.col("t"))).collect())
