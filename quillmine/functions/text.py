@@ -52,6 +52,11 @@ INSTRUCTIONS = (
     rf"(?:{'|'.join(VERBS)})(?:\s+|$)(?:and\s+(?:explain|describe|discuss)\s+|out\s+|down\s+)?|"
     r"(?:an?|the|about|in\s+brief|in\s+detail|short\s+notes?\s+on|notes?\s+on|(?:the\s+)?following|between|different|various|any\s+(?:two|three|four))(?:\s+|$))+"
 )
+SUB_LABEL = r"^[a-cA-C][.)]\s+"
+WELL_FORMED = (
+    r"(?i)^(?:what|which|how|why|explain|define|describe|discuss|derive|compare|differentiate|distinguish|"
+    r"list|write|draw|illustrate|state|briefly|give|find|solve|design|develop|construct)\b"
+)
 TRAILING_ADVERB = r"(?i)\s+(?:in\s+detail|in\s+brief|briefly|neatly|in\s+short)$"
 
 
@@ -185,10 +190,34 @@ def title_case(words: Column) -> Column:
     return F.array_join(F.transform(words, shape), " ")
 
 
+def bare_wording(text: Column) -> Column:
+    """A question without white space at its ends and without its label a, b or c."""
+    return F.regexp_replace(F.regexp_replace(text, r"(?U)^\s+|\s+$", ""), SUB_LABEL, "")
+
+
+def well_formed(bare: Column) -> Column:
+    """Whether a wording begins as a question does."""
+    return bare.rlike(WELL_FORMED)
+
+
+def shown_word(word: Column) -> Column:
+    """A word as labels show it: capitals as written, else with one at the front."""
+    return F.when(F.upper(word) == word, word).otherwise(F.concat(F.upper(F.substring(word, 1, 1)), F.lower(F.substr(word, F.lit(2)))))
+
+
+def clean_label(label: Column) -> Column:
+    """White space squeezed, at most 80 signs, never empty."""
+    return F.coalesce(blank_to_null(F.substring(squeeze(label), 1, 80)), F.lit("Untitled topic"))
+
+
 def phrase_label(text: Column) -> Column:
     """Subject of a question: its first clause without instruction words, at most six words."""
-    c = F.regexp_replace(F.trim(text), r"^[a-cA-C][.)]\s+", "")
-    clauses = F.split(F.regexp_replace(F.regexp_replace(c, WITH_DIAGRAM, ""), LIST_MARKER, " "), CLAUSE_END)
+    return phrase_of(bare_wording(text))
+
+
+def phrase_of(bare: Column) -> Column:
+    """``phrase_label`` of a wording that is bare already."""
+    clauses = F.split(F.regexp_replace(F.regexp_replace(bare, WITH_DIAGRAM, ""), LIST_MARKER, " "), CLAUSE_END)
 
     def words(clause: Column) -> Column:
         bare = F.regexp_replace(F.regexp_replace(F.trim(clause), INSTRUCTIONS, ""), TRAILING_ADVERB, "")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from quillmine.functions import catalog as C
 from quillmine.functions import text as X
 from quillmine.functions import vectors as V
-from quillmine.operators import browse, fold, headers, layout, lifecycle, match, parse, scoring
+from quillmine.operators import browse, fold, headers, labels, layout, lifecycle, match, parse, scoring
 from quillmine.plans import rebuild, snapshot
 from quillmine.session import bounded, materialize, table, work_path
 from quillmine.streaming import ingest
@@ -308,7 +308,11 @@ def encoded(spark, sf):
 
 @query()
 def phrase_labels(spark, sf):
-    return table(spark, sf, "topics").select("id", X.phrase_label(F.col("representative_text")).alias("label"))
+    """Label of each topic from all its wordings, or from its representative text where it has none."""
+    met = _met(spark, sf).filter("text <> ''").select(F.col("topic_id").alias("id"), F.col("sub_question_id").cast("long").alias("sub_question_id"), "text")
+    topics = table(spark, sf, "topics").select("id", "representative_text")
+    alone = topics.join(met.select("id").distinct(), "id", "left_anti").select("id", F.lit(0).cast("long").alias("sub_question_id"), F.col("representative_text").alias("text"))
+    return labels.topic_labels(met.unionByName(alone.withColumn("text", F.coalesce("text", F.lit("")))), ["id"])
 
 
 _STOP_SQL = ", ".join(f"'{w}'" for w in X.STOP_WORDS)

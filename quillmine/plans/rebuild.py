@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillmine.functions import text as X
 from quillmine.functions import vectors as V
-from quillmine.operators import cluster, fold, scoring
+from quillmine.operators import cluster, fold, labels, scoring
 from quillmine.session import materialize
 
 SHORTEST = 12
@@ -36,7 +36,7 @@ def topics_of(questions: DataFrame, papers: DataFrame, threshold: float = 0.7, e
     topics = scoring.ranked(topics.withColumn("topic_id", F.col("cluster"))).drop("topic_id", "score", "total")
     own = F.substring(F.sha2(F.concat_ws("|", "subject", "module_no", "first_id"), 256), 1, 12)
     topics = topics.withColumn("own", own)
-    return topics, members.select("subject", "module_no", "cluster", F.col("id").alias("sub_question_id"))
+    return topics, members.select("subject", "module_no", "cluster", F.col("id").alias("sub_question_id"), "text")
 
 
 def carried(topics: DataFrame, members: DataFrame, previous: DataFrame) -> DataFrame:
@@ -50,6 +50,8 @@ def carried(topics: DataFrame, members: DataFrame, previous: DataFrame) -> DataF
     votes = members.join(previous, "sub_question_id").groupBy(*topic, "stable_key", "label").agg(F.count("*").alias("n"), F.min("sub_question_id").alias("first"))
     rows = topics.select(*topic, "rank_no", "own").join(fold.ballots(votes, topic), topic, "left").withColumn("topic", F.struct("module_no", "cluster"))
     claimed = fold.ordered_fold(rows, ["subject"], ["module_no", "rank_no"], ["topic", "votes", "own"], "topic struct<module_no: int, cluster: int>, stable_key string, old_label string", fold.claim_keys())
-    keys = claimed.select("subject", F.col("topic.module_no").alias("module_no"), F.col("topic.cluster").alias("cluster"), "stable_key", "old_label")
-    label = F.coalesce(X.blank_to_null(F.col("old_label")), X.phrase_label(F.col("representative_text")))
-    return topics.drop("own", "first_id").join(keys, topic).withColumn("label", label).drop("old_label")
+    keys = claimed.select("subject", F.col("topic.module_no").alias("module_no"), F.col("topic.cluster").alias("cluster"), "stable_key", X.blank_to_null(F.col("old_label")).alias("old_label"))
+    keys = materialize(keys, "claimed")
+    new = labels.topic_labels(members.join(keys.filter("old_label is null").select(*topic), topic), topic)
+    label = X.clean_label(F.coalesce("old_label", "label"))
+    return topics.drop("own", "first_id").join(keys, topic).join(new, topic, "left").withColumn("label", label).drop("old_label")

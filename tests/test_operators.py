@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillmine.functions import vectors as V
-from quillmine.operators import browse, cluster, fold, headers, layout, lifecycle, match, parse, scoring
+from quillmine.operators import browse, cluster, fold, headers, labels, layout, lifecycle, match, parse, scoring
 from quillmine.plans import catalogue, rebuild, snapshot
 from quillmine.session import qualified, work_path
 from quillmine.sources import tables
@@ -185,6 +185,25 @@ def test_labels_carried_by_rank(spark):
     assert got[texts[0]][0] == 2 and got[texts[0]][1] != "k1" and got[texts[0]][2] == "Paging Unit of the Memory"
 
 
+def test_labels_of_all_wordings(spark):
+    texts = {
+        1: ["memory paging unit of a machine", "Explain the paging unit in detail", "Describe the paging unit with a neat diagram"],  # well-formed, then shortest
+        2: ["b) ?", "a. Explain the CRC encoder"],  # a fragment isn't tried beside a question
+        3: ["Explain with example. Define the", "Explain with example. Define the, Explain"],  # no phrase and no word
+        4: ["??", "(of) the (of)"],
+        5: ["Explain, define; of: in; the. of"],
+        6: ["  "],
+    }
+    df = spark.createDataFrame([(t, 10 * t + i, w) for t, ws in texts.items() for i, w in enumerate(ws)], "id int, sub_question_id long, text string")
+    got = {r["id"]: r["label"] for r in labels.topic_labels(df, ["id"]).collect()}
+    assert got[1] == "Paging Unit" and got[2] == "CRC Encoder" and got[6] == "Untitled topic"
+    assert got[4] == "??" and got[5] == texts[5][0]
+    words = {1: ["paging unit", "unit paging", "unit paging"], 2: ["CRC the encoder", "crc"], 3: ["token bucket", "bucket list"], 4: ["12 of"], 5: ["alpha. beta", "gamma"], 6: ["list paging"], 7: ["cat", "dog"], 8: ["beta"] * 4 + ["alpha"] * 5 + ["alpha beta"]}
+    df = spark.createDataFrame([(t, 10 * t + i, w) for t, ws in words.items() for i, w in enumerate(ws)], "id int, sub_question_id long, text string")
+    got = {r["id"]: r["leaders"] for r in labels.keyword_labels(df, ["id"]).collect()}
+    assert got == {1: "Unit Paging", 2: "CRC Encoder", 3: "Token Bucket & Bucket", 4: "12 of", 5: "Alpha Beta", 6: "Paging", 7: "Cat & Dog", 8: "Alpha Beta"}
+
+
 def test_claims_carry_labels(spark, small):
     old = {(r["stable_key"], r["label"]) for r in catalogue.table(spark, small, "topics").collect()}
     taken = [(r["key"], r["label"]) for r in catalogue.QUERIES["carry_claims"](spark, small).collect() if r["key"] in {k for k, _ in old}]
