@@ -13,7 +13,7 @@ from quillmine.functions.vectors import dot
 from quillmine.operators.scoring import half_up
 from quillmine.session import work_path
 
-BLOCK = 4_096
+BLOCK, TILE = 4_096, 2_048
 
 
 def nearest(queries: DataFrame, base: DataFrame) -> DataFrame:
@@ -105,6 +105,82 @@ def best_match(scores: DataFrame) -> DataFrame:
     return best.select("query_paper", (-F.col("m.col2")).alias("paper"), F.col("m.score").alias("score"))
 
 
+def best_live(queries: DataFrame, live: DataFrame, same: float = 0.85) -> DataFrame:
+    """(query_paper, paper, score): for each paper the live paper of the same subject that has the largest share of its questions, the lowest id on ties.
+
+    Both have ``subject``, ``paper`` and ``vector``.  Live questions are written ordered by subject; a task reads those of a
+    subject tile by tile and holds, for a tile of questions, which of the subject's papers have them.
+    """
+    path = work_path(live.sparkSession, "live")
+
+    def ordered(df: DataFrame) -> DataFrame:
+        rows = df.select("subject", F.col("paper").cast("long").alias("paper"), "vector")
+        return rows.repartitionByRange("subject", "paper").sortWithinPartitions("subject", "paper")
+
+    ordered(live).write.option("parquet.block.size", 1 << 22).parquet(path)
+
+    def flat(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
+        rows = batch.column("vector").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        return batch.column("paper").to_numpy(), rows.reshape(batch.num_rows, -1)
+
+    def starts(ids: np.ndarray) -> np.ndarray:
+        return np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyarrow import dataset, fs
+
+        files, root = fs.FileSystem.from_uri(path)
+        base = dataset.dataset(root, filesystem=files, format="parquet")
+
+        def held(subject: str, rows: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            ids, hits = [], []
+            for part in base.to_batches(columns=["paper", "vector"], filter=dataset.field("subject") == subject, batch_size=TILE, batch_readahead=1, fragment_readahead=1, use_threads=False):
+                if part.num_rows:
+                    papers, theirs = flat(part)
+                    at = starts(papers)
+                    ids.append(papers[at])
+                    hits.append(np.floor(np.maximum.reduceat(rows @ theirs.T, at, axis=1) * 1e3 + 0.5) / 1e3 >= same)
+            if not ids:
+                return np.empty(0, np.int64), np.empty((len(rows), 0), bool)
+            found = np.concatenate(ids)
+            order = np.argsort(found, kind="stable")
+            at = starts(found[order])
+            return found[order][at], np.logical_or.reduceat(np.concatenate(hits, axis=1)[:, order], at, axis=1)
+
+        current, others, counts, total, out = None, np.empty(0, np.int64), np.empty(0), 0, []
+
+        def close() -> None:
+            score = np.where(others == current[1], -1.0, np.floor(counts / total * 1e3 + 0.5) / 1e3)
+            if len(score) and (most := score.max()) >= 0:
+                out.append((current[1], int(others[score == most].min()), float(most)))
+
+        for batch in batches:
+            subjects = np.asarray(batch.column("subject").to_pylist(), object)
+            cuts = [*starts(subjects).tolist(), len(subjects)] if len(subjects) else [0]
+            for low, high in zip(cuts, cuts[1:], strict=False):
+                for i in range(low, high, TILE):
+                    own, rows = flat(batch.slice(i, min(TILE, high - i)))
+                    names, hits = held(subjects[low], rows)
+                    at = starts(own)
+                    sums = np.add.reduceat(hits, at, axis=0, dtype=np.int64) if len(names) else np.zeros((len(at), 0), np.int64)
+                    for k, n, more in zip(own[at].tolist(), np.diff([*at, len(own)]).tolist(), sums, strict=True):
+                        if current != (subjects[low], k):
+                            if current is not None:
+                                close()
+                            current, others, counts, total = (subjects[low], k), names, np.zeros(len(names), np.int64), 0
+                        counts, total = counts + more, total + n
+            if len(out) > 5_000:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["query_paper", "paper", "score"])
+                out.clear()
+        if current is not None:
+            close()
+        if out:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["query_paper", "paper", "score"])
+
+    kinds = [pa.int64(), pa.int64(), pa.float64()]
+    return ordered(queries).mapInArrow(run, "query_paper long, paper long, score double")
+
+
 def assign(rows: DataFrame, centres: DataFrame, key: str, threshold: float) -> DataFrame:
     """(id, cluster): the nearest centre, or none where it is below ``threshold``.
 

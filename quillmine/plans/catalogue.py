@@ -543,14 +543,30 @@ def appearance_text(spark, sf):
         CASE WHEN p.session_key IS NOT NULL AND EXISTS (SELECT 1 FROM papers o WHERE o.session_key = p.session_key AND o.status = 'approved' AND o.id <> p.id) THEN 'The session has a paper already.' END) AS reasons
     FROM papers p LEFT JOIN q ON q.paper_id = p.id LEFT JOIN subjects s ON s.code = p.subject_code""")
 def gate_and_reasons(spark, sf):
+    """Gate and reasons as far as SQL states them, without the comparison of questions; ``paper_decisions`` has all reasons."""
+    return _decided(spark, sf, None)
+
+
+def _decided(spark, sf, best):
     papers = table(spark, sf, "papers")
     asked = table(spark, sf, "sub_questions").groupBy(F.col("paper_id").alias("id")).agg(F.count("*").alias("n"), F.countDistinct("module_no").alias("m"))
     live = papers.filter("status = 'approved' and session_key is not null").groupBy("session_key").agg(F.count("*").alias("live"))
     known = table(spark, sf, "subjects").select(F.col("code").alias("subject_code"), F.lit(True).alias("known"))
     rows = papers.select("id", "subject_code", "session_key", "status").join(asked, "id", "left").join(live, "session_key", "left").join(known, "subject_code", "left")
+    rows = rows.join(best, "id", "left") if best is not None else rows.withColumn("score", F.lit(0.0))
     clash = F.coalesce(F.col("live") - F.when(F.col("status") == "approved", 1).otherwise(0), F.lit(0)) > 0
     n, m = F.coalesce("n", F.lit(0)), F.coalesce("m", F.lit(0))
-    return rows.select("id", lifecycle.gate(n, m).alias("gate"), match.decision(F.coalesce("known", F.lit(False)), n, m, clash, F.lit(0.0)).alias("reasons"))
+    return rows.select("id", lifecycle.gate(n, m).alias("gate"), match.decision(F.coalesce("known", F.lit(False)), n, m, clash, F.coalesce("score", F.lit(0.0))).alias("reasons"))
+
+
+@query()
+def paper_decisions(spark, sf):
+    """Gate and all reasons of every paper, its questions compared with those of each other live paper of its subject."""
+    papers = table(spark, sf, "papers").select(F.col("id").alias("paper"), F.col("subject_code").alias("subject"), "status").filter("subject is not null")
+    asked = table(spark, sf, "sub_questions").select(F.col("paper_id").alias("paper"), V.encoder()(F.col("text")).alias("vector"))
+    rows = materialize(asked.join(papers, "paper"), "asked")
+    best = match.best_live(rows, rows.filter("status = 'approved'"))
+    return _decided(spark, sf, best.select(F.col("query_paper").alias("id"), "score"))
 
 
 @query(f"""SELECT id, concat_ws(',', CASE WHEN NOT coalesce(regexp_full_match(upper(trim(subject_code)), 'B[A-Z]{{1,5}}[0-9]{{3}}[A-Z]?'), false) THEN 'code' END, CASE WHEN NOT coalesce(paper_type IN ('see', 'model'), false) THEN 'type' END,

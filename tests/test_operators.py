@@ -89,6 +89,27 @@ def test_papers_compared(spark):
     assert near == {q: max((float(np.floor(np.dot(rows[q][2], v) * 1e6 + 0.5)), -i) for _, i, v in rows if i != q)[1] * -1 for q in range(5)}
 
 
+def test_best_live_paper(spark):
+    rows = [("s" if s < 40 else "t", s, v) for s, _, v in unit_rows(400, 8, 7, spaces=50)]
+    df = spark.createDataFrame(rows, "subject string, paper int, vector array<double>")
+    live = df.filter("paper % 3 <> 0")
+    got = {r["query_paper"]: (r["paper"], r["score"]) for r in match.best_live(df, live, 0.9).collect()}
+    want = {(r["query_paper"], r["paper"]): r["score"] for r in match.compare_papers(df.withColumn("id", F.monotonically_increasing_id()), live, 0.9).collect()}
+    kind = {p: s for s, p, _ in rows}
+    assert got == {a: (-i, s) for a in kind for s, i in [max((s, -b) for (x, b), s in want.items() if x == a and kind[b] == kind[a])]}
+
+
+def test_copy_of_a_live_paper(spark, tmp_path):
+    words = "paging routing caching hashing sorting queueing coding linking".split()
+    papers = [(1, "approved", "S1", "a"), (2, "review", "S1", "b"), (3, "review", "S1", "a"), (4, "review", "S2", "c"), (5, "review", "S1", None)]
+    spark.createDataFrame(papers, "id int, status string, subject_code string, session_key string").write.parquet(f"{tmp_path}/papers.parquet")
+    asked = [(p, 1 + i % 4, f"Explain the {w} unit" if p < 5 else f"Derive some {w[::-1]} formula anew") for p, *_ in papers for i, w in enumerate(words)]
+    spark.createDataFrame(asked, "paper_id int, module_no int, text string").write.parquet(f"{tmp_path}/sub_questions.parquet")
+    spark.createDataFrame([("S1",), ("S2",)], "code string").write.parquet(f"{tmp_path}/subjects.parquet")
+    got = {r["id"]: r["reasons"] for r in catalogue.QUERIES["paper_decisions"](spark, str(tmp_path)).collect()}
+    assert got == {1: "", 2: "It closely matches another paper.", 3: "The session has a paper already.", 4: "", 5: ""}
+
+
 # ------------------------------------------------------------- parsing and layout
 
 
