@@ -1,37 +1,56 @@
 """New batches held against all accepted history (problem 1).
 
-The history is a chunk-to-record table.  Chunks are content-defined: the boundaries depend on a
-hash of what was just read, never on a position, so an insertion moves no later boundary.
-
-``chunk_table`` cuts the bytes of a text where a rolling hash of a window is 0 under a mask, and
-``coverage`` sums for every record the bytes of its chunks that the history holds.
-
-A question has some 230 characters and a re-set one may differ in every fourth word, which leaves
-hardly a byte chunk intact.  For the duplicates the stream is therefore the record's
-distinct words, rare ones first, and a chunk closes as soon as it is rare: a rare word is a chunk,
-frequent words close one only as a pair or as three.  A record is looked up by the leading chunks
-that the bound on its coverage leaves, and shared totals decide exactly.
+The history is a set of tables in a folder: a chunk-to-record table cut into buckets by chunk, the
+records' words cut into buckets by record, and a manifest.  ``open`` reads the manifest, ``check``
+judges a batch, ``append`` adds accepted records; neither reads the whole history.
+
+``check`` cuts a record's words, as one stream of bytes, where a rolling hash of ``WINDOW`` bytes is
+0 under a mask, so that an insertion moves no later boundary.  The chunks go to the tasks of their
+buckets, which read these buckets only, and the bytes of the chunks that a new record shares with an
+old one are added up.  A record covered by at least one part in ``COVERED`` is fetched with its
+words and compared exactly.
+
+Byte chunks can't decide by themselves: two questions with 70 % of their words in common may share
+no chunk.  And a chunk that more than ``LISTED`` records of a batch or of the history hold (the same
+instruction, a stock phrase) has no list that could be looked up.  For the records that coverage
+leaves undecided the stream is therefore the record's distinct words, rare ones first, and a chunk
+closes as soon as it is rare: a rare word is a chunk, frequent ones close one as a pair or as three.
+These chunks lie in a table of the same form, and by the prefix bound of ``similarity.py`` they miss
+no near-duplicate.  README has the share that each kind of chunk finds.
+
+The number of buckets grows fourfold when a bucket would hold more than ``bucket_rows`` rows, so a
+small batch reads as much of a long history as of a short one.  A manifest is written after the
+tables it names, so a lost executor or driver leaves the former version valid.
 
 Defined results: null texts, texts of fewer than ``least`` words, records without a known batch
 and hashes that are null or not 64 hex digits match nothing; repeated rows are judged one by one;
-an empty history finds nothing.
+an empty history finds nothing; an empty batch adds nothing.
 """
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import inheritable_thread_target
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.llm import similarity
-from quillmine.session import materialize, remove_path, work_path
+from quillmine.session import drop, materialize, qualified, remove_path, work_path
 
-NEVER = 2**30
-WINDOW, MASK = 12, 31
+WINDOW, MASK = 12, 15
+COVERED, LISTED = 4, 24
 _BASE = np.uint64(0x9E3779B97F4A7C15)
+_INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
+_CHUNK = "chunk long, uid long, bytes int"
+_ENTRY = "chunk long, uid long, size long, sketch long"
+_RECORD = "uid long, uid2 long, known array<smallint>, rest array<bigint>"
 
 
 def hash_digits(value: Column) -> Column:
@@ -52,70 +71,55 @@ def seen_hashes(papers: DataFrame) -> DataFrame:
     return rows.join(since, "digits").filter("batch > since").select("id")
 
 
-def seen_texts(rows: DataFrame, batches: DataFrame, tenths: int = 7) -> DataFrame:
-    """``id`` of rows near-duplicate to a row of an accepted paper of an earlier batch.
+def stream_of(text: Column) -> Column:
+    """The words of a text in lower case, each with a blank behind it."""
+    return F.concat(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
 
-    ``rows``: ``id`` long, ``paper_id``, ``text``; ``batches``: ``paper_id``, ``batch`` int, ``accepted`` boolean.
-    All batches are judged in one pass: a pair counts where one side was accepted before the other's last batch.
+
+def cut(texts: list[bytes], window: int = WINDOW, mask: int = MASK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text number, chunk hash, bytes) of the content-defined chunks of texts.
+
+    All hashes are differences of one running sum: a window's is of the window only, a chunk's of the chunk only.
     """
-    hashed = similarity.hashed_rows(rows.select("id", "paper_id", "text", F.lit(0).alias("space")))
-    members = materialize(hashed.select("uid", "id", "paper_id").join(batches.select("paper_id", "batch", "accepted"), "paper_id").filter(F.col("batch").isNotNull()).select("uid", "id", "batch", "accepted"), "members")
-    times = members.groupBy("uid").agg(F.coalesce(F.min(F.when(F.col("accepted"), F.col("batch"))), F.lit(NEVER)).alias("since"), F.max("batch").alias("last"))
-    times = materialize(times, "times")
-
-    def of(side: str) -> DataFrame:
-        return times.select(F.col("uid").alias(side), F.col("since").alias(f"since_{side}"), F.col("last").alias(f"last_{side}"))
-
-    pairs = similarity.candidate_pairs(hashed, tenths).join(of("a"), "a").join(of("b"), "b")
-    pairs = pairs.filter("since_a < last_b or since_b < last_a").select("a", "b")
-    pairs = materialize(pairs, "pairs")
-    pairs = materialize(similarity.confirmed(pairs, hashed, tenths).select("a", "b"), "pairs")
-    if files := hashed.inputFiles():
-        remove_path(rows.sparkSession, files[0].rsplit("/", 1)[0])
-    both = pairs.select(F.explode(F.array(F.struct(F.col("a").alias("at"), F.col("b").alias("uid")), F.struct(F.col("b").alias("at"), F.col("a").alias("uid")))).alias("p")).select("p.*")
-    near = both.join(times.select("uid", "since").filter(F.col("since") < NEVER), "uid").select(F.col("at").alias("uid"), "since")
-    first = near.unionByName(times.select("uid", "since")).groupBy("uid").agg(F.min("since").alias("since"))
-    return members.join(first, "uid").filter("batch > since").select("id")
-
-
-def _boundaries(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
-    """Where a chunk ends (exclusive) in the joined texts, from a rolling hash of ``WINDOW`` bytes."""
+    data = np.frombuffer(b"".join(texts), np.uint8).astype(np.uint64)
     n = len(data)
-    power = np.cumprod(np.full(n + 1, _BASE, np.uint64))
-    inverse = np.cumprod(np.full(n + 1, np.uint64(pow(int(_BASE), -1, 1 << 64)), np.uint64))
-    total = np.r_[np.uint64(0), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])]
-    if n <= WINDOW:
-        return np.empty(0, np.int64)
-    window = (total[WINDOW:] - total[:-WINDOW]) * inverse[: n - WINDOW + 1]
-    window ^= window >> np.uint64(29)
-    window *= np.uint64(0xBF58476D1CE4E5B9)
-    cut = np.flatnonzero((window >> np.uint64(40)) & np.uint64(MASK) == 0) + WINDOW
-    # a window must lie inside one text
-    text = np.searchsorted(starts, cut - 1, side="right") - 1
-    return cut[cut - WINDOW >= starts[text]]
-
-
-def chunk_table(rows: DataFrame) -> DataFrame:
-    """(id, chunk, bytes, n) of rows (``id``, ``text``): content-defined chunks with their sizes and number."""
+    ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)))
+    starts = np.r_[0, ends[:-1]].astype(np.int64)
+    power, back = np.full(n + 1, _BASE, np.uint64), np.full(n + 1, _INVERSE, np.uint64)
+    power[0] = back[0] = 1
+    np.cumprod(power, out=power)
+    np.cumprod(back, out=back)
+    total = np.zeros(n + 1, np.uint64)
+    np.cumsum((data + np.uint64(1)) * power[:n], out=total[1:])
+    at = np.empty(0, np.int64)
+    if n > window:
+        rolled = (total[window:] - total[:-window]) * back[: n - window + 1]
+        rolled ^= rolled >> np.uint64(29)
+        rolled *= np.uint64(0xBF58476D1CE4E5B9)
+        at = np.flatnonzero((rolled >> np.uint64(40)) & np.uint64(mask) == 0) + window
+        # a window must lie inside one text
+        text = np.searchsorted(starts, at - 1, side="right") - 1
+        at = at[at - window >= starts[text]]
+    stop = np.unique(np.r_[at, ends]).astype(np.int64)
+    stop = stop[stop > 0]
+    begin = np.r_[0, stop[:-1]].astype(np.int64)[: len(stop)]
+    h = (total[stop] - total[begin]) * back[begin]
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x94D049BB133111EB)
+    h ^= h >> np.uint64(29)
+    return np.searchsorted(ends, stop - 1, side="right"), h.view(np.int64), stop - begin
+
+
+def chunk_table(rows: DataFrame, window: int = WINDOW, mask: int = MASK) -> DataFrame:
+    """(id, chunk, bytes) of rows (``id``, ``text``): content-defined chunks with their sizes."""
     kind = dict(rows.dtypes)["id"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            text = batch.column(1).fill_null("").cast(pa.binary())
-            if not batch.num_rows:
-                continue
-            lengths = np.array([len(x.as_py()) for x in text], np.int64)
-            data = np.frombuffer(b"".join(x.as_py() for x in text), np.uint8)
-            starts = np.r_[0, np.cumsum(lengths)[:-1]]
-            ends = np.unique(np.r_[_boundaries(data, starts), np.cumsum(lengths)])
-            ends = ends[ends > 0]
-            begin = np.r_[0, ends][: len(ends)]
-            owner = np.searchsorted(np.cumsum(lengths), ends - 1, side="right")
-            blob = data.tobytes()
-            import xxhash
-
-            keys = np.array([xxhash.xxh64_intdigest(blob[a:b]) for a, b in zip(begin.tolist(), ends.tolist(), strict=True)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(keys), pa.array((ends - begin).astype(np.int64))], names=["id", "chunk", "bytes"])
+            if batch.num_rows:
+                texts = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+                owner, chunk, size = cut(texts, window, mask)
+                yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner)), pa.array(chunk), pa.array(size)], names=["id", "chunk", "bytes"])
 
     return rows.select("id", "text").mapInArrow(run, f"id {kind}, chunk long, bytes long")
 
@@ -131,37 +135,356 @@ def coverage(chunks: DataFrame, batch_of: DataFrame) -> DataFrame:
     return judged.groupBy("id").agg(F.sum("bytes").alias("bytes"), F.sum(F.when(F.col("batch") > F.col("since"), F.col("bytes")).otherwise(0)).alias("shared"))
 
 
+def bucket_of(chunk: np.ndarray, buckets: int) -> np.ndarray:
+    """Bucket of chunks or records; chunks are hashes, so their lower bits will do."""
+    return (chunk.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
+
+
+def _read_bucket(runs: list[str], bucket: int, columns: list[str]) -> pa.Table | None:
+    """The rows of one bucket, of all runs that hold some."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    parts = []
+    for run in runs:
+        files, root = fs.FileSystem.from_uri(f"{run}/bucket={bucket}")
+        for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
+            if info.path.endswith(".parquet"):
+                with files.open_input_file(info.path) as source:
+                    parts.append(pq.ParquetFile(source).read(columns=columns))
+    return pa.concat_tables(parts) if parts else None
+
+
+def _met(new: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of equal values; ``old`` is sorted."""
+    low, high = np.searchsorted(old, new, "left"), np.searchsorted(old, new, "right")
+    times = high - low
+    i = np.repeat(np.arange(len(new)), times)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)
+    return i, j
+
+
 class History:
-    """Accepted records of earlier batches in durable tables: ``check`` a batch, then ``append`` what was accepted."""
+    """Accepted records of earlier batches below a folder: ``check`` a batch, then ``append`` what was accepted.
 
-    def __init__(self, spark: SparkSession, order: similarity.WordOrder, tenths: int = 7, parts: int = 8) -> None:
-        self.spark, self.order, self.tenths, self.parts = spark, order, tenths, parts
-        self.columns: list[str] = []
-        self.words: list[str] = []
+    ``read`` counts the rows that the look-ups of this object read from the history's tables.
+    """
+
+    def __init__(self, spark: SparkSession, path: str, tenths: int = 7, bucket_rows: int = 250_000, state: dict | None = None) -> None:
+        self.spark, self.path, self.tenths, self.bucket_rows = spark, path, tenths, bucket_rows
+        self.state = state or {"version": 0, "buckets": 0, "chunks": [], "entries": [], "records": [], "rows": 0, "n_records": 0, "order": None}
+        self.read = spark.sparkContext.accumulator(0)
+        self._order: similarity.WordOrder | None = None
+
+    @classmethod
+    def open(cls, spark: SparkSession, path: str, **options) -> History:
+        """The history below ``path`` as its last manifest says, or a new one."""
+        path = qualified(spark, path)
+        names = [f for f in _names(spark, path) if f.startswith("manifest-") and f.endswith(".json")]
+        if not names:
+            return cls(spark, path, **options)
+        newest = max(names, key=lambda f: int(f[9:-5]))
+        state = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/{newest}").collect()))
+        return cls(spark, path, state=state, **options)
+
+    # ------------------------------------------------------------ judging
 
     def check(self, rows: DataFrame) -> DataFrame:
         """``id`` of the batch rows (``id``, ``text``) that the history already holds, exactly or nearly."""
-        new = similarity.hashed_rows(rows.select("id", "text").withColumn("space", F.lit(0)))
-        if not self.columns:
-            return new.select("id").limit(0)
-        old = self.spark.read.parquet(*self.words)
-        same = new.select("uid").join(old.select("uid"), "uid", "left_semi")
-        columns = similarity.matrix(new, self.order, self.tenths, self.parts).unionByName(self.spark.read.parquet(*self.columns))
-        pairs = similarity.candidates(columns, self.tenths, self.parts, against_old=True)
-        near = similarity.confirmed(pairs, new.select("uid", "words").unionByName(old.select("uid", "words")), self.tenths)
-        hit = near.select(F.explode(F.array("a", "b")).alias("uid")).unionByName(same).distinct()
-        return new.join(hit, "uid", "left_semi").select("id")
-
-    def append(self, rows: DataFrame) -> None:
-        """Add the chunks of accepted rows; earlier tables are never rewritten."""
-        words, columns = work_path(self.spark, "history-words"), work_path(self.spark, "history-chunks")
-        hashed = similarity.hashed_rows(rows.select("id", "text").withColumn("space", F.lit(0)))
-        hashed.select("uid", "space", "words").write.parquet(words)
-        similarity.matrix(hashed, self.order, self.tenths, self.parts, old=True).write.parquet(columns)
-        self.words.append(words)
-        self.columns.append(columns)
+        new = self.prepared(rows)
+        return self.judged(new).select("id")
+
+    def prepared(self, rows: DataFrame) -> DataFrame:
+        """A batch with names, words and stream, written once for all steps."""
+        own = [c for c in rows.columns if c not in ("text", "space", "uid", "uid2", "words", "stream")]
+        flat = rows.select(*own, "text", stream_of(F.col("text")).alias("stream"), F.lit(0).alias("space"))
+        return similarity.hashed_rows(flat)
+
+    def judged(self, new: DataFrame) -> DataFrame:
+        """Rows of a prepared batch that the history holds."""
+        if not self.state["n_records"]:
+            return new.limit(0)
+        order = self.order()
+        ids = ["uid", "uid2"]
+        found = materialize(self._same(new).unionByName(self._confirmed(self._covered(new), new, order)).distinct(), "found")
+        rest = new.join(found, ids, "left_anti")
+        more = self._confirmed(self._by_words(rest, order), new, order)
+        return new.join(found.unionByName(more), ids, "left_semi")
+
+    def by_coverage(self, new: DataFrame) -> DataFrame:
+        """Rows of a prepared batch that byte chunks alone find, for measurements."""
+        return new.join(self._confirmed(self._covered(new), new, self.order()), ["uid", "uid2"], "left_semi")
+
+    def _same(self, new: DataFrame) -> DataFrame:
+        def look(part: pa.Table, old: pa.Table) -> list[np.ndarray]:
+            a, a2, b, b2 = (t.column(c).to_numpy() for t in (part, old) for c in ("uid", "uid2"))
+            by = np.argsort(b, kind="stable")
+            i, j = _met(a, b[by])
+            i = np.unique(i[a2[i] == b2[by][j]])
+            return [a[i], a2[i]]
+
+        return self._look_up(new.select("uid", "uid2").distinct(), "uid", "records", ["uid", "uid2"], look, "uid long, uid2 long")
+
+    def _covered(self, new: DataFrame) -> DataFrame:
+        """(new, old): handles of records of which at least one part in ``COVERED`` is covered by chunks of the old one."""
+        part = F.sum("bytes").cast("int")
+        chunks = self._chunks(new)
+
+        def look(part: pa.Table, old: pa.Table) -> list[np.ndarray]:
+            chunk, held, uid = part.column("chunk").to_numpy(), old.column("chunk").to_numpy(), old.column("uid").to_numpy()
+            by = np.lexsort((uid, held))
+            held, uid = held[by], uid[by]
+            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
+            length = np.diff(np.r_[first, len(held)])
+            # the mark -1 says that the chunk was too frequent in a batch
+            live = np.repeat((length <= LISTED) & (np.minimum.reduceat(uid, first) != -1), length) if len(first) else np.zeros(0, bool)
+            held, uid = held[live], uid[live]
+            i, j = _met(chunk, held)
+            a, b = part.column("uid").to_numpy()[i], uid[j]
+            size, whole = part.column("bytes").to_numpy()[i].astype(np.int64), part.column("whole").to_numpy()[i]
+            # the shared bytes of a pair within this bucket are one row
+            by = np.lexsort((b, a))
+            a, b, size, whole = a[by], b[by], size[by], whole[by]
+            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+            return [a[first], b[first], np.add.reduceat(size, first).astype(np.int32) if len(first) else size.astype(np.int32), whole[first]]
+
+        shared = self._look_up(chunks, "chunk", "chunks", ["chunk", "uid"], look, "new long, old long, bytes int, whole int")
+        total = shared.groupBy("new", "old").agg(part.alias("bytes"), F.first("whole").alias("whole"))
+        return total.filter(F.col("bytes") * COVERED >= F.col("whole")).select("new", "old")
+
+    def _by_words(self, rest: DataFrame, order: similarity.WordOrder) -> DataFrame:
+        """(new, old): handles of records that share a chunk of words and may be alike by their sizes and sketches."""
+        tenths = self.tenths
+
+        def look(part: pa.Table, old: pa.Table) -> list[np.ndarray]:
+            held = old.column("chunk").to_numpy()
+            by = np.argsort(held, kind="stable")
+            uid, size, sketch = (old.column(c).to_numpy()[by] for c in ("uid", "size", "sketch"))
+            chunk, a, own, drawn = (part.column(c).to_numpy() for c in ("chunk", "uid", "size", "sketch"))
+            out = []
+            step = max(1, similarity.PAIRS_AT_ONCE // max(1, int(np.diff(np.flatnonzero(np.r_[True, np.diff(held[by]) != 0, True])).max()))) if len(held) else 1
+            for k in range(0, len(chunk), step):
+                i, j = _met(chunk[k : k + step], held[by])
+                i += k
+                n, m = own[i] & similarity.MOST_WORDS, size[j] & similarity.MOST_WORDS
+                late, late2 = own[i] > similarity.MOST_WORDS, size[j] > similarity.MOST_WORDS
+                keep = similarity.alike_in_size(n, m, drawn[i].view(np.uint64), sketch[j].view(np.uint64), tenths)
+                keep &= ~(late & late2) & (~late | (n > m) | (n == similarity.MOST_WORDS)) & (~late2 | (m > n) | (m == similarity.MOST_WORDS))
+                out.append(np.stack([a[i[keep]], uid[j[keep]]], axis=1))
+            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
+            return similarity._distinct(pairs) if len(pairs) else [np.empty(0, np.int64)] * 2
+
+        found = self._look_up(self._entries(rest, order), "chunk", "entries", ["chunk", "uid", "size", "sketch"], look, "new long, old long")
+        return found.distinct()
+
+    def _look_up(self, rows: DataFrame, key: str, table: str, columns: list[str], look, schema: str) -> DataFrame:
+        """Rows sent to the tasks of their buckets, which read these buckets of a table and give what ``look`` finds."""
+        runs, buckets, read = [f"{self.path}/{r}" for r in self.state[table]], self.state["buckets"], self.read
+        names = [c.split()[0] for c in schema.split(", ")]
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = [b for b in batches if b.num_rows]
+            if not held:
+                return
+            part = pa.Table.from_batches(held).combine_chunks()
+            where = bucket_of(part.column(key).to_numpy(), buckets)
+            by = np.argsort(where, kind="stable")
+            part, where = part.take(pa.array(by)), where[by]
+            for bucket in np.unique(where).tolist():
+                low, high = np.searchsorted(where, [bucket, bucket + 1])
+                old = _read_bucket(runs, bucket, columns)
+                if old is not None:
+                    read.add(old.num_rows)
+                    found = look(part.slice(low, high - low), old)
+                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found], names=names)
+
+        tasks = min(buckets, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1 + buckets // 4))
+        task = F.pmod(F.col(key), F.lit(buckets)) % tasks
+        # unsigned and signed remainder agree, as the number of buckets is a power of two
+        return rows.repartitionById(tasks, task.cast("int")).mapInArrow(run, schema)
+
+    def _confirmed(self, pairs: DataFrame, new: DataFrame, order: similarity.WordOrder) -> DataFrame:
+        """(``uid``, ``uid2``) of new records with a near-duplicate among the old ones they were paired with."""
+        pairs = materialize(pairs, "paired")
+        mine = similarity.coded(new.join(pairs.select(F.col("new").alias("uid")), "uid", "left_semi"), order).dropDuplicates(["uid", "uid2"])
+        mine = mine.select(F.col("uid").alias("new"), F.col("uid2").alias("new2"), F.col("known").alias("known_a"), F.col("rest").alias("rest_a"))
+
+        def look(part: pa.Table, old: pa.Table) -> list:
+            uid = old.column("uid").to_numpy()
+            by = np.argsort(uid, kind="stable")
+            _, j = _met(part.column("old").to_numpy(), uid[by])
+            took = old.take(pa.array(by[j])).combine_chunks()
+            return [took.column(c).chunk(0) if took.num_rows else pa.array([], took.schema.field(c).type) for c in ("uid", "known", "rest")]
+
+        wanted = pairs.select("old").distinct()
+        old = self._look_up(wanted, "old", "records", ["uid", "known", "rest"], look, "old long, known_b array<smallint>, rest_b array<bigint>")
+        sure = pairs.join(mine, "new").join(old, "old").filter(similarity.reaches(self.tenths))
+        return sure.select(F.col("new").alias("uid"), F.col("new2").alias("uid2"))
+
+    # ------------------------------------------------------------ tables
+
+    def order(self) -> similarity.WordOrder:
+        """Frequent words as they were when the tables were last built anew."""
+        if self._order is None:
+            rows = self.spark.read.parquet(f"{self.path}/{self.state['order']}").toPandas()
+            by = np.argsort(rows["w"].to_numpy())
+            self._order = similarity.WordOrder(*(rows[c].to_numpy()[by] for c in ("w", "place", "n")), self.state["ordered"])
+        return self._order
+
+    def _chunks(self, new: DataFrame, listed: bool = False) -> DataFrame:
+        """(chunk, uid, bytes, whole) of each different stream of bytes; ``listed``: marks for chunks that are too frequent."""
+        once = new.select("uid", "stream").dropDuplicates(["uid"])
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    texts = batch.column(1).cast(pa.binary()).to_pylist()
+                    owner, chunk, size = cut(texts)
+                    whole = np.fromiter(map(len, texts), np.int64, len(texts))[owner]
+                    by = np.lexsort((chunk, owner))
+                    owner, chunk, size, whole = owner[by], chunk[by], size[by], whole[by]
+                    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])][: len(owner)])
+                    arrays = [chunk[first], batch.column(0).to_numpy()[owner[first]], np.add.reduceat(size, first).astype(np.int32), whole[first].astype(np.int32)]
+                    if listed:
+                        arrays = _marked(arrays)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["chunk", "uid", "bytes", "whole"])
+
+        return once.mapInArrow(run, f"{_CHUNK}, whole int")
+
+    def _entries(self, rows: DataFrame, order: similarity.WordOrder) -> DataFrame:
+        tenths = self.tenths
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    col, uid, size, sketch = similarity.entries(batch, order, tenths)
+                    key = similarity._mix(col.astype(np.uint64)).view(np.int64)
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, uid, size.astype(np.int64), sketch.view(np.int64))], names=["chunk", "uid", "size", "sketch"])
+
+        return rows.select("uid", "space", "words").mapInArrow(run, _ENTRY)
+
+    def append(self, new: DataFrame) -> None:
+        """Add accepted rows of a prepared batch; earlier tables are not rewritten unless the buckets have become too few."""
+        known = self.state["n_records"] > 0
+        fresh = new.dropDuplicates(["uid", "uid2"])
+        if known:
+            fresh = fresh.join(self._same(new), ["uid", "uid2"], "left_anti")
+        fresh = materialize(fresh.select("uid", "uid2", "space", "words", "stream"), "fresh")
+        added = fresh.count()
+        if not added:
+            return
+        state = json.loads(json.dumps(self.state)) | {"version": self.state["version"] + 1}
+        if not known:
+            self._set_order(state, fresh, added)
+        rows = state["rows"] + 20 * added
+        grown = not known or rows > state["buckets"] * self.bucket_rows
+        if grown:
+            while rows > state["buckets"] * self.bucket_rows or not state["buckets"]:
+                state["buckets"] = max(16, 4 * state["buckets"])
+        order = self.order()
+        written = {"chunks": self._chunks(fresh, listed=True).select("chunk", "uid", "bytes"), "entries": self._entries(fresh, order), "records": similarity.coded(fresh, order)}
+        if grown and known:
+            # the former runs join the new one, cut into the new buckets
+            for name, schema in (("chunks", _CHUNK), ("entries", _ENTRY), ("records", _RECORD)):
+                old = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{r}" for r in state[name]))
+                written[name] = written[name].unionByName(old)
+                state[name] = []
+        shuffled = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+        tasks = state["buckets"] // 4 if state["buckets"] > 4 * shuffled else min(state["buckets"], shuffled)
+
+        def write(name: str) -> str:
+            run = f"{name}-{state['version']}-{uuid.uuid4().hex[:8]}"
+            key = F.col("uid" if name == "records" else "chunk")
+            bucket = F.pmod(key, F.lit(state["buckets"])).cast("int")
+            df = written[name].repartitionById(tasks, (bucket % tasks).cast("int"))
+            if name == "chunks":
+                df = df.mapInArrow(_mark, _CHUNK)
+            df.withColumn("bucket", bucket).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{run}")
+            return run
+
+        with ThreadPoolExecutor(len(written)) as pool:
+            for name, run in zip(written, pool.map(inheritable_thread_target(self.spark)(write), written), strict=True):
+                state[name].append(run)
+        state |= {"rows": rows, "n_records": state["n_records"] + added}
+        self._publish(state)
+        drop(fresh)
+
+    def _set_order(self, state: dict, fresh: DataFrame, n: int) -> None:
+        order = similarity.word_order(fresh, n)
+        state |= {"order": f"order-{state['version']}-{uuid.uuid4().hex[:8]}", "ordered": n}
+        rows = pd.DataFrame({"w": order.hashes, "place": order.places, "n": order.counts})
+        self.spark.createDataFrame(rows, "w long, place long, n long").coalesce(1).write.parquet(f"{self.path}/{state['order']}")
+        self._order = order
+
+    def _publish(self, state: dict) -> None:
+        """Name a new version: written under another name first, so no reader ever meets half a manifest."""
+        jvm = self.spark._jvm
+        target = jvm.org.apache.hadoop.fs.Path(f"{self.path}/manifest-{state['version']}.json")
+        files = target.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        draft = jvm.org.apache.hadoop.fs.Path(f"{self.path}/draft-{uuid.uuid4().hex}")
+        out = files.create(draft)
+        out.write(bytearray(json.dumps(state).encode()))
+        out.close()
+        if not files.rename(draft, target):
+            raise RuntimeError(f"version {state['version']} of the history was written by another process")
+        self.state = state
 
     def drop(self) -> None:
         """Remove the tables."""
-        for path in (*self.columns, *self.words):
-            remove_path(self.spark, path)
+        remove_path(self.spark, self.path)
+
+
+def _marked(rows: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows (chunk, uid, ...) sorted by chunk; of a chunk with more than ``LISTED`` records one row stays, as a mark, so no list is ever longer."""
+    by = np.lexsort((rows[1], rows[0]))
+    rows = [x[by] for x in rows]
+    first = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]][: len(by)])
+    length = np.diff(np.r_[first, len(by)])
+    marked = (length > LISTED) | (rows[1][first] == -1) if len(first) else np.zeros(0, bool)
+    keep = ~np.repeat(marked, length)
+    keep[first[marked]] = True
+    rows[1] = rows[1].copy()
+    rows[1][first[marked]] = -1
+    return [x[keep] for x in rows]
+
+
+def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held = [b for b in batches if b.num_rows]
+    if held:
+        part = pa.Table.from_batches(held)
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _marked([part.column(i).to_numpy() for i in range(part.num_columns)])], names=part.schema.names)
+
+
+def _names(spark: SparkSession, folder: str) -> list[str]:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    return [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+
+
+def seen_texts(rows: DataFrame, batches: DataFrame, tenths: int = 7, path: str | None = None, **options) -> DataFrame:
+    """``id`` of rows near-duplicate to a row of an accepted paper of an earlier batch.
+
+    ``rows``: ``id`` long, ``paper_id``, ``text``; ``batches``: ``paper_id``, ``batch`` int, ``accepted`` boolean.
+    Batch by batch in their order: held against the history, then what was accepted is appended.
+    """
+    spark = rows.sparkSession
+    dated = rows.select("id", "paper_id", "text").join(batches.select("paper_id", "batch", "accepted").filter(F.col("batch").isNotNull()), "paper_id")
+    months = [r[0] for r in batches.select("batch").filter(F.col("batch").isNotNull()).distinct().orderBy("batch").collect()]
+    dated = dated.select("id", "text", "batch", F.coalesce("accepted", F.lit(False)).alias("accepted"))
+    folder = work_path(spark, "batches")
+    dated.write.partitionBy("batch").parquet(folder)
+    there = set(_names(spark, folder))
+    kept = History.open(spark, path or work_path(spark, "history"), tenths=tenths, **options)
+    out = None
+    for month in months:
+        if f"batch={month}" not in there:
+            continue
+        new = kept.prepared(spark.read.schema("id long, text string, accepted boolean").parquet(f"{folder}/batch={month}"))
+        found = materialize(kept.judged(new).select("id"), "seen")
+        out = found if out is None else out.unionByName(found)
+        kept.append(new.filter("accepted"))
+        drop(new)
+    remove_path(spark, folder)
+    if path is None:
+        kept.drop()
+    return out if out is not None else rows.select("id").limit(0)

@@ -239,6 +239,15 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.when(F.col("space") == 0, "sub_questions").otherwise("topics").alias("source_table"), F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
 
 
+@query()
+def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
+    """The class form: each text with the least id of its copies and the number of other wordings near to it."""
+    from quillmine.llm.similarity import near_groups
+
+    groups = near_groups(_texts(spark, sf))
+    return groups.select(F.when(F.col("space") == 0, "sub_questions").otherwise("topics").alias("source_table"), F.col("id").cast("int").alias("id"), F.col("class_id").cast("int").alias("class_id"), "links")
+
+
 # ---------------------------------------------------------------- problem 10
 
 

@@ -3,11 +3,13 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from quillmine.llm import history, ledger, similarity, spans
+from quillmine.session import work_path
 
 WORD = re.compile(r"[^\W_]+")
 
@@ -56,16 +58,80 @@ def test_near_duplicates_of_nothing(spark):
     assert pairs_of(spark, []) == set()
 
 
-def test_long_columns_in_blocks(spark):
+@pytest.mark.parametrize("alone", [2_000, 0])
+def test_long_columns_in_blocks(spark, monkeypatch, alone):
+    monkeypatch.setattr(similarity, "ALONE_UP_TO", alone)
     rows = [(0, i, t) for i, t in enumerate(texts(5))]
     hashed = similarity.hashed_rows(spark.createDataFrame(rows, "space int, id long, text string"))
     order = similarity.word_order(hashed, len(rows))
-    whole = similarity.candidates(similarity.matrix(hashed, order, 7, 4, 1), 7, 4)
-    cut = similarity.candidates(similarity.matrix(hashed, order, 7, 4, 3), 7, 4)
-    sure = [{tuple(r)[:2] for r in similarity.confirmed(c, hashed, 7).collect()} for c in (whole, cut)]
+    sure = []
+    for long in (similarity.LONG, 3):
+        pairs = similarity.candidates(similarity.matrix(hashed, order, 7, 4), 7, 4, long)
+        sure.append({tuple(r) for r in similarity.confirmed(pairs, similarity.coded(hashed, order), 7).collect()})
     assert sure[0] == sure[1] and sure[0]
 
 
+def test_one_handle_for_two_classes(spark):
+    """Classes whose first 64 bits collide are still told apart."""
+    a, b = " ".join(f"a{i}" for i in range(10)), " ".join(f"b{i}" for i in range(10))
+    rows = [(0, 1, a), (0, 2, a + " more"), (0, 3, b), (0, 4, b + " other")]
+    hashed = similarity.hashed_rows(spark.createDataFrame(rows, "space int, id long, text string"))
+    same = hashed.withColumn("uid", F.when(F.col("id").isin(1, 3), 7).otherwise(F.col("id")).cast("long"))
+    order = similarity.word_order(hashed, 4)
+    pairs = spark.createDataFrame([(2, 7), (4, 7)], "a long, b long")
+    assert {(r["a"], r["b"]) for r in similarity.confirmed(pairs, similarity.coded(same, order), 7).collect()} == {(2, 7), (4, 7)}
+    names = {r["uid2"]: r["id"] for r in same.collect()}
+    assert {(names[r["a2"]], names[r["b2"]]) for r in similarity.confirmed(pairs, similarity.coded(same, order), 7).collect()} == {(2, 1), (4, 3)}
+
+
+def test_words_with_one_32_bit_hash(spark):
+    """Words that a 32-bit hash can't tell apart are different words."""
+    df = spark.range(400_000).select(F.concat(F.lit("w"), "id").alias("w")).select("w", F.hash("w").alias("h"))
+    one, two = df.groupBy("h").agg(F.collect_list("w").alias("ws")).filter("size(ws) > 1").first()["ws"][:2]
+    base = "a1 a2 a3 a4 a5 a6 a7"
+    # with the words taken for one, 7 of 10 words would be shared
+    rows = [(0, 1, f"{base} x1 {one}"), (0, 2, f"{base} {two} y1 y2")]
+    assert not alike(rows[0][2], rows[1][2]) and len(words(rows[0][2]) & words(rows[1][2])) == 7
+    assert pairs_of(spark, rows) == set()
+
+
+def test_entries_per_record_stay_bounded():
+    """Frequencies a hundred times as great, and long texts, don't blow up the matrix."""
+    for times in (1, 100, 10_000):
+        vocabulary = np.arange(1, 401, dtype=np.int64) * 7_919
+        order = similarity.WordOrder(vocabulary, np.arange(1, 401), np.full(400, 60_000 * times), 800_000 * times)
+        for n in (8, 30, 85, 86, 400):
+            held = similarity._columns(np.zeros(1, np.int32), np.array([0, n]), vocabulary[:n], order, 7)
+            assert len(held[0]) <= 3_276 + 60, (times, n, len(held[0]))
+
+
+def test_long_and_short_texts_meet(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "ALONE_UP_TO", 0)
+    monkeypatch.setattr(similarity, "PAIRED_UP_TO", 3)
+    rng = random.Random(8)
+    found = []
+    for k in range(12):
+        base = [f"t{rng.randrange(150)}" for _ in range(rng.randint(40, 140))]
+        for _ in range(4):
+            found.append((0, len(found), " ".join(w for w in base if rng.random() < 0.92) + f" own{k}"))
+    want = {(0, i, j) for _, i, a in found for _, j, b in found if i < j and alike(a, b)}
+    assert pairs_of(spark, found) == want and len(want) > 20
+
+
+def test_class_form(spark):
+    rows = [(s, i, t) for s in (0, 1) for i, t in enumerate(texts(s))]
+    df = spark.createDataFrame(rows, "space int, id long, text string")
+    groups = {(r["space"], r["id"]): (r["class_id"], r["links"]) for r in similarity.near_groups(df).collect()}
+    sets = {(s, i): frozenset(words(t)) for s, i, t in rows if len(words(t)) >= 8}
+    classes = {}
+    for (s, i), w in sorted(sets.items()):
+        classes.setdefault((s, w), i)
+    for (s, i), w in sets.items():
+        links = sum(1 for z, v in classes if z == s and v != w and len(v & w) * 10 >= 7 * len(v | w))
+        assert groups[s, i] == (classes[s, w], links)
+    assert groups.keys() == sets.keys()
+
+
 def test_history_in_one_pass_and_batch_by_batch(spark):
     rng = random.Random(3)
     rows = [(i, rng.randint(1, 30), t) for i, t in enumerate(texts(9))] + [(900, 1, None), (901, 99, "x " * 30)]
@@ -77,14 +143,50 @@ def test_history_in_one_pass_and_batch_by_batch(spark):
     known = [(i, *of[p], t) for i, p, t in rows if p in of and t]
     assert got == sorted(i for i, b, _, t in known if any(a and c < b and alike(t, u) for _, c, a, u in known)) and got
 
-    order = similarity.word_order(similarity.hashed_rows(df.select("id", "text", F.lit(0).alias("space"))), len(rows))
-    kept, seen = history.History(spark, order, parts=4), []
+    # batch by batch, the history opened anew each time
+    folder, seen = work_path(spark, "history"), []
     for month in range(4):
-        batch = df.join(batches.filter(F.col("batch") == month), "paper_id")
-        seen += [r[0] for r in kept.check(batch).collect()]
-        kept.append(batch.filter("accepted"))
-    kept.drop()
+        kept = history.History.open(spark, folder)
+        new = kept.prepared(df.join(batches.filter(F.col("batch") == month), "paper_id"))
+        seen += [r["id"] for r in kept.judged(new).collect()]
+        kept.append(new.filter("accepted"))
     assert sorted(seen) == got
+    history.History.open(spark, folder).drop()
+
+
+@pytest.mark.parametrize("alone, listed", [(0, 0), (2_000, 1)])
+def test_history_by_words_alone(spark, monkeypatch, alone, listed):
+    """Where no byte chunk may be looked up, chunks of words find all."""
+    monkeypatch.setattr(similarity, "ALONE_UP_TO", alone)
+    monkeypatch.setattr(history, "LISTED", listed)
+    rows = [(i, t) for i, t in enumerate(texts(11))]
+    kept = history.History.open(spark, work_path(spark, "history"), bucket_rows=40)
+    df = spark.createDataFrame(rows, "id long, text string")
+    for low, high in ((0, 40), (40, 80)):
+        kept.append(kept.prepared(df.filter(F.col("id").between(low, high - 1))))
+    assert kept.state["buckets"] > 16
+    late = df.filter("id >= 80")
+    got = {r["id"] for r in kept.check(late).collect()}
+    assert got == {i for i, t in rows[80:] if any(alike(t, u) for _, u in rows[:80])} and got
+    kept.append(kept.prepared(df.limit(0)))
+    kept.drop()
+
+
+def test_history_reads_touched_buckets_only(spark):
+    """A batch reads as much of a long history as of a short one."""
+    rng = random.Random(1)
+    read = []
+    batch = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(12)))], "id long, text string")
+    for n in (150, 1_500):
+        kept = history.History.open(spark, work_path(spark, "history"), bucket_rows=200)
+        parts = [[(k * n + i, " ".join(f"{rng.randrange(10**6)}" for _ in range(12))) for i in range(n // 3)] for k in range(3)]
+        for part in parts:
+            kept.append(kept.prepared(spark.createDataFrame(part, "id long, text string")))
+        kept = history.History.open(spark, kept.path)
+        assert kept.check(batch).collect() == []
+        read.append(kept.read.value)
+        kept.drop()
+    assert 0 < read[1] <= 2 * read[0], read
 
 
 def test_hashes(spark):
