@@ -32,13 +32,12 @@ from __future__ import annotations
 import json
 import uuid
 from collections.abc import Iterator
-from concurrent.futures import ThreadPoolExecutor
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark import inheritable_thread_target
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.llm import similarity
@@ -46,10 +45,14 @@ from quillmine.session import drop, materialize, qualified, remove_path, work_pa
 
 WINDOW, MASK = 12, 15
 COVERED, LISTED = 4, 24
+#: Chunks that one task looks up or writes.
+ROWS_A_TASK = 200_000
+#: Record of a chunk that is too frequent to have a list.
+MARK = -(2**63)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-_CHUNK = "chunk long, uid long, bytes int"
-_ENTRY = "chunk long, uid long, size long, sketch long"
+#: A row of the chunk table: of bytes (kind 0, ``size`` in bytes) or of words (kind 1, ``size`` as in the matrix of ``similarity``).
+_CHUNK = "kind int, chunk long, uid long, size long, sketch long"
 _RECORD = "uid long, uid2 long, known array<smallint>, rest array<bigint>"
 
 
@@ -140,14 +143,14 @@ def bucket_of(chunk: np.ndarray, buckets: int) -> np.ndarray:
     return (chunk.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
 
 
-def _read_bucket(runs: list[str], bucket: int, columns: list[str]) -> pa.Table | None:
-    """The rows of one bucket, of all runs that hold some."""
+def _read_bucket(runs: list[str], place: str, bucket: int, columns: list[str]) -> pa.Table | None:
+    """The rows of one bucket, of all runs that hold some; ``place`` is the folder of their kind."""
     from pyarrow import fs
     from pyarrow import parquet as pq
 
     parts = []
     for run in runs:
-        files, root = fs.FileSystem.from_uri(f"{run}/bucket={bucket}")
+        files, root = fs.FileSystem.from_uri(f"{run}{place}/bucket={bucket}")
         for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
             if info.path.endswith(".parquet"):
                 with files.open_input_file(info.path) as source:
@@ -172,9 +175,9 @@ class History:
 
     def __init__(self, spark: SparkSession, path: str, tenths: int = 7, bucket_rows: int = 250_000, state: dict | None = None) -> None:
         self.spark, self.path, self.tenths, self.bucket_rows = spark, path, tenths, bucket_rows
-        self.state = state or {"version": 0, "buckets": 0, "chunks": [], "entries": [], "records": [], "rows": 0, "n_records": 0, "order": None}
+        self.state = state or {"version": 0, "buckets": 0, "chunks": [], "records": [], "rows": 0, "n_records": 0, "order": None}
         self.read = spark.sparkContext.accumulator(0)
-        self._order: similarity.WordOrder | None = None
+        self._n = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> History:
@@ -195,10 +198,13 @@ class History:
         return self.judged(new).select("id")
 
     def prepared(self, rows: DataFrame) -> DataFrame:
-        """A batch with names, words and stream, written once for all steps."""
+        """A batch with names, words and stream, written once for all steps; ``judged`` and ``append`` take the last one prepared."""
         own = [c for c in rows.columns if c not in ("text", "space", "uid", "uid2", "words", "stream")]
-        flat = rows.select(*own, "text", stream_of(F.col("text")).alias("stream"), F.lit(0).alias("space"))
-        return similarity.hashed_rows(flat)
+        counted = Observation()
+        flat = rows.select(*own, "text", stream_of(F.col("text")).alias("stream"), F.lit(0).alias("space")).observe(counted, F.count(F.lit(1)).alias("n"))
+        new = similarity.hashed_rows(flat)
+        self._n = counted.get["n"]
+        return new
 
     def judged(self, new: DataFrame) -> DataFrame:
         """Rows of a prepared batch that the history holds."""
@@ -228,7 +234,7 @@ class History:
     def _covered(self, new: DataFrame) -> DataFrame:
         """(new, old): handles of records of which at least one part in ``COVERED`` is covered by chunks of the old one."""
         part = F.sum("bytes").cast("int")
-        chunks = self._chunks(new)
+        chunks = self._byte_chunks(new)
 
         def look(part: pa.Table, old: pa.Table) -> list[np.ndarray]:
             chunk, held, uid = part.column("chunk").to_numpy(), old.column("chunk").to_numpy(), old.column("uid").to_numpy()
@@ -236,23 +242,23 @@ class History:
             held, uid = held[by], uid[by]
             first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
             length = np.diff(np.r_[first, len(held)])
-            # the mark -1 says that the chunk was too frequent in a batch
-            live = np.repeat((length <= LISTED) & (np.minimum.reduceat(uid, first) != -1), length) if len(first) else np.zeros(0, bool)
+            # a mark, the least of all handles, stands first
+            live = np.repeat((length <= LISTED) & (uid[first] != MARK), length)
             held, uid = held[live], uid[live]
             i, j = _met(chunk, held)
             a, b = part.column("uid").to_numpy()[i], uid[j]
-            size, whole = part.column("bytes").to_numpy()[i].astype(np.int64), part.column("whole").to_numpy()[i]
+            size, whole = part.column("size").to_numpy()[i], part.column("sketch").to_numpy()[i]
             # the shared bytes of a pair within this bucket are one row
             by = np.lexsort((b, a))
             a, b, size, whole = a[by], b[by], size[by], whole[by]
             first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
-            return [a[first], b[first], np.add.reduceat(size, first).astype(np.int32) if len(first) else size.astype(np.int32), whole[first]]
+            return [a[first], b[first], (np.add.reduceat(size, first) if len(first) else size).astype(np.int32), whole[first].astype(np.int32)]
 
-        shared = self._look_up(chunks, "chunk", "chunks", ["chunk", "uid"], look, "new long, old long, bytes int, whole int")
+        shared = self._look_up(chunks, "chunk", "chunks", ["chunk", "uid"], look, "new long, old long, bytes int, whole int", "/kind=0")
         total = shared.groupBy("new", "old").agg(part.alias("bytes"), F.first("whole").alias("whole"))
         return total.filter(F.col("bytes") * COVERED >= F.col("whole")).select("new", "old")
 
-    def _by_words(self, rest: DataFrame, order: similarity.WordOrder) -> DataFrame:
+    def _by_words(self, rest: DataFrame, order: StoredOrder) -> DataFrame:
         """(new, old): handles of records that share a chunk of words and may be alike by their sizes and sketches."""
         tenths = self.tenths
 
@@ -274,10 +280,10 @@ class History:
             pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
             return similarity._distinct(pairs) if len(pairs) else [np.empty(0, np.int64)] * 2
 
-        found = self._look_up(self._entries(rest, order), "chunk", "entries", ["chunk", "uid", "size", "sketch"], look, "new long, old long")
+        found = self._look_up(self._word_chunks(rest, order), "chunk", "chunks", ["chunk", "uid", "size", "sketch"], look, "new long, old long", "/kind=1")
         return found.distinct()
 
-    def _look_up(self, rows: DataFrame, key: str, table: str, columns: list[str], look, schema: str) -> DataFrame:
+    def _look_up(self, rows: DataFrame, key: str, table: str, columns: list[str], look, schema: str, place: str = "") -> DataFrame:
         """Rows sent to the tasks of their buckets, which read these buckets of a table and give what ``look`` finds."""
         runs, buckets, read = [f"{self.path}/{r}" for r in self.state[table]], self.state["buckets"], self.read
         names = [c.split()[0] for c in schema.split(", ")]
@@ -292,18 +298,19 @@ class History:
             part, where = part.take(pa.array(by)), where[by]
             for bucket in np.unique(where).tolist():
                 low, high = np.searchsorted(where, [bucket, bucket + 1])
-                old = _read_bucket(runs, bucket, columns)
+                old = _read_bucket(runs, place, bucket, columns)
                 if old is not None:
                     read.add(old.num_rows)
                     found = look(part.slice(low, high - low), old)
                     yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found], names=names)
 
-        tasks = min(buckets, max(int(self.spark.conf.get("spark.sql.shuffle.partitions")), 1 + buckets // 4))
+        # a record has some 20 chunks
+        tasks = min(buckets, 1 + 20 * self._n // ROWS_A_TASK)
         task = F.pmod(F.col(key), F.lit(buckets)) % tasks
         # unsigned and signed remainder agree, as the number of buckets is a power of two
         return rows.repartitionById(tasks, task.cast("int")).mapInArrow(run, schema)
 
-    def _confirmed(self, pairs: DataFrame, new: DataFrame, order: similarity.WordOrder) -> DataFrame:
+    def _confirmed(self, pairs: DataFrame, new: DataFrame, order: StoredOrder) -> DataFrame:
         """(``uid``, ``uid2``) of new records with a near-duplicate among the old ones they were paired with."""
         pairs = materialize(pairs, "paired")
         mine = similarity.coded(new.join(pairs.select(F.col("new").alias("uid")), "uid", "left_semi"), order).dropDuplicates(["uid", "uid2"])
@@ -323,45 +330,17 @@ class History:
 
     # ------------------------------------------------------------ tables
 
-    def order(self) -> similarity.WordOrder:
-        """Frequent words as they were when the tables were last built anew."""
-        if self._order is None:
-            rows = self.spark.read.parquet(f"{self.path}/{self.state['order']}").toPandas()
-            by = np.argsort(rows["w"].to_numpy())
-            self._order = similarity.WordOrder(*(rows[c].to_numpy()[by] for c in ("w", "place", "n")), self.state["ordered"])
-        return self._order
+    def order(self) -> StoredOrder:
+        """Frequent words as they were when the history began; tasks read them from the history's folder."""
+        return StoredOrder(f"{self.path}/{self.state['order']}", self.state["ordered"])
 
-    def _chunks(self, new: DataFrame, listed: bool = False) -> DataFrame:
-        """(chunk, uid, bytes, whole) of each different stream of bytes; ``listed``: marks for chunks that are too frequent."""
-        once = new.select("uid", "stream").dropDuplicates(["uid"])
+    def _byte_chunks(self, new: DataFrame) -> DataFrame:
+        """Chunks of each different record's bytes; ``sketch`` has the bytes of the whole."""
+        return new.select("uid", "stream").dropDuplicates(["uid"]).mapInArrow(lambda batches: (_bytes_of(b.column(0), b.column(1)) for b in batches if b.num_rows), _CHUNK)
 
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    texts = batch.column(1).cast(pa.binary()).to_pylist()
-                    owner, chunk, size = cut(texts)
-                    whole = np.fromiter(map(len, texts), np.int64, len(texts))[owner]
-                    by = np.lexsort((chunk, owner))
-                    owner, chunk, size, whole = owner[by], chunk[by], size[by], whole[by]
-                    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])][: len(owner)])
-                    arrays = [chunk[first], batch.column(0).to_numpy()[owner[first]], np.add.reduceat(size, first).astype(np.int32), whole[first].astype(np.int32)]
-                    if listed:
-                        arrays = _marked(arrays)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names=["chunk", "uid", "bytes", "whole"])
-
-        return once.mapInArrow(run, f"{_CHUNK}, whole int")
-
-    def _entries(self, rows: DataFrame, order: similarity.WordOrder) -> DataFrame:
+    def _word_chunks(self, rows: DataFrame, order: StoredOrder) -> DataFrame:
         tenths = self.tenths
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if batch.num_rows:
-                    col, uid, size, sketch = similarity.entries(batch, order, tenths)
-                    key = similarity._mix(col.astype(np.uint64)).view(np.int64)
-                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (key, uid, size.astype(np.int64), sketch.view(np.int64))], names=["chunk", "uid", "size", "sketch"])
-
-        return rows.select("uid", "space", "words").mapInArrow(run, _ENTRY)
+        return rows.select("uid", "space", "words").mapInArrow(lambda batches: (_words_of(b, order, tenths) for b in batches if b.num_rows), _CHUNK)
 
     def append(self, new: DataFrame) -> None:
         """Add accepted rows of a prepared batch; earlier tables are not rewritten unless the buckets have become too few."""
@@ -369,42 +348,45 @@ class History:
         fresh = new.dropDuplicates(["uid", "uid2"])
         if known:
             fresh = fresh.join(self._same(new), ["uid", "uid2"], "left_anti")
-        fresh = materialize(fresh.select("uid", "uid2", "space", "words", "stream"), "fresh")
-        added = fresh.count()
+        counted = Observation()
+        fresh = materialize(fresh.select("uid", "uid2", "space", "words", "stream").observe(counted, F.count(F.lit(1)).alias("n")), "fresh")
+        added = counted.get["n"]
         if not added:
             return
         state = json.loads(json.dumps(self.state)) | {"version": self.state["version"] + 1}
         if not known:
             self._set_order(state, fresh, added)
+            self.state = self.state | {"order": state["order"], "ordered": added}
         rows = state["rows"] + 20 * added
-        grown = not known or rows > state["buckets"] * self.bucket_rows
-        if grown:
-            while rows > state["buckets"] * self.bucket_rows or not state["buckets"]:
-                state["buckets"] = max(16, 4 * state["buckets"])
-        order = self.order()
-        written = {"chunks": self._chunks(fresh, listed=True).select("chunk", "uid", "bytes"), "entries": self._entries(fresh, order), "records": similarity.coded(fresh, order)}
-        if grown and known:
-            # the former runs join the new one, cut into the new buckets
-            for name, schema in (("chunks", _CHUNK), ("entries", _ENTRY), ("records", _RECORD)):
-                old = self.spark.read.schema(schema).option("recursiveFileLookup", "true").parquet(*(f"{self.path}/{r}" for r in state[name]))
-                written[name] = written[name].unionByName(old)
-                state[name] = []
-        shuffled = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
-        tasks = state["buckets"] // 4 if state["buckets"] > 4 * shuffled else min(state["buckets"], shuffled)
+        grown = rows > state["buckets"] * self.bucket_rows
+        while rows > state["buckets"] * self.bucket_rows or not state["buckets"]:
+            state["buckets"] = max(16, 4 * state["buckets"])
+        order, tenths = self.order(), self.tenths
 
-        def write(name: str) -> str:
-            run = f"{name}-{state['version']}-{uuid.uuid4().hex[:8]}"
+        def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    yield _marked(_bytes_of(batch.column(0), batch.column(3)))
+                    yield _words_of(batch, order, tenths)
+
+        written = {"chunks": (fresh.select("uid", "space", "words", "stream").mapInArrow(cut_up, _CHUNK), _CHUNK), "records": (similarity.coded(fresh, order), _RECORD)}
+        tasks = min(state["buckets"], 1 + (rows if grown else 20 * added) // ROWS_A_TASK)
+        for name, (df, schema) in written.items():
+            if grown and known:
+                # the former runs join the new one, cut into the new buckets
+                former = [self.spark.read.schema(schema).option("basePath", f"{self.path}/{r}").parquet(f"{self.path}/{r}") for r in state[name]]
+                for old in former:
+                    df = df.unionByName(old.select(*df.columns))
+                state[name] = []
             key = F.col("uid" if name == "records" else "chunk")
             bucket = F.pmod(key, F.lit(state["buckets"])).cast("int")
-            df = written[name].repartitionById(tasks, (bucket % tasks).cast("int"))
+            df = df.repartitionById(tasks, (bucket % tasks).cast("int"))
             if name == "chunks":
-                df = df.mapInArrow(_mark, _CHUNK)
-            df.withColumn("bucket", bucket).sortWithinPartitions("bucket", key).write.partitionBy("bucket").parquet(f"{self.path}/{run}")
-            return run
-
-        with ThreadPoolExecutor(len(written)) as pool:
-            for name, run in zip(written, pool.map(inheritable_thread_target(self.spark)(write), written), strict=True):
-                state[name].append(run)
+                df = df.mapInArrow(lambda batches: (_marked(b) for b in [_joined(batches)] if b is not None), _CHUNK)
+            kinds = ["kind", "bucket"] if name == "chunks" else ["bucket"]
+            run = f"{name}-{state['version']}-{uuid.uuid4().hex[:8]}"
+            df.withColumn("bucket", bucket).sortWithinPartitions(*kinds, key).write.partitionBy(*kinds).parquet(f"{self.path}/{run}")
+            state[name].append(run)
         state |= {"rows": rows, "n_records": state["n_records"] + added}
         self._publish(state)
         drop(fresh)
@@ -414,7 +396,6 @@ class History:
         state |= {"order": f"order-{state['version']}-{uuid.uuid4().hex[:8]}", "ordered": n}
         rows = pd.DataFrame({"w": order.hashes, "place": order.places, "n": order.counts})
         self.spark.createDataFrame(rows, "w long, place long, n long").coalesce(1).write.parquet(f"{self.path}/{state['order']}")
-        self._order = order
 
     def _publish(self, state: dict) -> None:
         """Name a new version: written under another name first, so no reader ever meets half a manifest."""
@@ -434,25 +415,72 @@ class History:
         remove_path(self.spark, self.path)
 
 
-def _marked(rows: list[np.ndarray]) -> list[np.ndarray]:
-    """Rows (chunk, uid, ...) sorted by chunk; of a chunk with more than ``LISTED`` records one row stays, as a mark, so no list is ever longer."""
-    by = np.lexsort((rows[1], rows[0]))
-    rows = [x[by] for x in rows]
-    first = np.flatnonzero(np.r_[True, rows[0][1:] != rows[0][:-1]][: len(by)])
+def _bytes_of(uid: pa.Array, stream: pa.Array) -> pa.RecordBatch:
+    """Chunks of the bytes of streams, each different one of a record once with its bytes."""
+    texts = stream.cast(pa.binary()).to_pylist()
+    owner, chunk, size = cut(texts)
+    whole = np.fromiter(map(len, texts), np.int64, len(texts))[owner]
+    by = np.lexsort((chunk, owner))
+    owner, chunk, size, whole = owner[by], chunk[by], size[by], whole[by]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])][: len(owner)])
+    sums = np.add.reduceat(size, first) if len(first) else size
+    return _chunk_rows(np.zeros(len(first), np.int32), chunk[first], uid.to_numpy()[owner[first]], sums, whole[first])
+
+
+def _words_of(batch: pa.RecordBatch, order: StoredOrder, tenths: int) -> pa.RecordBatch:
+    """Chunks of the words of records (``uid``, ``space``, ``words``)."""
+    col, uid, size, sketch = similarity.entries(batch, order, tenths)
+    return _chunk_rows(np.ones(len(col), np.int32), similarity._mix(col.astype(np.uint64)).view(np.int64), uid, size.astype(np.int64), sketch.view(np.int64))
+
+
+def _chunk_rows(*columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "chunk", "uid", "size", "sketch"])
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
+    held = [b for b in batches if b.num_rows]
+    return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else None
+
+
+def _marked(rows: pa.RecordBatch) -> pa.RecordBatch:
+    """Chunks, without the lists of byte chunks with more than ``LISTED`` records: one row stays as a mark, so no list is ever longer."""
+    kind, chunk, uid, size, sketch = (rows.column(i).to_numpy() for i in range(5))
+    by = np.lexsort((uid, chunk, kind))
+    kind, chunk, uid, size, sketch = kind[by], chunk[by], uid[by].copy(), size[by], sketch[by]
+    first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])][: len(by)])
     length = np.diff(np.r_[first, len(by)])
-    marked = (length > LISTED) | (rows[1][first] == -1) if len(first) else np.zeros(0, bool)
+    marked = ((length > LISTED) | (uid[first] == MARK)) & (kind[first] == 0)
     keep = ~np.repeat(marked, length)
     keep[first[marked]] = True
-    rows[1] = rows[1].copy()
-    rows[1][first[marked]] = -1
-    return [x[keep] for x in rows]
+    uid[first[marked]] = MARK
+    return _chunk_rows(kind[keep], chunk[keep], uid[keep], size[keep], sketch[keep])
 
 
-def _mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held = [b for b in batches if b.num_rows]
-    if held:
-        part = pa.Table.from_batches(held)
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in _marked([part.column(i).to_numpy() for i in range(part.num_columns)])], names=part.schema.names)
+class StoredOrder:
+    """A word order in a history's folder: only its path goes to the tasks, and a worker reads it once."""
+
+    def __init__(self, path: str, n_rows: int) -> None:
+        self.path, self.n_rows = path, n_rows
+
+    def places_of(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _stored(self.path, self.n_rows).places_of(flat)
+
+
+@lru_cache(maxsize=2)
+def _stored(path: str, n_rows: int) -> similarity.WordOrder:
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    files, root = fs.FileSystem.from_uri(path)
+    parts = []
+    for info in files.get_file_info(fs.FileSelector(root)):
+        if info.path.endswith(".parquet"):
+            with files.open_input_file(info.path) as source:
+                parts.append(pq.ParquetFile(source).read())
+    rows = pa.concat_tables(parts)
+    w, place, n = (rows.column(c).to_numpy() for c in ("w", "place", "n"))
+    by = np.argsort(w)
+    return similarity.WordOrder(w[by], place[by], n[by], n_rows)
 
 
 def _names(spark: SparkSession, folder: str) -> list[str]:
@@ -472,7 +500,8 @@ def seen_texts(rows: DataFrame, batches: DataFrame, tenths: int = 7, path: str |
     months = [r[0] for r in batches.select("batch").filter(F.col("batch").isNotNull()).distinct().orderBy("batch").collect()]
     dated = dated.select("id", "text", "batch", F.coalesce("accepted", F.lit(False)).alias("accepted"))
     folder = work_path(spark, "batches")
-    dated.write.partitionBy("batch").parquet(folder)
+    # few files a batch, and a batch of any size in as many as it needs
+    dated.hint("rebalance", "batch").write.partitionBy("batch").parquet(folder)
     there = set(_names(spark, folder))
     kept = History.open(spark, path or work_path(spark, "history"), tenths=tenths, **options)
     out = None
