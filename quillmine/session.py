@@ -92,8 +92,8 @@ def work_path(spark: SparkSession, name: str) -> str:
 CLEAN_UP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: lineage ends at durable files.
+def materialize(df: DataFrame, name: str, parts: tuple[str, ...] = (), **options: str) -> DataFrame:
+    """Write ``df`` to the shared folder, in folders by the columns ``parts``, and read it back: lineage ends at durable files.
 
     Nothing reads the shuffles of this one write again, so they are dropped with its end.
     """
@@ -102,7 +102,7 @@ def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
     before = spark.conf.get(CLEAN_UP, "false")
     spark.conf.set(CLEAN_UP, "true")
     try:
-        df.write.options(**options).parquet(path)
+        df.write.options(**options).partitionBy(*parts).parquet(path)
     finally:
         spark.conf.set(CLEAN_UP, before)
     return spark.read.schema(df.schema).parquet(path)
@@ -117,5 +117,5 @@ def remove_path(spark: SparkSession, path: str) -> None:
 
 def drop(df: DataFrame) -> None:
     """Delete the files of a materialised table that no later step reads."""
-    for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+    for path in {re.sub(r"(/[^/]*=[^/]*)*/[^/]*$", "", f) for f in df.inputFiles()}:
         remove_path(df.sparkSession, path)
