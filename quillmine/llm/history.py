@@ -1,26 +1,27 @@
 """New batches held against all accepted history (problem 1).
 
 The history is a set of tables in a folder: a chunk-to-record table cut into buckets by chunk, the
-records' words cut into buckets by record, and a manifest.  ``open`` reads the manifest, ``check``
-judges a batch, ``append`` adds accepted records; neither reads the whole history.
+records' words cut into buckets by record, and a manifest that names their files.  ``open`` reads the
+manifest; ``take`` judges a batch and appends what is accepted of it.  Neither reads the whole history.
 
-``check`` cuts a record's words, as one stream of bytes, where a rolling hash of ``WINDOW`` bytes is
-0 under a mask, so that an insertion moves no later boundary.  The chunks go to the tasks of their
-buckets, which read these buckets only, and the bytes of the chunks that a new record shares with an
-old one are added up.  A record covered by at least one part in ``COVERED`` is fetched with its
-words and compared exactly.
+A record's words, as one stream of bytes, are cut where a rolling hash of ``WINDOW`` bytes is 0 under
+a mask, so that an insertion moves no later boundary.  The chunks go to the tasks of their buckets;
+these read their buckets of the table only, give out the bytes that each pair of a new and an old
+record has in common, and write the chunks of accepted records as new files of the buckets.  The
+bytes of a pair are added up, and a record covered by at least one part in ``COVERED`` is compared
+exactly, with words that are fetched for such pairs only.
 
 Byte chunks can't decide by themselves: two questions with 70 % of their words in common may share
-no chunk.  And a chunk that more than ``LISTED`` records of a batch or of the history hold (the same
-instruction, a stock phrase) has no list that could be looked up.  For the records that coverage
-leaves undecided the stream is therefore the record's distinct words, rare ones first, and a chunk
-closes as soon as it is rare: a rare word is a chunk, frequent ones close one as a pair or as three.
-These chunks lie in a table of the same form, and by the prefix bound of ``similarity.py`` they miss
-no near-duplicate.  README has the share that each kind of chunk finds.
+no chunk.  And a chunk that more than ``LISTED`` records hold (the same instruction, a stock phrase)
+has no list that could be looked up.  The table therefore has chunks of a second kind, of the stream of
+a record's distinct words, rare ones first: such a chunk closes as soon as it is rare, so a rare word
+is one, and frequent words close one as a pair or as three.  By the prefix bound of ``similarity.py``
+they miss no near-duplicate.  README has the share that byte chunks find alone.
 
 The number of buckets grows fourfold when a bucket would hold more than ``bucket_rows`` rows, so a
 small batch reads as much of a long history as of a short one.  A manifest is written after the
-tables it names, so a lost executor or driver leaves the former version valid.
+files it names, and files of tasks that failed are in no manifest, so a lost executor or driver leaves
+the former version valid.
 
 Defined results: null texts, texts of fewer than ``least`` words, records without a known batch
 and hashes that are null or not 64 hex digits match nothing; repeated rows are judged one by one;
@@ -35,25 +36,25 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmine.llm import similarity
 from quillmine.session import drop, materialize, qualified, remove_path, work_path
 
-WINDOW, MASK = 12, 15
+WINDOW, MASK = 12, 31
 COVERED, LISTED = 4, 24
-#: Chunks that one task looks up or writes.
-ROWS_A_TASK = 200_000
-#: Record of a chunk that is too frequent to have a list.
+#: Chunks that one task looks up.
+ROWS_A_TASK = 250_000
+#: Record of a byte chunk that is too frequent to have a list.
 MARK = -(2**63)
+#: Kinds of files: chunks of bytes, chunks of words, records, and the order of words.
+BYTES, WORDS, RECORD, ORDER = 0, 1, 2, 3
+#: Flag of an accepted record, beside those of the matrix of ``similarity``.
+ACCEPTED = np.uint32(16 << 24)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(int(_BASE), -1, 1 << 64))
-#: A row of the chunk table: of bytes (kind 0, ``size`` in bytes) or of words (kind 1, ``size`` as in the matrix of ``similarity``).
-_CHUNK = "kind int, chunk long, uid long, size long, sketch long"
-_RECORD = "uid long, uid2 long, known array<smallint>, rest array<bigint>"
 
 
 def hash_digits(value: Column) -> Column:
@@ -139,23 +140,9 @@ def coverage(chunks: DataFrame, batch_of: DataFrame) -> DataFrame:
 
 
 def bucket_of(chunk: np.ndarray, buckets: int) -> np.ndarray:
-    """Bucket of chunks or records; chunks are hashes, so their lower bits will do."""
-    return (chunk.view(np.uint64) % np.uint64(buckets)).astype(np.int64)
-
-
-def _read_bucket(runs: list[str], place: str, bucket: int, columns: list[str]) -> pa.Table | None:
-    """The rows of one bucket, of all runs that hold some; ``place`` is the folder of their kind."""
-    from pyarrow import fs
-    from pyarrow import parquet as pq
-
-    parts = []
-    for run in runs:
-        files, root = fs.FileSystem.from_uri(f"{run}{place}/bucket={bucket}")
-        for info in files.get_file_info(fs.FileSelector(root, allow_not_found=True)):
-            if info.path.endswith(".parquet"):
-                with files.open_input_file(info.path) as source:
-                    parts.append(pq.ParquetFile(source).read(columns=columns))
-    return pa.concat_tables(parts) if parts else None
+    """Bucket of chunks or records, both of which are hashes."""
+    unsigned = chunk.astype(np.uint64) if chunk.dtype == np.uint32 else chunk.view(np.uint64)
+    return (unsigned % np.uint64(buckets)).astype(np.int64)
 
 
 def _met(new: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -167,235 +154,323 @@ def _met(new: np.ndarray, old: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return i, j
 
 
+#: Packed columns of the two kinds of chunks: chunk, record, size with flags, and the bytes of the whole or a sketch.
+PACKED = {BYTES: (np.uint64, np.int64, np.uint32, np.uint32), WORDS: (np.uint32, np.int64, np.uint32, np.uint64)}
+
+
+def _byte_chunks(uid: np.ndarray, texts: list[bytes], accepted: np.ndarray) -> list[np.ndarray]:
+    """The different chunks of each text with their bytes."""
+    owner, chunk, size = cut(texts)
+    whole = np.fromiter(map(len, texts), np.int64, len(texts))[owner]
+    by = np.lexsort((chunk, owner))
+    owner, chunk, size, whole = owner[by], chunk[by], size[by], whole[by]
+    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])][: len(owner)])
+    sums = np.minimum(np.add.reduceat(size, first) if len(first) else size, similarity.MOST_WORDS).astype(np.uint32)
+    flags = np.where(accepted[owner[first]], ACCEPTED, np.uint32(0))
+    return [chunk[first].view(np.uint64), uid[owner[first]], sums | flags, np.minimum(whole[first], 2**32 - 1).astype(np.uint32)]
+
+
+def _emit(order: StoredOrder, tenths: int, buckets: int):
+    """Rows (bucket, kind, block) of a batch of new records: their chunks of both kinds, and the records that were accepted."""
+
+    def packed(kind: int, held: list[np.ndarray]) -> pa.RecordBatch:
+        out = similarity._pack(bucket_of(held[0], buckets), buckets, held)
+        return pa.RecordBatch.from_arrays([out.column(0), pa.array(np.full(out.num_rows, kind, np.int32)), out.column(1)], names=["bucket", "kind", "block"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            uid, accepted = batch.column(0).to_numpy(), batch.column(4).to_numpy(zero_copy_only=False).astype(bool)
+            yield packed(BYTES, _byte_chunks(uid, batch.column(3).cast(pa.binary()).to_pylist(), accepted))
+            held = similarity.entries(batch, order, tenths)
+            held[2] = held[2] | np.where(np.isin(held[1], uid[accepted]), ACCEPTED, np.uint32(0))
+            yield packed(WORDS, held)
+            words = similarity.coded_words(batch.column(2), order)
+            _, first = np.unique(np.where(accepted, uid, MARK), return_index=True)
+            kept = first[accepted[first]]
+            if len(kept):
+                records = pa.table([batch.column(0), batch.column(5), *words], names=["uid", "uid2", "known", "rest"]).take(pa.array(kept))
+                where = bucket_of(uid[kept], buckets)
+                names = np.unique(where)
+                blocks = [_ipc(records.take(pa.array(np.flatnonzero(where == b)))) for b in names.tolist()]
+                yield pa.RecordBatch.from_arrays([pa.array(names.astype(np.int32)), pa.array(np.full(len(names), RECORD, np.int32)), pa.array(blocks, pa.binary())], names=["bucket", "kind", "block"])
+
+    return run
+
+
+def _ipc(table: pa.Table) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    return sink.getvalue().to_pybytes()
+
+
+def _read_files(folder: str, names: list[str], columns: list[str] | None = None) -> pa.Table | None:
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    parts = []
+    files, root = fs.FileSystem.from_uri(folder)
+    for name in names:
+        with files.open_input_file(f"{root}/{name}") as source:
+            parts.append(pq.ParquetFile(source).read(columns=columns))
+    return pa.concat_tables(parts) if parts else None
+
+
+def _write_file(folder: str, kind: int, bucket: int, table: pa.Table) -> str:
+    """Write a file of a bucket; its name is unlike that of any other attempt."""
+    from pyarrow import fs
+    from pyarrow import parquet as pq
+
+    name = f"{('bytes', 'words', 'records', 'order')[kind]}-{bucket}-{uuid.uuid4().hex}.parquet"
+    files, root = fs.FileSystem.from_uri(folder)
+    with files.open_output_stream(f"{root}/{name}") as sink:
+        pq.write_table(table, sink, use_dictionary=["known"] if kind == RECORD else False, write_statistics=False)
+    return name
+
+
+def _chunks_table(kind: int, held: list[np.ndarray]) -> pa.Table:
+    """Accepted chunks as they are kept: sorted, each record of a chunk once, and of a frequent byte chunk one mark only."""
+    chunk, uid, size, more = held
+    by = np.lexsort((uid, chunk))
+    by = by[np.r_[True, (chunk[by][1:] != chunk[by][:-1]) | (uid[by][1:] != uid[by][:-1])][: len(by)]]
+    chunk, uid, size, more = chunk[by], uid[by], size[by] & ~ACCEPTED, more[by]
+    if kind == BYTES:
+        first = np.flatnonzero(np.r_[True, chunk[1:] != chunk[:-1]][: len(chunk)])
+        length = np.diff(np.r_[first, len(chunk)])
+        frequent = length > LISTED
+        keep = ~np.repeat(frequent, length)
+        keep[first[frequent]] = True
+        uid[first[frequent]] = MARK
+        return pa.table({"chunk": chunk[keep], "uid": uid[keep]})
+    return pa.table({"chunk": chunk, "uid": uid, "size": size, "sketch": more})
+
+
+def _shared_bytes(held: list[np.ndarray], old: pa.Table) -> list[np.ndarray]:
+    """(new, old, bytes, whole): the bytes that pairs share within a bucket."""
+    chunk, own, size, whole = held
+    kept, uid = old.column("chunk").to_numpy(), old.column("uid").to_numpy()
+    by = np.lexsort((uid, kept))
+    by = by[np.r_[True, (kept[by][1:] != kept[by][:-1]) | (uid[by][1:] != uid[by][:-1])][: len(by)]]
+    kept, uid = kept[by], uid[by]
+    first = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]][: len(kept)])
+    length = np.diff(np.r_[first, len(kept)])
+    # a mark, the least of all handles, stands first
+    live = np.repeat((length <= LISTED) & (uid[first] != MARK), length)
+    kept, uid = kept[live], uid[live]
+    i, j = _met(chunk, kept)
+    a, b, size, whole = own[i], uid[j], (size[i] & np.uint32(similarity.MOST_WORDS)).astype(np.int64), whole[i].astype(np.int64)
+    by = np.lexsort((b, a))
+    a, b, size, whole = a[by], b[by], size[by], whole[by]
+    first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
+    return [a[first], b[first], np.add.reduceat(size, first) if len(first) else size, whole[first]]
+
+
+def _shared_words(held: list[np.ndarray], old: pa.Table, tenths: int) -> list[np.ndarray]:
+    """(new, old, 0, 0): pairs that share a chunk of words and may be alike by their sizes and sketches."""
+    kept = old.column("chunk").to_numpy()
+    by = np.argsort(kept, kind="stable")
+    kept, uid, size, sketch = kept[by], *(old.column(c).to_numpy()[by] for c in ("uid", "size", "sketch"))
+    chunk, a, own, drawn = held
+    longest = int(np.diff(np.flatnonzero(np.r_[True, kept[1:] != kept[:-1], True])).max()) if len(kept) else 1
+    step, out = max(1, similarity.PAIRS_AT_ONCE // longest), []
+    most, late_flag = np.uint32(similarity.MOST_WORDS), np.uint32(similarity.LATE << 24)
+    for k in range(0, len(chunk), step):
+        i, j = _met(chunk[k : k + step], kept)
+        i += k
+        n, m = own[i] & most, size[j] & most
+        late, late2 = own[i] & late_flag != 0, size[j] & late_flag != 0
+        keep = similarity.alike_in_size(n, m, drawn[i], sketch[j], tenths)
+        keep &= ~(late & late2) & (~late | (n > m) | (n == most)) & (~late2 | (m > n) | (m == most))
+        if keep.any():
+            out.append(np.stack([a[i[keep]], uid[j[keep]]], axis=1))
+    pairs = similarity._distinct(np.concatenate(out)) if out else [np.empty(0, np.int64)] * 2
+    return [*pairs, np.zeros(len(pairs[0]), np.int64), np.zeros(len(pairs[0]), np.int64)]
+
+
+_PAIRED = "kind int, bucket int, new long, old long, bytes long, whole long, file string"
+
+
+def _look_up(folder: str, at: dict[str, list[str]], tenths: int, read):
+    """Look the chunks of new records up in the buckets of a task, and write those of accepted records beside."""
+
+    def rows(kind: int, bucket: int, pairs: list[np.ndarray] | None = None, name: str | None = None) -> pa.RecordBatch:
+        n = 1 if pairs is None else len(pairs[0])
+        columns = [pa.nulls(1, pa.int64())] * 4 if pairs is None else [pa.array(x, pa.int64()) for x in pairs]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(n, kind, np.int32)), pa.array(np.full(n, bucket, np.int32)), *columns, pa.array([name] * n, pa.string())], names=["kind", "bucket", "new", "old", "bytes", "whole", "file"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        blocks: dict[tuple[int, int], list[pa.RecordBatch]] = {}
+        for batch in batches:
+            for k, (bucket, kind) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                blocks.setdefault((bucket, kind), []).append(batch.slice(k, 1))
+        for (bucket, kind), held in sorted(blocks.items()):
+            if kind == RECORD:
+                table = pa.concat_tables(pa.ipc.open_stream(b.column("block")[0].as_buffer()).read_all() for b in held)
+                yield rows(kind, bucket, name=_write_file(folder, kind, bucket, table.sort_by("uid")))
+                continue
+            new = similarity._unpack(held, PACKED[kind])
+            if names := at.get(f"{kind}-{bucket}"):
+                old = _read_files(folder, names)
+                read.add(old.num_rows)
+                yield rows(kind, bucket, _shared_bytes(new, old) if kind == BYTES else _shared_words(new, old, tenths))
+            own = new[2] & ACCEPTED != 0
+            if own.any():
+                yield rows(kind, bucket, name=_write_file(folder, kind, bucket, _chunks_table(kind, [x[own] for x in new])))
+
+    return run
+
+
+class StoredOrder:
+    """A word order in a history's folder: only its path goes to the tasks, and a worker reads it once."""
+
+    def __init__(self, path: str, n_rows: int) -> None:
+        self.path, self.n_rows = path, n_rows
+
+    def places_of(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return _stored(self.path, self.n_rows).places_of(flat)
+
+
+@lru_cache(maxsize=2)
+def _stored(path: str, n_rows: int) -> similarity.WordOrder:
+    folder, name = path.rsplit("/", 1)
+    rows = _read_files(folder, [name])
+    w, place, n = (rows.column(c).to_numpy() for c in ("w", "place", "n"))
+    return similarity.WordOrder(w, place, n, n_rows)
+
+
 class History:
-    """Accepted records of earlier batches below a folder: ``check`` a batch, then ``append`` what was accepted.
+    """Accepted records of earlier batches below a folder.  ``take`` judges a batch and appends what is accepted of it.
 
     ``read`` counts the rows that the look-ups of this object read from the history's tables.
     """
 
-    def __init__(self, spark: SparkSession, path: str, tenths: int = 7, bucket_rows: int = 250_000, state: dict | None = None) -> None:
+    def __init__(self, spark: SparkSession, path: str, tenths: int = 7, bucket_rows: int = 2_000_000, state: dict | None = None) -> None:
         self.spark, self.path, self.tenths, self.bucket_rows = spark, path, tenths, bucket_rows
-        self.state = state or {"version": 0, "buckets": 0, "chunks": [], "records": [], "rows": 0, "n_records": 0, "order": None}
+        self.state = state or {"version": 0, "buckets": 16, "at": {}, "rows": 0, "order": None, "ordered": 0}
         self.read = spark.sparkContext.accumulator(0)
-        self._n = 0
 
     @classmethod
     def open(cls, spark: SparkSession, path: str, **options) -> History:
         """The history below ``path`` as its last manifest says, or a new one."""
         path = qualified(spark, path)
-        names = [f for f in _names(spark, path) if f.startswith("manifest-") and f.endswith(".json")]
-        if not names:
+        numbers = [int(f[9:-5]) for f in _names(spark, path) if f.startswith("manifest-") and f.endswith(".json")]
+        if not numbers:
             return cls(spark, path, **options)
-        newest = max(names, key=lambda f: int(f[9:-5]))
-        state = json.loads("\n".join(r[0] for r in spark.read.text(f"{path}/{newest}").collect()))
-        return cls(spark, path, state=state, **options)
-
-    # ------------------------------------------------------------ judging
+        lines = spark.read.text(f"{path}/manifest-{max(numbers)}.json").collect()
+        return cls(spark, path, state=json.loads("".join(r[0] for r in lines)), **options)
 
     def check(self, rows: DataFrame) -> DataFrame:
-        """``id`` of the batch rows (``id``, ``text``) that the history already holds, exactly or nearly."""
-        new = self.prepared(rows)
-        return self.judged(new).select("id")
-
-    def prepared(self, rows: DataFrame) -> DataFrame:
-        """A batch with names, words and stream, written once for all steps; ``judged`` and ``append`` take the last one prepared."""
-        own = [c for c in rows.columns if c not in ("text", "space", "uid", "uid2", "words", "stream")]
-        counted = Observation()
-        flat = rows.select(*own, "text", stream_of(F.col("text")).alias("stream"), F.lit(0).alias("space")).observe(counted, F.count(F.lit(1)).alias("n"))
-        new = similarity.hashed_rows(flat)
-        self._n = counted.get["n"]
-        return new
-
-    def judged(self, new: DataFrame) -> DataFrame:
-        """Rows of a prepared batch that the history holds."""
-        if not self.state["n_records"]:
-            return new.limit(0)
-        order = self.order()
-        ids = ["uid", "uid2"]
-        found = materialize(self._same(new).unionByName(self._confirmed(self._covered(new), new, order)).distinct(), "found")
-        rest = new.join(found, ids, "left_anti")
-        more = self._confirmed(self._by_words(rest, order), new, order)
-        return new.join(found.unionByName(more), ids, "left_semi")
-
-    def by_coverage(self, new: DataFrame) -> DataFrame:
-        """Rows of a prepared batch that byte chunks alone find, for measurements."""
-        return new.join(self._confirmed(self._covered(new), new, self.order()), ["uid", "uid2"], "left_semi")
-
-    def _same(self, new: DataFrame) -> DataFrame:
-        def look(part: pa.Table, old: pa.Table) -> list[np.ndarray]:
-            a, a2, b, b2 = (t.column(c).to_numpy() for t in (part, old) for c in ("uid", "uid2"))
-            by = np.argsort(b, kind="stable")
-            i, j = _met(a, b[by])
-            i = np.unique(i[a2[i] == b2[by][j]])
-            return [a[i], a2[i]]
-
-        return self._look_up(new.select("uid", "uid2").distinct(), "uid", "records", ["uid", "uid2"], look, "uid long, uid2 long")
-
-    def _covered(self, new: DataFrame) -> DataFrame:
-        """(new, old): handles of records of which at least one part in ``COVERED`` is covered by chunks of the old one."""
-        part = F.sum("bytes").cast("int")
-        chunks = self._byte_chunks(new)
-
-        def look(part: pa.Table, old: pa.Table) -> list[np.ndarray]:
-            chunk, held, uid = part.column("chunk").to_numpy(), old.column("chunk").to_numpy(), old.column("uid").to_numpy()
-            by = np.lexsort((uid, held))
-            held, uid = held[by], uid[by]
-            first = np.flatnonzero(np.r_[True, held[1:] != held[:-1]][: len(held)])
-            length = np.diff(np.r_[first, len(held)])
-            # a mark, the least of all handles, stands first
-            live = np.repeat((length <= LISTED) & (uid[first] != MARK), length)
-            held, uid = held[live], uid[live]
-            i, j = _met(chunk, held)
-            a, b = part.column("uid").to_numpy()[i], uid[j]
-            size, whole = part.column("size").to_numpy()[i], part.column("sketch").to_numpy()[i]
-            # the shared bytes of a pair within this bucket are one row
-            by = np.lexsort((b, a))
-            a, b, size, whole = a[by], b[by], size[by], whole[by]
-            first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
-            return [a[first], b[first], (np.add.reduceat(size, first) if len(first) else size).astype(np.int32), whole[first].astype(np.int32)]
-
-        shared = self._look_up(chunks, "chunk", "chunks", ["chunk", "uid"], look, "new long, old long, bytes int, whole int", "/kind=0")
-        total = shared.groupBy("new", "old").agg(part.alias("bytes"), F.first("whole").alias("whole"))
-        return total.filter(F.col("bytes") * COVERED >= F.col("whole")).select("new", "old")
-
-    def _by_words(self, rest: DataFrame, order: StoredOrder) -> DataFrame:
-        """(new, old): handles of records that share a chunk of words and may be alike by their sizes and sketches."""
-        tenths = self.tenths
-
-        def look(part: pa.Table, old: pa.Table) -> list[np.ndarray]:
-            held = old.column("chunk").to_numpy()
-            by = np.argsort(held, kind="stable")
-            uid, size, sketch = (old.column(c).to_numpy()[by] for c in ("uid", "size", "sketch"))
-            chunk, a, own, drawn = (part.column(c).to_numpy() for c in ("chunk", "uid", "size", "sketch"))
-            out = []
-            step = max(1, similarity.PAIRS_AT_ONCE // max(1, int(np.diff(np.flatnonzero(np.r_[True, np.diff(held[by]) != 0, True])).max()))) if len(held) else 1
-            for k in range(0, len(chunk), step):
-                i, j = _met(chunk[k : k + step], held[by])
-                i += k
-                n, m = own[i] & similarity.MOST_WORDS, size[j] & similarity.MOST_WORDS
-                late, late2 = own[i] > similarity.MOST_WORDS, size[j] > similarity.MOST_WORDS
-                keep = similarity.alike_in_size(n, m, drawn[i].view(np.uint64), sketch[j].view(np.uint64), tenths)
-                keep &= ~(late & late2) & (~late | (n > m) | (n == similarity.MOST_WORDS)) & (~late2 | (m > n) | (m == similarity.MOST_WORDS))
-                out.append(np.stack([a[i[keep]], uid[j[keep]]], axis=1))
-            pairs = np.concatenate(out) if out else np.empty((0, 2), np.int64)
-            return similarity._distinct(pairs) if len(pairs) else [np.empty(0, np.int64)] * 2
-
-        found = self._look_up(self._word_chunks(rest, order), "chunk", "chunks", ["chunk", "uid", "size", "sketch"], look, "new long, old long", "/kind=1")
-        return found.distinct()
-
-    def _look_up(self, rows: DataFrame, key: str, table: str, columns: list[str], look, schema: str, place: str = "") -> DataFrame:
-        """Rows sent to the tasks of their buckets, which read these buckets of a table and give what ``look`` finds."""
-        runs, buckets, read = [f"{self.path}/{r}" for r in self.state[table]], self.state["buckets"], self.read
-        names = [c.split()[0] for c in schema.split(", ")]
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            held = [b for b in batches if b.num_rows]
-            if not held:
-                return
-            part = pa.Table.from_batches(held).combine_chunks()
-            where = bucket_of(part.column(key).to_numpy(), buckets)
-            by = np.argsort(where, kind="stable")
-            part, where = part.take(pa.array(by)), where[by]
-            for bucket in np.unique(where).tolist():
-                low, high = np.searchsorted(where, [bucket, bucket + 1])
-                old = _read_bucket(runs, place, bucket, columns)
-                if old is not None:
-                    read.add(old.num_rows)
-                    found = look(part.slice(low, high - low), old)
-                    yield pa.RecordBatch.from_arrays([x if isinstance(x, pa.Array) else pa.array(x) for x in found], names=names)
-
+        """``id`` of the batch rows (``id``, ``text``) that the history already holds, exactly or nearly; nothing is appended."""
+        new = prepared(rows.select("id", "text", F.lit(False).alias("accepted")))
+        return self.take(new, new.count(), publish=False)
+
+    def append(self, rows: DataFrame) -> None:
+        """Add the batch rows (``id``, ``text``)."""
+        new = prepared(rows.select("id", "text", F.lit(True).alias("accepted")))
+        self.take(new, new.count())
+
+    def take(self, new: DataFrame, n: int, publish: bool = True, only: int | None = None) -> DataFrame:
+        """``id`` of the rows of a prepared batch of ``n`` rows that the history holds; what is accepted of it is appended.
+
+        ``only`` judges by one kind of chunks, for measurements.
+        """
+        if not self.state["order"]:
+            first = new.filter("accepted")
+            if not publish or first.isEmpty():
+                return materialize(new.select("id").limit(0), "seen")
+            self._set_order(first, n)
         # a record has some 20 chunks
-        tasks = min(buckets, 1 + 20 * self._n // ROWS_A_TASK)
-        task = F.pmod(F.col(key), F.lit(buckets)) % tasks
-        # unsigned and signed remainder agree, as the number of buckets is a power of two
-        return rows.repartitionById(tasks, task.cast("int")).mapInArrow(run, schema)
-
-    def _confirmed(self, pairs: DataFrame, new: DataFrame, order: StoredOrder) -> DataFrame:
-        """(``uid``, ``uid2``) of new records with a near-duplicate among the old ones they were paired with."""
-        pairs = materialize(pairs, "paired")
-        mine = similarity.coded(new.join(pairs.select(F.col("new").alias("uid")), "uid", "left_semi"), order).dropDuplicates(["uid", "uid2"])
+        state = json.loads(json.dumps(self.state)) | {"version": self.state["version"] + 1, "rows": self.state["rows"] + 20 * n}
+        if publish and state["rows"] > state["buckets"] * self.bucket_rows:
+            self._grow(state)
+        order, buckets, tenths = StoredOrder(f"{self.path}/{state['order']}", state["ordered"]), state["buckets"], self.tenths
+        tasks = min(buckets, 1 + 20 * n // ROWS_A_TASK)
+        blocks = new.select("uid", "space", "words", "stream", "accepted", "uid2").mapInArrow(_emit(order, tenths, buckets), "bucket int, kind int, block binary")
+        looked = blocks.repartitionById(tasks, F.col("bucket") % tasks).mapInArrow(_look_up(self.path, state["at"], tenths, self.read), _PAIRED)
+        paired = materialize(looked, "paired")
+        former = dict(state["at"])
+        pairs = self._candidates(paired, only)
+        seen = materialize(self._confirmed(pairs, new, order, former, buckets, n), "seen") if former else materialize(new.select("id").limit(0), "seen")
+        files = paired.filter("file is not null").select("kind", "bucket", "file").collect()
+        drop(paired)
+        if publish and files:
+            for f in files:
+                state["at"].setdefault(f"{f['kind']}-{f['bucket']}", []).append(f["file"])
+            self._publish(state)
+        return seen
+
+    def _candidates(self, paired: DataFrame, only: int | None) -> DataFrame:
+        """(new, old): handles of records that are covered by chunks of bytes, or share one of words."""
+        rows = paired.filter("file is null")
+        covered = rows.filter(F.col("kind") == BYTES).groupBy("new", "old").agg(F.sum("bytes").alias("bytes"), F.max("whole").alias("whole")).filter(F.col("bytes") * COVERED >= F.col("whole"))
+        by_words = rows.filter(F.col("kind") == WORDS).select("new", "old")
+        if only is not None:
+            return (covered.select("new", "old") if only == BYTES else by_words).distinct()
+        return covered.select("new", "old").unionByName(by_words).distinct()
+
+    def _confirmed(self, pairs: DataFrame, new: DataFrame, order: StoredOrder, at: dict, buckets: int, n: int) -> DataFrame:
+        """``id`` of new rows with a near-duplicate among the old records that they were paired with."""
+        folder, read = self.path, self.read
+
+        def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            wanted: dict[int, list[np.ndarray]] = {}
+            for batch in batches:
+                uid = np.unique(batch.column(0).to_numpy())
+                where = bucket_of(uid, buckets)
+                for bucket in np.unique(where).tolist():
+                    wanted.setdefault(bucket, []).append(uid[where == bucket])
+            for bucket, held in sorted(wanted.items()):
+                if not (names := at.get(f"{RECORD}-{bucket}")):
+                    continue
+                old = _read_files(folder, names, ["uid", "uid2", "known", "rest"]).combine_chunks()
+                read.add(old.num_rows)
+                took = old.filter(pa.array(np.isin(old.column("uid").to_numpy(), np.concatenate(held)))).combine_chunks()
+                keys = np.stack([took.column("uid").to_numpy(), took.column("uid2").to_numpy()], axis=1)
+                first = np.sort(np.unique(keys, axis=0, return_index=True)[1])
+                for batch in took.take(pa.array(first)).combine_chunks().to_batches():
+                    yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), batch.column(3)], names=["old", "known_b", "rest_b"])
+
+        tasks = min(buckets, 1 + n // ROWS_A_TASK)
+        wanted = pairs.select("old").distinct().repartitionById(tasks, (F.pmod("old", F.lit(buckets)) % tasks).cast("int"))
+        old = wanted.mapInArrow(fetch, "old long, known_b array<smallint>, rest_b array<bigint>")
+        mine = similarity.coded(new, order).dropDuplicates(["uid", "uid2"])
         mine = mine.select(F.col("uid").alias("new"), F.col("uid2").alias("new2"), F.col("known").alias("known_a"), F.col("rest").alias("rest_a"))
+        sure = pairs.join(mine, "new").join(old, "old").filter(similarity.reaches(self.tenths)).select(F.col("new").alias("uid"), F.col("new2").alias("uid2")).distinct()
+        return new.select("id", "uid", "uid2").join(sure, ["uid", "uid2"], "left_semi").select("id")
+
+    def _set_order(self, first: DataFrame, n: int) -> None:
+        """Frequent words as they are when the history begins; they decide how words close chunks, not what is found."""
+        order = similarity.word_order(first, n)
+        _make_folder(self.spark, self.path)
+        self.state |= {"order": _write_file(self.path, ORDER, 0, pa.table({"w": order.hashes, "place": order.places, "n": order.counts})), "ordered": n}
+
+    def _grow(self, state: dict) -> None:
+        """Four times the buckets, or more: each old bucket is read once and cut into its new ones, without a shuffle."""
+        before = state["buckets"]
+        while state["rows"] > state["buckets"] * self.bucket_rows:
+            state["buckets"] *= 4
+        folder, after, at = self.path, state["buckets"], state["at"]
 
-        def look(part: pa.Table, old: pa.Table) -> list:
-            uid = old.column("uid").to_numpy()
-            by = np.argsort(uid, kind="stable")
-            _, j = _met(part.column("old").to_numpy(), uid[by])
-            took = old.take(pa.array(by[j])).combine_chunks()
-            return [took.column(c).chunk(0) if took.num_rows else pa.array([], took.schema.field(c).type) for c in ("uid", "known", "rest")]
-
-        wanted = pairs.select("old").distinct()
-        old = self._look_up(wanted, "old", "records", ["uid", "known", "rest"], look, "old long, known_b array<smallint>, rest_b array<bigint>")
-        sure = pairs.join(mine, "new").join(old, "old").filter(similarity.reaches(self.tenths))
-        return sure.select(F.col("new").alias("uid"), F.col("new2").alias("uid2"))
-
-    # ------------------------------------------------------------ tables
-
-    def order(self) -> StoredOrder:
-        """Frequent words as they were when the history began; tasks read them from the history's folder."""
-        return StoredOrder(f"{self.path}/{self.state['order']}", self.state["ordered"])
-
-    def _byte_chunks(self, new: DataFrame) -> DataFrame:
-        """Chunks of each different record's bytes; ``sketch`` has the bytes of the whole."""
-        return new.select("uid", "stream").dropDuplicates(["uid"]).mapInArrow(lambda batches: (_bytes_of(b.column(0), b.column(1)) for b in batches if b.num_rows), _CHUNK)
-
-    def _word_chunks(self, rows: DataFrame, order: StoredOrder) -> DataFrame:
-        tenths = self.tenths
-        return rows.select("uid", "space", "words").mapInArrow(lambda batches: (_words_of(b, order, tenths) for b in batches if b.num_rows), _CHUNK)
-
-    def append(self, new: DataFrame) -> None:
-        """Add accepted rows of a prepared batch; earlier tables are not rewritten unless the buckets have become too few."""
-        known = self.state["n_records"] > 0
-        fresh = new.dropDuplicates(["uid", "uid2"])
-        if known:
-            fresh = fresh.join(self._same(new), ["uid", "uid2"], "left_anti")
-        counted = Observation()
-        fresh = materialize(fresh.select("uid", "uid2", "space", "words", "stream").observe(counted, F.count(F.lit(1)).alias("n")), "fresh")
-        added = counted.get["n"]
-        if not added:
-            return
-        state = json.loads(json.dumps(self.state)) | {"version": self.state["version"] + 1}
-        if not known:
-            self._set_order(state, fresh, added)
-            self.state = self.state | {"order": state["order"], "ordered": added}
-        rows = state["rows"] + 20 * added
-        grown = rows > state["buckets"] * self.bucket_rows
-        while rows > state["buckets"] * self.bucket_rows or not state["buckets"]:
-            state["buckets"] = max(16, 4 * state["buckets"])
-        order, tenths = self.order(), self.tenths
-
-        def cut_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                if batch.num_rows:
-                    yield _marked(_bytes_of(batch.column(0), batch.column(3)))
-                    yield _words_of(batch, order, tenths)
-
-        written = {"chunks": (fresh.select("uid", "space", "words", "stream").mapInArrow(cut_up, _CHUNK), _CHUNK), "records": (similarity.coded(fresh, order), _RECORD)}
-        tasks = min(state["buckets"], 1 + (rows if grown else 20 * added) // ROWS_A_TASK)
-        for name, (df, schema) in written.items():
-            if grown and known:
-                # the former runs join the new one, cut into the new buckets
-                former = [self.spark.read.schema(schema).option("basePath", f"{self.path}/{r}").parquet(f"{self.path}/{r}") for r in state[name]]
-                for old in former:
-                    df = df.unionByName(old.select(*df.columns))
-                state[name] = []
-            key = F.col("uid" if name == "records" else "chunk")
-            bucket = F.pmod(key, F.lit(state["buckets"])).cast("int")
-            df = df.repartitionById(tasks, (bucket % tasks).cast("int"))
-            if name == "chunks":
-                df = df.mapInArrow(lambda batches: (_marked(b) for b in [_joined(batches)] if b is not None), _CHUNK)
-            kinds = ["kind", "bucket"] if name == "chunks" else ["bucket"]
-            run = f"{name}-{state['version']}-{uuid.uuid4().hex[:8]}"
-            df.withColumn("bucket", bucket).sortWithinPartitions(*kinds, key).write.partitionBy(*kinds).parquet(f"{self.path}/{run}")
-            state[name].append(run)
-        state |= {"rows": rows, "n_records": state["n_records"] + added}
-        self._publish(state)
-        drop(fresh)
-
-    def _set_order(self, state: dict, fresh: DataFrame, n: int) -> None:
-        order = similarity.word_order(fresh, n)
-        state |= {"order": f"order-{state['version']}-{uuid.uuid4().hex[:8]}", "ordered": n}
-        rows = pd.DataFrame({"w": order.hashes, "place": order.places, "n": order.counts})
-        self.spark.createDataFrame(rows, "w long, place long, n long").coalesce(1).write.parquet(f"{self.path}/{state['order']}")
+                for b in batch.column(0).to_pylist():
+                    for kind in (BYTES, WORDS, RECORD):
+                        if not (names := at.get(f"{kind}-{b}")):
+                            continue
+                        rows = _read_files(folder, names)
+                        where = bucket_of(rows.column(0).to_numpy(), after)
+                        out = [(kind, bucket, _write_file(folder, kind, bucket, rows.filter(pa.array(where == bucket)))) for bucket in np.unique(where).tolist()]
+                        columns = list(zip(*out, strict=True))
+                        yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int32()), pa.array(columns[2])], names=["kind", "bucket", "file"])
+
+        if at:
+            found = materialize(self.spark.range(0, before, 1, min(before, 512)).mapInArrow(run, "kind int, bucket int, file string"), "grown")
+            state["at"] = {}
+            for f in found.collect():
+                state["at"].setdefault(f"{f['kind']}-{f['bucket']}", []).append(f["file"])
+            drop(found)
 
     def _publish(self, state: dict) -> None:
         """Name a new version: written under another name first, so no reader ever meets half a manifest."""
@@ -406,8 +481,13 @@ class History:
         out = files.create(draft)
         out.write(bytearray(json.dumps(state).encode()))
         out.close()
-        if not files.rename(draft, target):
+        if files.exists(target) or not files.rename(draft, target):
             raise RuntimeError(f"version {state['version']} of the history was written by another process")
+        if state["buckets"] != self.state["buckets"]:
+            # files of the former buckets are named by no manifest from now on
+            named = {f for names in state["at"].values() for f in names}
+            for f in (f for names in self.state["at"].values() for f in names if f not in named):
+                files.delete(jvm.org.apache.hadoop.fs.Path(f"{self.path}/{f}"), False)
         self.state = state
 
     def drop(self) -> None:
@@ -415,72 +495,15 @@ class History:
         remove_path(self.spark, self.path)
 
 
-def _bytes_of(uid: pa.Array, stream: pa.Array) -> pa.RecordBatch:
-    """Chunks of the bytes of streams, each different one of a record once with its bytes."""
-    texts = stream.cast(pa.binary()).to_pylist()
-    owner, chunk, size = cut(texts)
-    whole = np.fromiter(map(len, texts), np.int64, len(texts))[owner]
-    by = np.lexsort((chunk, owner))
-    owner, chunk, size, whole = owner[by], chunk[by], size[by], whole[by]
-    first = np.flatnonzero(np.r_[True, (owner[1:] != owner[:-1]) | (chunk[1:] != chunk[:-1])][: len(owner)])
-    sums = np.add.reduceat(size, first) if len(first) else size
-    return _chunk_rows(np.zeros(len(first), np.int32), chunk[first], uid.to_numpy()[owner[first]], sums, whole[first])
-
-
-def _words_of(batch: pa.RecordBatch, order: StoredOrder, tenths: int) -> pa.RecordBatch:
-    """Chunks of the words of records (``uid``, ``space``, ``words``)."""
-    col, uid, size, sketch = similarity.entries(batch, order, tenths)
-    return _chunk_rows(np.ones(len(col), np.int32), similarity._mix(col.astype(np.uint64)).view(np.int64), uid, size.astype(np.int64), sketch.view(np.int64))
-
-
-def _chunk_rows(*columns: np.ndarray) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["kind", "chunk", "uid", "size", "sketch"])
-
+def prepared(rows: DataFrame, *parts: str) -> DataFrame:
+    """Rows (``id``, ``text``, ``accepted`` and the columns ``parts``) with names, words and stream, written once, in folders by ``parts``."""
+    flat = rows.select("id", "accepted", *parts, "text", stream_of(F.col("text")).alias("stream"), F.lit(0).alias("space"))
+    return similarity.hashed_rows(flat, parts=parts)
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> pa.RecordBatch | None:
-    held = [b for b in batches if b.num_rows]
-    return pa.Table.from_batches(held).combine_chunks().to_batches()[0] if held else None
 
-
-def _marked(rows: pa.RecordBatch) -> pa.RecordBatch:
-    """Chunks, without the lists of byte chunks with more than ``LISTED`` records: one row stays as a mark, so no list is ever longer."""
-    kind, chunk, uid, size, sketch = (rows.column(i).to_numpy() for i in range(5))
-    by = np.lexsort((uid, chunk, kind))
-    kind, chunk, uid, size, sketch = kind[by], chunk[by], uid[by].copy(), size[by], sketch[by]
-    first = np.flatnonzero(np.r_[True, (chunk[1:] != chunk[:-1]) | (kind[1:] != kind[:-1])][: len(by)])
-    length = np.diff(np.r_[first, len(by)])
-    marked = ((length > LISTED) | (uid[first] == MARK)) & (kind[first] == 0)
-    keep = ~np.repeat(marked, length)
-    keep[first[marked]] = True
-    uid[first[marked]] = MARK
-    return _chunk_rows(kind[keep], chunk[keep], uid[keep], size[keep], sketch[keep])
-
-
-class StoredOrder:
-    """A word order in a history's folder: only its path goes to the tasks, and a worker reads it once."""
-
-    def __init__(self, path: str, n_rows: int) -> None:
-        self.path, self.n_rows = path, n_rows
-
-    def places_of(self, flat: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return _stored(self.path, self.n_rows).places_of(flat)
-
-
-@lru_cache(maxsize=2)
-def _stored(path: str, n_rows: int) -> similarity.WordOrder:
-    from pyarrow import fs
-    from pyarrow import parquet as pq
-
-    files, root = fs.FileSystem.from_uri(path)
-    parts = []
-    for info in files.get_file_info(fs.FileSelector(root)):
-        if info.path.endswith(".parquet"):
-            with files.open_input_file(info.path) as source:
-                parts.append(pq.ParquetFile(source).read())
-    rows = pa.concat_tables(parts)
-    w, place, n = (rows.column(c).to_numpy() for c in ("w", "place", "n"))
-    by = np.argsort(w)
-    return similarity.WordOrder(w[by], place[by], n[by], n_rows)
+def _make_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(path)
 
 
 def _names(spark: SparkSession, folder: str) -> list[str]:
@@ -497,23 +520,14 @@ def seen_texts(rows: DataFrame, batches: DataFrame, tenths: int = 7, path: str |
     """
     spark = rows.sparkSession
     dated = rows.select("id", "paper_id", "text").join(batches.select("paper_id", "batch", "accepted").filter(F.col("batch").isNotNull()), "paper_id")
-    months = [r[0] for r in batches.select("batch").filter(F.col("batch").isNotNull()).distinct().orderBy("batch").collect()]
-    dated = dated.select("id", "text", "batch", F.coalesce("accepted", F.lit(False)).alias("accepted"))
-    folder = work_path(spark, "batches")
-    # few files a batch, and a batch of any size in as many as it needs
-    dated.hint("rebalance", "batch").write.partitionBy("batch").parquet(folder)
-    there = set(_names(spark, folder))
+    new = prepared(dated.select("id", "text", "batch", F.coalesce("accepted", F.lit(False)).alias("accepted")), "batch")
+    sizes = {r["batch"]: r["count"] for r in new.groupBy("batch").count().collect()}
     kept = History.open(spark, path or work_path(spark, "history"), tenths=tenths, **options)
     out = None
-    for month in months:
-        if f"batch={month}" not in there:
-            continue
-        new = kept.prepared(spark.read.schema("id long, text string, accepted boolean").parquet(f"{folder}/batch={month}"))
-        found = materialize(kept.judged(new).select("id"), "seen")
+    for batch in sorted(sizes):
+        found = kept.take(new.filter(F.col("batch") == batch), sizes[batch])
         out = found if out is None else out.unionByName(found)
-        kept.append(new.filter("accepted"))
-        drop(new)
-    remove_path(spark, folder)
-    if path is None:
+    drop(new)
+    if path is None and sizes:
         kept.drop()
     return out if out is not None else rows.select("id").limit(0)

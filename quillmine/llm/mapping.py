@@ -106,12 +106,14 @@ class Mapper:
         self.limit, self.numbers = limit, numbers
         self.codes, self.names, self.short = Trie(), Trie(), Trie()
         self.forms: dict[str, set[str]] = {}
+        self.longest = 0
         self.memo: dict[str, str] = {}
         for trie, forms in ((self.codes, codes), (self.names, names), (self.short, short)):
             for form, entry in forms:
                 if path := fold(form):
                     trie.add(path, entry)
                     if trie is not self.short:
+                        self.longest = max(self.longest, len(path))
                         self.forms.setdefault(entry, set()).add(path)
 
     def __call__(self, value: str) -> str:
@@ -121,13 +123,20 @@ class Mapper:
             self.memo[value] = self._find(value)
         return self.memo[value]
 
-    def _exact(self, parts: list[str], trie: Trie, longest: int) -> set[str]:
-        """Entries written among the parts; a form inside a longer written form is no mention of its own."""
+    def _exact(self, parts: list[str], trie: Trie, most: int | None = None) -> set[str]:
+        """Entries written among the parts, each over as many parts as its path has; a form inside a longer written form is no mention of its own."""
         found: list[tuple[int, int, set[str]]] = []
         for i in range(len(parts)):
-            for j in range(i + 1, min(len(parts), i + longest) + 1):
-                if hit := trie.exact("".join(parts[i:j])):
-                    found.append((i, j, hit))
+            node = trie.root
+            for j in range(i, len(parts) if most is None else min(len(parts), i + most)):
+                for c in parts[j]:
+                    node = node.get(c)
+                    if node is None:
+                        break
+                if node is None:
+                    break
+                if hit := node.get(""):
+                    found.append((i, j + 1, hit))
         whole = [h for i, j, h in found if not any((a <= i and j <= b and b - a > j - i) for a, b, _ in found)]
         return set.union(*whole) if whole else set()
 
@@ -137,8 +146,8 @@ class Mapper:
         whole = "".join(parts)
         if not whole:
             return UNMATCHED
-        code = self._exact(parts, self.codes, 8)
-        name = self._exact(parts, self.names, 12)
+        code = self._exact(parts, self.codes)
+        name = self._exact(parts, self.names)
         if code:
             both = code & name
             return next(iter(code)) if len(code) == 1 else next(iter(both)) if len(both) == 1 else UNMATCHED
@@ -155,22 +164,30 @@ class Mapper:
         return self._near(whole, parts)
 
     def _near(self, whole: str, parts: list[str]) -> str:
-        pieces = {whole}
+        # no piece that is longer than any form and the slips allowed can be near to one
+        pieces, most = {whole}, self.longest + self.limit
         for i in range(len(parts)):
-            for j in range(i + 1, min(len(parts), i + 8) + 1):
-                piece = "".join(parts[i:j])
-                if len(piece) >= 6:
+            piece = ""
+            for part in parts[i:]:
+                piece += part
+                if len(piece) > most:
+                    break
+                if len(piece) >= 4 and not piece.isdigit():
                     pieces.add(piece)
         best: dict[str, tuple[int, int]] = {}
         for piece in pieces:
+            if len(piece) > most:
+                continue
+            # among other words a short piece may have one slip
+            slips = self.limit if piece == whole or len(piece) >= 6 else 1
             for trie in (self.codes, self.names):
                 for entry, d in trie.within(piece, self.limit).items():
                     for form in self.forms[entry]:
                         # the distance allowed depends on the length of the form
-                        if abs(len(form) - len(piece)) > self.limit or d > (0 if len(form) < 4 else self.limit):
+                        if abs(len(form) - len(piece)) > self.limit or d > (1 if len(form) < 4 else self.limit):
                             continue
                         score = (d, swaps_apart(piece, form))
-                        if score[1] <= self.limit:
+                        if score[1] <= slips:
                             best[entry] = min(best.get(entry, (9, 9)), score)
         if not best:
             return UNMATCHED

@@ -25,6 +25,20 @@ def query(sql: str | None = None):
     return add
 
 
+#: Near pairs within each space of t (space, id, text): candidates share one of their rarest words, then all words are counted.
+_NEAR_SQL = """
+    l AS (SELECT space, id, list_distinct(list_filter(regexp_split_to_array(lower(text), '[^\\p{L}\\p{N}]+'), lambda x: x <> '')) AS ws FROM t WHERE text IS NOT NULL),
+    n AS (SELECT * FROM l WHERE len(ws) >= 8),
+    w AS (SELECT space, id, len(ws) AS n, unnest(ws) AS w FROM n),
+    f AS (SELECT space, w, count(*) AS f FROM w GROUP BY space, w),
+    r AS (SELECT w.space, w.id, w.w, w.n, row_number() OVER (PARTITION BY w.space, w.id ORDER BY f.f, w.w) AS k FROM w JOIN f ON f.space = w.space AND f.w = w.w),
+    x AS (SELECT * FROM r WHERE k <= n - CAST(ceil(n * 7 / 10.0) AS BIGINT) + 1),
+    c AS (SELECT DISTINCT a.space, a.id AS id_a, b.id AS id_b FROM x a JOIN x b ON a.space = b.space AND a.w = b.w AND a.id < b.id),
+    s AS (SELECT c.space, c.id_a, c.id_b, len(list_intersect(a.ws, b.ws)) AS shared, len(a.ws) + len(b.ws) AS sizes
+          FROM c JOIN n a ON a.space = c.space AND a.id = c.id_a JOIN n b ON b.space = c.space AND b.id = c.id_b),
+    near AS (SELECT space, id_a, id_b FROM s WHERE shared * 10 >= (sizes - shared) * 7)"""
+
+
 # ---------------------------------------------------------------- problem 1
 
 
@@ -34,7 +48,15 @@ def _papers(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "papers").select("id", hash_digits(F.col("content_hash")).alias("digits"), month_of(F.col("created_at")).alias("batch"), (F.col("status") == "approved").alias("accepted"))
 
 
-@query()
+@query(f"""
+    WITH p AS (SELECT id, year(created_at) * 12 + month(created_at) AS batch, coalesce(status = 'approved', false) AS accepted,
+                      nullif(regexp_extract(lower(content_hash), '([0-9a-f]{{64}})[^0-9a-z]*$', 1), '') AS digits FROM papers),
+    t AS (SELECT 0 AS space, id, text FROM sub_questions), {_NEAR_SQL},
+    d AS (SELECT s.id, p.batch, p.accepted FROM sub_questions s JOIN p ON p.id = s.paper_id),
+    both AS (SELECT id_a AS new, id_b AS old FROM near UNION ALL SELECT id_b, id_a FROM near)
+    SELECT 'paper' AS kind, id FROM p WHERE digits IS NOT NULL AND EXISTS (SELECT 1 FROM p q WHERE q.accepted AND q.digits = p.digits AND q.batch < p.batch)
+    UNION ALL
+    SELECT DISTINCT 'sub_question', a.id FROM both JOIN d a ON a.id = both.new JOIN d b ON b.id = both.old WHERE b.accepted AND b.batch < a.batch""")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillmine.llm.history import seen_hashes, seen_texts
 
@@ -55,6 +77,13 @@ def p1_papers(spark: SparkSession, sf: str) -> DataFrame:
     return seen_hashes(_papers(spark, sf))
 
 
+@query("""
+    SELECT s.id, CAST(strlen(s.text) AS BIGINT) AS bytes FROM sub_questions s JOIN papers p ON p.id = s.paper_id WHERE p.created_at IS NOT NULL AND s.text <> ''""")
+def p1_bytes(spark: SparkSession, sf: str) -> DataFrame:
+    """Bytes in the chunks of each question: the chunks of a text cover it, once."""
+    return p1_coverage(spark, sf).select("id", "bytes")
+
+
 @query()
 def p1_coverage(spark: SparkSession, sf: str) -> DataFrame:
     """Bytes of each question, and those in byte chunks that accepted papers of earlier months hold."""
@@ -89,6 +118,33 @@ def p2_found(spark: SparkSession, sf: str) -> DataFrame:
     return top.select("subject_code", "module_no", "rank_no", "id")
 
 
+@query("""
+    SELECT event_type, event_id, CAST(rank_no AS INTEGER) AS rank_no FROM (
+      SELECT event_type, event_id, row_number() OVER (PARTITION BY event_type ORDER BY value DESC, event_id) AS rank_no
+      FROM events WHERE event_type IS NOT NULL AND value IS NOT NULL AND NOT isnan(value)) WHERE rank_no <= 5""")
+def p2_events(spark: SparkSession, sf: str) -> DataFrame:
+    """Few groups of many row groups each: the greatest values of every type of event."""
+    return _event_top(spark, sf)[0].select("event_type", "event_id", "rank_no")
+
+
+@query()
+def p2_skipped(spark: SparkSession, sf: str) -> DataFrame:
+    """Row groups of the clustered events that ``p2_events`` reads, and those it skips by their footers."""
+    _, kept = _event_top(spark, sf)
+    return spark.createDataFrame([(kept.read, kept.skipped)], "row_groups_read int, row_groups_skipped int")
+
+
+def _event_top(spark: SparkSession, sf: str):
+    from quillmine.llm.topn import Clustered
+    from quillmine.session import work_path
+
+    kept = Clustered.open(spark, work_path(spark, "events"))
+    kept.append(table(spark, sf, "events"), {"event_type": F.col("event_type")}, F.col("value"), [("event_id", F.col("event_id"), True)])
+    top = kept.top(TOP_N)
+    kept.drop()
+    return top, kept
+
+
 # ---------------------------------------------------------------- problem 3
 
 
@@ -125,7 +181,21 @@ def p3_found(spark: SparkSession, sf: str) -> DataFrame:
     return won.select(F.col("key").alias("stable_key"), *(F.coalesce(f"{c}_id", F.lit(-1)).cast("int").alias(f"{c}_id") for c in ("text", "label")))
 
 
-@query()
+_GOLDEN = """SELECT stable_key, arg_max(v, (votes, best)) AS v FROM (
+      SELECT stable_key, regexp_replace(lower(v), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g') AS norm, max((coalesce(last_seen_year, -4611686018427387904), coalesce({then}, -4611686018427387904), -id)) AS best,
+             arg_max(v, (coalesce(last_seen_year, -4611686018427387904), coalesce({then}, -4611686018427387904), -id)) AS v,
+             round(sum((coalesce(frequency, 0) + 1.0) * coalesce(pow(0.85, 2025 - last_seen_year), 0.0)), 9) AS votes
+      FROM (SELECT *, {value} AS v FROM t WHERE {ok}) GROUP BY stable_key, norm) GROUP BY stable_key"""
+
+
+@query(f"""
+    WITH t AS (SELECT *, length(regexp_replace(representative_text, '[^A-Za-z]', '', 'g')) >= 12 AS text_ok,
+                      length(regexp_replace(label, '[^A-Za-z]', '', 'g')) >= 12 AND NOT coalesce(starts_with(representative_text, label), false) AS label_ok
+               FROM topics),
+    k AS (SELECT stable_key, count(*) AS copies FROM t WHERE stable_key IS NOT NULL GROUP BY stable_key),
+    a AS ({_GOLDEN.format(value="representative_text", ok="text_ok", then="length(representative_text)")}),
+    b AS ({_GOLDEN.format(value="label", ok="label_ok", then="frequency")})
+    SELECT k.stable_key, k.copies, a.v AS representative_text, b.v AS label FROM k LEFT JOIN a ON a.stable_key = k.stable_key LEFT JOIN b ON b.stable_key = k.stable_key""")
 def p3_golden(spark: SparkSession, sf: str) -> DataFrame:
     """One built record per key: the values with most weight, equal wordings voting together."""
     from quillmine.llm.survivor import survivors
@@ -182,7 +252,7 @@ REFERENCE_LIMIT = 100_000
 def _reference(df: DataFrame, what: str) -> list:
     rows = df.limit(REFERENCE_LIMIT + 1).collect()
     if len(rows) > REFERENCE_LIMIT:
-        raise ValueError(f"{what}: a reference list may have {REFERENCE_LIMIT} entries; split it by first letter and map against each part")
+        raise ValueError(f"{what}: a reference list may have {REFERENCE_LIMIT} entries; of a longer one, map against each part and take the least distance over all parts, unmatched where two parts have it")
     return rows
 
 
@@ -231,7 +301,10 @@ def _texts(spark: SparkSession, sf: str) -> DataFrame:
     return questions.unionByName(topics)
 
 
-@query()
+_P5_TEXTS = "t AS (SELECT 0 AS space, id, text FROM sub_questions UNION ALL SELECT 1, id, representative_text FROM topics)"
+
+
+@query(f"WITH {_P5_TEXTS}, {_NEAR_SQL} SELECT CASE space WHEN 0 THEN 'sub_questions' ELSE 'topics' END AS source_table, id_a, id_b FROM near")
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillmine.llm.similarity import near_duplicates
 
@@ -239,7 +312,11 @@ def p5_found(spark: SparkSession, sf: str) -> DataFrame:
     return pairs.select(F.when(F.col("space") == 0, "sub_questions").otherwise("topics").alias("source_table"), F.col("id_a").cast("int").alias("id_a"), F.col("id_b").cast("int").alias("id_b"))
 
 
-@query()
+@query(f"""WITH {_P5_TEXTS}, {_NEAR_SQL},
+    g AS (SELECT space, id, min(id) OVER (PARTITION BY space, list_sort(ws)) AS class_id FROM n),
+    k AS (SELECT space, id_a AS id, id_b AS other FROM near UNION ALL SELECT space, id_b, id_a FROM near),
+    links AS (SELECT k.space, k.id, count(DISTINCT g.class_id) AS links FROM k JOIN g ON g.space = k.space AND g.id = k.other JOIN g own ON own.space = k.space AND own.id = k.id WHERE g.class_id <> own.class_id GROUP BY 1, 2)
+    SELECT CASE g.space WHEN 0 THEN 'sub_questions' ELSE 'topics' END AS source_table, g.id, g.class_id, coalesce(links, 0) AS links FROM g LEFT JOIN links ON links.space = g.space AND links.id = g.id""")
 def p5_groups(spark: SparkSession, sf: str) -> DataFrame:
     """The class form: each text with the least id of its copies and the number of other wordings near to it."""
     from quillmine.llm.similarity import near_groups
@@ -321,6 +398,21 @@ def p9_packed(spark: SparkSession, sf: str) -> DataFrame:
     return _packed(spark, sf).select(F.col("item").alias("doc_id"), F.col("piece").alias("piece_no"), F.col("size").alias("tokens"), "container")
 
 
+@query("SELECT count(DISTINCT doc_id) AS documents FROM documents WHERE text IS NOT NULL AND text <> ''")
+def p9_sums(spark: SparkSession, sf: str) -> DataFrame:
+    """Documents packed with all their tokens, in containers none of which is overfull and into which only full pieces were cut."""
+    from quillmine.llm.packing import CAPACITY, pack
+    from quillmine.llm.tokenizer import count_corpus
+
+    tokens = materialize(count_corpus(table(spark, sf, "documents"), F.col("doc_id"), F.col("text")), "tokens")
+    packed = materialize(pack(tokens.select(F.col("doc_id").alias("item"), F.col("tokens").alias("size"))), "packed")
+    overfull = packed.groupBy("container").agg(F.sum("size").alias("n")).filter(F.col("n") > CAPACITY).select("container")
+    bad = packed.join(overfull, "container", "left_semi").select("item").distinct()
+    parts = packed.groupBy("item").agg(F.sum("size").alias("size"), F.count_if(F.col("size") < CAPACITY).alias("rests"))
+    whole = parts.join(tokens.select(F.col("doc_id").alias("item"), "tokens"), "item").filter((F.col("size") == F.col("tokens")) & (F.col("rests") <= 1)).join(bad, "item", "left_anti")
+    return whole.agg(F.count("*").alias("documents"))
+
+
 @query()
 def p9_fill(spark: SparkSession, sf: str) -> DataFrame:
     """Containers by fill in hundredths: the space that was left over."""

@@ -62,15 +62,15 @@ def levels(n_rows: int) -> tuple[int, int]:
     return int(ALONE_UP_TO * growth), int(PAIRED_UP_TO * growth)
 
 
-def hashed_rows(rows: DataFrame, least: int = LEAST_WORDS) -> DataFrame:
+def hashed_rows(rows: DataFrame, least: int = LEAST_WORDS, parts: tuple[str, ...] = ()) -> DataFrame:
     """Rows (``space``, ``id``, ``text`` and more) with ``uid``, ``uid2`` and ``words`` for ``text``; rows with equal words have one uid.
 
-    Rows of different spaces are never compared.
+    Rows of different spaces are never compared.  The result is written in folders by ``parts``.
     """
     kept = [c for c in rows.columns if c != "text"]
     hashed = rows.filter(F.col("text").isNotNull()).select(*kept, word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= least)
     # words recur, so a dictionary of a whole file's words pays
-    return materialize(hashed.select(*kept, F.xxhash64("space", "words").alias("uid"), F.xxhash64(F.lit("second"), "space", "words").alias("uid2"), "words"), "words", **{"parquet.dictionary.page.size": str(16 << 20)})
+    return materialize(hashed.select(*kept, F.xxhash64("space", "words").alias("uid"), F.xxhash64(F.lit("second"), "space", "words").alias("uid2"), "words"), "words", parts, **{"parquet.dictionary.page.size": str(16 << 20)})
 
 
 def _pack(part: np.ndarray, parts: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
@@ -373,6 +373,18 @@ def candidates(columns: DataFrame, tenths: int, parts: int, long: int = LONG) ->
     return multiplied.repartitionById(parts, F.col("part")).mapInArrow(gather, "a long, b long")
 
 
+def coded_words(words: pa.ListArray, order: WordOrder) -> tuple[pa.ListArray, pa.ListArray]:
+    """Lists of word hashes as lists of places of the known ones and of hashes of the rest."""
+    offsets = words.offsets.to_numpy().astype(np.int64)
+    flat = words.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
+    offsets = offsets - offsets[0]
+    place, _ = order.places_of(flat)
+    known = place > 0
+    upto = np.r_[0, np.cumsum(known)]
+    short = pa.array((place[known] - 1).astype(np.uint16).view(np.int16))
+    return pa.ListArray.from_arrays(pa.array(upto[offsets].astype(np.int32)), short), pa.ListArray.from_arrays(pa.array((offsets - upto[offsets]).astype(np.int32)), pa.array(flat[~known]))
+
+
 def coded(hashed: DataFrame, order: WordOrder, *more: str) -> DataFrame:
     """(``uid``, ``uid2``, ``known``, ``rest``, more columns): words as places of frequent ones and hashes of the others."""
     kept = ["uid", "uid2", *more]
@@ -380,21 +392,8 @@ def coded(hashed: DataFrame, order: WordOrder, *more: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            words = batch.column(len(kept))
-            offsets = words.offsets.to_numpy().astype(np.int64)
-            flat = words.values.to_numpy(zero_copy_only=False)[offsets[0] : offsets[-1]]
-            offsets = offsets - offsets[0]
-            place, _ = order.places_of(flat)
-            known = place > 0
-            upto = np.r_[0, np.cumsum(known)]
-            short = pa.array((place[known] - 1).astype(np.uint16).view(np.int16))
-            arrays = [
-                pa.ListArray.from_arrays(pa.array(upto[offsets].astype(np.int32)), short),
-                pa.ListArray.from_arrays(pa.array((offsets - upto[offsets]).astype(np.int32)), pa.array(flat[~known])),
-            ]
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *arrays], names=[*kept, "known", "rest"])
+            if batch.num_rows:
+                yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(len(kept))), *coded_words(batch.column(len(kept)), order)], names=[*kept, "known", "rest"])
 
     return hashed.select(*kept, "words").mapInArrow(run, f"{schema}, known array<smallint>, rest array<bigint>")
 

@@ -9,7 +9,9 @@
 3. Occurrences of one phrase are extended by up to ``length - KEY`` characters to both sides; two
    that agree on ``length`` characters in all share a span.  Phrases met in very many texts
    are not compared pair by pair: their texts are grouped by each run of ``length`` characters
-   around the phrase, so that only pairs which do share a run are ever formed.
+   around the phrase, so that only pairs which do share a run are ever formed; of the runs that the
+   same texts share only one forms them, and shared lengths need no pairs at all.  Both ways give
+   the same rows.
 
 Texts that are copies of one another are searched once, and their rows are put back at the end.
 
@@ -27,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.session import materialize, work_path
+from quillmine.session import drop, materialize, work_path
 
 LENGTH, KEY = 200, 100
 PHRASES_A_SHARD = 15_000
@@ -238,11 +240,12 @@ def _runs(length: int, key: int):
     return run
 
 
-def shared_spans(members: DataFrame, texts: DataFrame, length: int = LENGTH, key: int = KEY) -> DataFrame:
-    """(a, b, low_a, high_a, low_b, high_b) of pieces that two different texts share.
+def shared_spans(members: DataFrame, texts: DataFrame, length: int = LENGTH, key: int = KEY) -> tuple[DataFrame, DataFrame]:
+    """(pairs, runs) that different texts share.
 
+    Pairs (a, b, low_a, high_a, low_b, high_b) are of phrases in few texts, runs (run, uid, low) of those in many: each run
+    of ``length`` characters around such a phrase that more than one text has.  Pieces of one shared run overlap or touch.
     ``members``: ``doc_id``, ``uid``; ``texts``: ``doc_id``, ``uid``, ``text`` of at least ``length`` characters.
-    The pieces of one shared run overlap or touch and together cover it.
     """
     spark = texts.sparkSession
     found = materialize(texts.select("uid", "text").mapInArrow(_anchor_rows(length, key), "phrase long, uid long, at long").dropDuplicates(["phrase", "uid"]), "anchors")
@@ -267,23 +270,43 @@ def shared_spans(members: DataFrame, texts: DataFrame, length: int = LENGTH, key
     few = met.filter("not many").select("phrase", "uid", "at", "left", "right").repartition("phrase").sortWithinPartitions("phrase")
     piece = "a long, b long, low_a long, high_a long, low_b long, high_b long"
     near = few.mapInArrow(_shared(length, key), piece)
-    runs = met.filter("many").select("uid", "at", "left", "words", "right").mapInArrow(_runs(length, key), "run long, uid long, low long").distinct()
-    one = runs.select("run", F.col("uid").alias("a"), F.col("low").alias("low_a"))
-    two = runs.select("run", F.col("uid").alias("b"), F.col("low").alias("low_b"))
-    far = one.join(two, "run").filter("a < b").select("a", "b", "low_a", (F.col("low_a") + length).alias("high_a"), "low_b", (F.col("low_b") + length).alias("high_b"))
-    return near.unionByName(far)
+    runs = materialize(met.filter("many").select("uid", "at", "left", "words", "right").mapInArrow(_runs(length, key), "run long, uid long, low long").distinct(), "runs")
+    for used in (found, recurring, sent):
+        drop(used)
+    return near, runs
+
+
+def _run_pairs(runs: DataFrame) -> DataFrame:
+    """(a, b) of texts that have a run in common.  Of runs with the same texts only one is crossed."""
+    once = runs.select("run", "uid").distinct()
+    texts = F.struct(F.count("*").alias("n"), F.bit_xor(F.xxhash64("uid")).alias("x"), F.bit_xor(F.xxhash64(F.lit("second"), "uid")).alias("y"))
+    sets = once.groupBy("run").agg(texts.alias("texts")).filter("texts.n > 1").groupBy("texts").agg(F.min("run").alias("run"))
+    kept = once.join(sets.select("run"), "run")
+    return kept.select("run", F.col("uid").alias("a")).join(kept.select("run", F.col("uid").alias("b")), "run").filter("a < b").select("a", "b")
+
+
+#: Texts whose first 64 bits are those of another; some three are expected among 10^10.
+CLASHES = 1_000
 
 
 def _texts(df: DataFrame, doc_id: Column, text: Column, length: int) -> tuple[DataFrame, DataFrame]:
+    """(members, texts): ``uid`` names the text.  It has 64 bits; texts that clash in them are named by other ones."""
     rows = df.select(doc_id.cast("long").alias("doc_id"), text.alias("text")).filter(F.length("text") >= length)
-    rows = rows.select("doc_id", F.xxhash64("text").alias("uid"), F.length("text").alias("n"), "text")
+    again = F.xxhash64(F.lit("second"), "text")
+    rows = rows.select("doc_id", F.xxhash64("text").alias("uid"), again.alias("again"), F.length("text").alias("n"), "text")
+    clash = rows.groupBy("uid").agg(F.min("again").alias("low"), F.max("again").alias("high")).filter("low <> high").select("uid").limit(CLASHES + 1).collect()
+    if len(clash) > CLASHES:
+        raise ValueError(f"more than {CLASHES} texts clash in 64 bits")
+    if clash:
+        rows = rows.withColumn("uid", F.when(F.col("uid").isin([r["uid"] for r in clash]), F.col("again")).otherwise(F.col("uid")))
     return rows.select("doc_id", "uid", "n"), rows.select("doc_id", "uid", "text")
 
 
 def sharing_pairs(df: DataFrame, doc_id: Column, text: Column, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """(doc_a, doc_b), doc_a < doc_b, of all documents that share a run of at least ``length`` characters."""
     members, texts = _texts(df, doc_id, text, length)
-    pairs = shared_spans(members, texts, length, key).select("a", "b").distinct()
+    near, runs = shared_spans(members, texts, length, key)
+    pairs = near.select("a", "b").unionByName(_run_pairs(runs)).distinct()
     copies = members.groupBy("uid").agg(F.count("*").alias("n")).filter("n > 1").select(F.col("uid").alias("a"), F.col("uid").alias("b"))
     left, right = members.select(F.col("uid").alias("a"), F.col("doc_id").alias("x")), members.select(F.col("uid").alias("b"), F.col("doc_id").alias("y"))
     every = pairs.unionByName(copies).join(left, "a").join(right, "b").filter((F.col("a") != F.col("b")) | (F.col("x") < F.col("y")))
@@ -293,8 +316,12 @@ def sharing_pairs(df: DataFrame, doc_id: Column, text: Column, length: int = LEN
 def shared_share(df: DataFrame, doc_id: Column, text: Column, length: int = LENGTH, key: int = KEY) -> DataFrame:
     """(doc_id, n_chars, shared_chars) of every row: characters in runs of ``length`` that another row has too."""
     members, texts = _texts(df, doc_id, text, length)
-    spans = shared_spans(members, texts, length, key)
-    pieces = spans.select(F.explode(F.array(F.struct(F.col("a").alias("uid"), F.col("low_a").alias("low"), F.col("high_a").alias("high")), F.struct(F.col("b").alias("uid"), F.col("low_b").alias("low"), F.col("high_b").alias("high")))).alias("p")).select("p.*").distinct()
+    spans, runs = shared_spans(members, texts, length, key)
+    sides = F.array(F.struct(F.col("a").alias("uid"), F.col("low_a").alias("low"), F.col("high_a").alias("high")), F.struct(F.col("b").alias("uid"), F.col("low_b").alias("low"), F.col("high_b").alias("high")))
+    # a run needs another text, not the pair of every two texts that have it
+    met = runs.groupBy("run").agg(F.min("uid").alias("first"), F.max("uid").alias("last")).filter("first <> last").select("run")
+    far = runs.join(met, "run", "left_semi").select("uid", "low", (F.col("low") + length).alias("high"))
+    pieces = spans.select(F.explode(sides).alias("p")).select("p.*").unionByName(far).distinct()
     # union of intervals: a text's pieces fold into maximal runs in order of their beginning
     folded = pieces.groupBy("uid").agg(F.array_sort(F.collect_set(F.struct("low", "high"))).alias("s"))
     covered = F.aggregate(

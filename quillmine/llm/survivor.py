@@ -55,7 +55,8 @@ def survivors(df: DataFrame, key: Column, row_id: Column, year: Column, fields:
     usable = F.col("usable") & F.col("value").isNotNull()
     voted = rows.groupBy("key", "field", F.when(usable, F.col("norm")).alias("norm")).agg(
         F.count("*").alias("n"),
-        F.sum(F.when(usable, F.coalesce("vote", F.lit(0.0)))).alias("votes"),
+        # rounded, as the order in which doubles are added is not fixed
+        F.round(F.sum(F.when(usable, F.coalesce("vote", F.lit(0.0)))), 9).alias("votes"),
         F.max(F.when(usable, order)).alias("best"),
         F.max_by(F.when(usable, F.struct("value", "id")), F.when(usable, order)).alias("winner"),
     )

@@ -146,29 +146,33 @@ def test_history_in_one_pass_and_batch_by_batch(spark):
     # batch by batch, the history opened anew each time
     folder, seen = work_path(spark, "history"), []
     for month in range(4):
-        kept = history.History.open(spark, folder)
-        new = kept.prepared(df.join(batches.filter(F.col("batch") == month), "paper_id"))
-        seen += [r["id"] for r in kept.judged(new).collect()]
-        kept.append(new.filter("accepted"))
+        batch = df.join(batches.filter(F.col("batch") == month), "paper_id")
+        new = history.prepared(batch.select("id", "text", "accepted"))
+        seen += [r["id"] for r in history.History.open(spark, folder).take(new, new.count()).collect()]
     assert sorted(seen) == got
     history.History.open(spark, folder).drop()
 
 
 @pytest.mark.parametrize("alone, listed", [(0, 0), (2_000, 1)])
 def test_history_by_words_alone(spark, monkeypatch, alone, listed):
-    """Where no byte chunk may be looked up, chunks of words find all."""
+    """Where no byte chunk may be looked up, chunks of words find all; the buckets grow on the way."""
     monkeypatch.setattr(similarity, "ALONE_UP_TO", alone)
     monkeypatch.setattr(history, "LISTED", listed)
     rows = [(i, t) for i, t in enumerate(texts(11))]
     kept = history.History.open(spark, work_path(spark, "history"), bucket_rows=40)
     df = spark.createDataFrame(rows, "id long, text string")
     for low, high in ((0, 40), (40, 80)):
-        kept.append(kept.prepared(df.filter(F.col("id").between(low, high - 1))))
-    assert kept.state["buckets"] > 16
+        kept.append(df.filter(F.col("id").between(low, high - 1)))
+    assert kept.state["buckets"] == 64
     late = df.filter("id >= 80")
-    got = {r["id"] for r in kept.check(late).collect()}
-    assert got == {i for i, t in rows[80:] if any(alike(t, u) for _, u in rows[:80])} and got
-    kept.append(kept.prepared(df.limit(0)))
+    want = {i for i, t in rows[80:] if any(alike(t, u) for _, u in rows[:80])}
+    assert {r["id"] for r in kept.check(late).collect()} == want and want
+    version = kept.state["version"]
+    kept.append(df.limit(0))
+    assert kept.state["version"] == version
+    new = history.prepared(late.select("id", "text", F.lit(False).alias("accepted")))
+    by_bytes = {r["id"] for r in kept.take(new, 90, publish=False, only=history.BYTES).collect()}
+    assert by_bytes < want
     kept.drop()
 
 
@@ -177,11 +181,11 @@ def test_history_reads_touched_buckets_only(spark):
     rng = random.Random(1)
     read = []
     batch = spark.createDataFrame([(1, " ".join(f"q{i}" for i in range(12)))], "id long, text string")
-    for n in (150, 1_500):
+    for n in (150, 2_400):
         kept = history.History.open(spark, work_path(spark, "history"), bucket_rows=200)
-        parts = [[(k * n + i, " ".join(f"{rng.randrange(10**6)}" for _ in range(12))) for i in range(n // 3)] for k in range(3)]
-        for part in parts:
-            kept.append(kept.prepared(spark.createDataFrame(part, "id long, text string")))
+        for k in range(3):
+            part = [(k * n + i, " ".join(f"{rng.randrange(10**6)}" for _ in range(12))) for i in range(n // 3)]
+            kept.append(spark.createDataFrame(part, "id long, text string"))
         kept = history.History.open(spark, kept.path)
         assert kept.check(batch).collect() == []
         read.append(kept.read.value)
@@ -189,6 +193,19 @@ def test_history_reads_touched_buckets_only(spark):
     assert 0 < read[1] <= 2 * read[0], read
 
 
+def test_history_versions(spark):
+    """A version can be written once; what a failed attempt wrote is in no manifest."""
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts(4))], "id long, text string")
+    kept = history.History.open(spark, work_path(spark, "history"))
+    kept.append(df)
+    stale = history.History(spark, kept.path, state=kept.state | {"version": 0})
+    with pytest.raises(RuntimeError):
+        stale.append(df)
+    again = history.History.open(spark, kept.path)
+    assert again.state == kept.state
+    kept.drop()
+
+
 def test_hashes(spark):
     h = "ab" * 32
     rows = [(1, f" SHA256:{h.upper()}\n", 1, True), (2, h, 2, False), (3, h, 1, True), (4, "", 3, True), (5, None, 3, True), (6, h + "0", 3, True), (7, f"sha-256={h}", 3, True), (8, h, None, True)]
@@ -207,6 +224,21 @@ def test_byte_chunks(spark):
     assert got[2][0] == len(long) + 7 and got[2][1] > 0.85 * len(long)
 
 
+def test_ledger_opened_anew(spark):
+    """A ledger outlives the object that wrote it; a batch rewrites the buckets it touches only."""
+    path = work_path(spark, "ledger")
+    for rows in ([(1, "a"), (2, "b"), (3, "a"), (4, None)], [(0, "a"), (9, "c")], []):
+        df = spark.createDataFrame(rows, "id int, key string").withColumn("key", F.col("key").cast("binary"))
+        ledger.Ledger.open(spark, path, buckets=64).add(df)
+    kept = ledger.Ledger.open(spark, path)
+    assert {(bytes(r["key"]), r["copies"], r["first_id"]) for r in kept.table().collect()} == {(b"a", 3, 0), (b"b", 1, 2), (b"c", 1, 9)}
+    assert kept.state["buckets"] == 64 and len(set(kept.state["at"].values())) == 2
+    stale = ledger.Ledger(spark, kept.path, state=kept.state | {"version": 0})
+    with pytest.raises(RuntimeError):
+        stale.add(spark.createDataFrame([(7, b"z")], "id int, key binary"))
+    assert ledger.Ledger.open(spark, path).table().count() == 3
+
+
 def test_ledger(spark):
     def key(t):
         return sorted(c for c in ("".join(WORD.findall(c.lower())) for c in t.split("|")) if c)

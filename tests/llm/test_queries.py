@@ -44,3 +44,9 @@ def test_spans(spark, small):
     pairs, share = brute_spans(rows_of(small, "SELECT doc_id, text FROM documents"), 200)
     assert {tuple(r) for r in queries.QUERIES["p10_found"](spark, small).collect()} == pairs
     assert {r["doc_id"]: r["shared_chars"] for r in queries.QUERIES["p10_shared"](spark, small).collect()} == share
+
+
+def test_row_groups_are_skipped(spark):
+    """On groups of some thousand rows most row groups are never read."""
+    seen = queries.QUERIES["p2_skipped"](spark, "/root/testdata/sf0.01").first()
+    assert seen["row_groups_skipped"] > seen["row_groups_read"] > 0

@@ -91,7 +91,7 @@ def mappers():
 @pytest.mark.parametrize("value, code", [
     ("bmt 203", "BMT203"), ("B.M.T203", "BMT203"), ("8MTZO3", "BMT203"), ("code=BMT203", "BMT203"), ("BMT203 (22 scheme)", "BMT203"), ("BMTX03", "BMT203"), ("MBT203", "BMT203"),
     ("spatial latice laboratory", "BMT203"), ("BEL407 - Two Names", "BEL407"), ("Two Names", "unmatched"), ("BAR204", "BAR204A"), ("KXW4737T", "unmatched"), ("", "unmatched"), ("?? ", "unmatched"),
-    ("BE1406", "BEL406"), ("BEL40", "unmatched"), ("x" * 10_000, "unmatched"),
+    ("BE1406", "BEL406"), ("BEL40", "unmatched"), ("code=BMT23 x", "BMT203"), (" ".join("spatial lattice laboratory".replace(" ", "")), "BMT203"), ("x" * 10_000, "unmatched"),
 ])
 def test_codes(mappers, value, code):
     assert mappers[0](value) == code
