@@ -44,19 +44,39 @@ def presence(topics: DataFrame, sessions: DataFrame, met: DataFrame) -> DataFram
 
 
 def edges(topics: DataFrame) -> DataFrame:
-    """(a, b, weight): neighbours in a module 0.15, chained topics of one label family 0.6.
+    """(a, b, weight): neighbours in a module in order of id, 0.6 where they are of one label family and 0.15 else.
 
-    A family is linked as a chain in order of id, which keeps its component with one edge per topic.
+    All topics of a family are kin with 0.6, wherever they stand; ``family_members`` has that as one row per topic, not as all pairs.
     """
     named = topics.withColumn("family", label_family(F.col("label")))
-    chain = Window.partitionBy("subject", "family").orderBy("topic_id")
     row = Window.partitionBy("subject", "module_no").orderBy("topic_id")
-    kin = named.filter(F.col("family").isNotNull()).select(F.col("topic_id").alias("a"), F.lead("topic_id").over(chain).alias("b"), F.lit(0.6).alias("weight"))
-    near = named.select(F.col("topic_id").alias("a"), F.lead("topic_id").over(row).alias("b"), F.lit(0.15).alias("weight"))
-    return kin.unionByName(near).filter(F.col("b").isNotNull()).groupBy("a", "b").agg(F.max("weight").alias("weight"))
+    near = named.select(F.col("topic_id").alias("a"), F.lead("topic_id").over(row).alias("b"), (F.col("family") == F.lead("family").over(row)).alias("kin"))
+    return near.filter(F.col("b").isNotNull()).select("a", "b", F.when(F.col("kin"), 0.6).otherwise(0.15).alias("weight"))
 
 
-def family_pairs(topics: DataFrame) -> DataFrame:
-    """(family, subject, topics): label families and how many topics each holds; every two of them are kin."""
+def family_members(topics: DataFrame) -> DataFrame:
+    """(subject, topic_id, family, first, kin): each topic's label family, its least topic, and how many others are kin."""
     named = topics.withColumn("family", label_family(F.col("label"))).filter(F.col("family").isNotNull())
-    return named.groupBy("subject", "family").agg(F.count("*").alias("topics"), F.min("topic_id").alias("first"))
+    sizes = named.groupBy("subject", "family").agg((F.count("*") - 1).alias("kin"), F.min("topic_id").alias("first"))
+    return named.select("subject", "topic_id", "family").join(sizes, ["subject", "family"])
+
+
+def ordered_cards(cards: DataFrame, by: str) -> DataFrame:
+    """Subject cards (``code``, ``papers``, ``changed``) by number of papers, by latest change, or by code."""
+    orders = {"papers": [F.desc("papers"), F.asc("code")], "changed": [F.desc_nulls_last("changed"), F.asc("code")], "code": [F.asc("code")]}
+    return cards.orderBy(*orders[by])
+
+
+def year_range(low: Column, high: Column) -> Column:
+    """Years as readers see them: one year, a range, or nothing."""
+    return F.when(low.isNull() | high.isNull(), "").when(low == high, low.cast("string")).otherwise(F.concat(low.cast("string"), F.lit("–"), high.cast("string")))
+
+
+def counted(n: Column, one: str) -> Column:
+    """A number with its noun in singular or plural."""
+    return F.concat(n.cast("string"), F.lit(" "), F.when(n == 1, one).otherwise(one + "s"))
+
+
+def upload_refusal(filename: Column, size: Column, number: Column, most: int = 10 << 20, files: int = 10) -> Column:
+    """Why a chosen file isn't sent, else null; ``number`` counts the chosen files from 1."""
+    return F.when(number > files, "too many files").when(~F.coalesce(F.lower(filename).endswith(".pdf"), F.lit(False)), "not a pdf").when(size > most, "too large")

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -96,3 +97,71 @@ def requeue(papers: DataFrame) -> DataFrame:
     """(id, job) of work that a restart takes up again."""
     open_ = papers.filter(F.col("status").isin("processing", "approved") & (F.col("stage") != "done"))
     return open_.select("id", F.when(F.col("status") == "approved", "publish").when(F.col("stage") == "matching", "match").otherwise("process").alias("job"))
+
+
+#: From which states an action may be taken, and the state it leads to.
+ACTIONS = {"approve": (("review", "awaiting_confirmation"), "approved"), "reject": (("review", "awaiting_confirmation", "processing", "failed"), "rejected"), "reprocess": (("review", "rejected", "failed"), "processing")}
+
+
+def reviewed(papers: DataFrame, orders: DataFrame) -> DataFrame:
+    """(id, status, session_key, refused): papers after review orders (``id``, ``action``), one per paper.
+
+    An order that the state doesn't allow is refused, and so is an approval whose session has a live paper; of several
+    approvals for one session the least id is carried out.  Rejected papers give their session free.
+    """
+    rows = papers.select("id", "status", "session_key").join(orders.groupBy("id").agg(F.min("action").alias("action")), "id", "left")
+    allowed = F.lit(False)
+    for action, (states, _) in ACTIONS.items():
+        allowed = allowed | ((F.col("action") == action) & F.col("status").isin(*states))
+    rows = rows.withColumn("allowed", F.coalesce(allowed, F.lit(False)))
+    taken = rows.filter("status = 'approved' and session_key is not null").select("session_key", F.lit(True).alias("taken")).distinct()
+    first = rows.filter("allowed and action = 'approve' and session_key is not null").groupBy("session_key").agg(F.min("id").alias("first"))
+    rows = rows.join(taken, "session_key", "left").join(first, "session_key", "left")
+    clash = (F.col("action") == "approve") & F.col("session_key").isNotNull() & (F.coalesce("taken", F.lit(False)) | (F.col("id") > F.col("first")))
+    refused = F.when(F.col("action").isNull(), None).when(~F.col("allowed"), "state").when(clash, "session")
+    to = F.when(F.col("action") == "approve", "approved").when(F.col("action") == "reject", "rejected").otherwise("processing")
+    done = F.col("action").isNotNull() & refused.isNull()
+    return rows.select(
+        "id", F.when(done, to).otherwise(F.col("status")).alias("status"), F.when(done & (F.col("action") == "reject"), None).otherwise(F.col("session_key")).alias("session_key"), refused.alias("refused")
+    )
+
+
+def edited(papers: DataFrame, edits: DataFrame, session: Column) -> DataFrame:
+    """Papers with confirmed entries (``id``, ``subject_code``, ``exam_year``, ``exam_month``, ``paper_type``) put in and ``session`` computed anew.
+
+    A live paper is not edited.
+    """
+    fields = ["subject_code", "exam_year", "exam_month", "paper_type"]
+    new = edits.select("id", F.struct(*fields).alias("e"))
+    both = papers.join(new, "id", "left").withColumn("open", F.col("e").isNotNull() & ~F.coalesce(F.col("status") == "approved", F.lit(False)))
+    for f in fields:
+        both = both.withColumn(f, F.when(F.col("open"), F.col(f"e.{f}")).otherwise(F.col(f)))
+    return both.withColumn("session_key", F.when(F.col("open"), session).otherwise(F.col("session_key"))).select(*papers.columns)
+
+
+def after_jobs(papers: DataFrame, results: DataFrame) -> DataFrame:
+    """Papers after jobs (``id``, ``job``, ``error``): a failed reading or matching leaves the paper failed with the reason, a failed publish leaves it live."""
+    bad = results.filter(F.col("error").isNotNull() & F.col("job").isin("process", "match")).groupBy("id").agg(F.min("error").alias("error"))
+    both = papers.join(bad, "id", "left")
+    failed = F.col("error").isNotNull()
+    return both.withColumns({"status": F.when(failed, "failed").otherwise(F.col("status")), "status_reason": F.when(failed, F.substring("error", 1, 300)).otherwise(F.col("status_reason"))}).select(*papers.columns)
+
+
+def upload_check(content: Column, declared: Column, blocked: Column, within: Column, most: int = 10 << 20, slack: int = 64 << 10) -> Column:
+    """Why an upload is refused, else null: uploader, rate, declared size, size, signature, in this order."""
+    size = F.length(content)
+    return (
+        F.when(blocked, "blocked").when(~within, "too often").when(declared > most + slack, "too large").when(size > most, "too large").when(~F.coalesce(looks_like_pdf(content), F.lit(False)), "not a pdf")
+    )
+
+
+def keyed_hash(secret: str):
+    """A pandas UDF: the first 16 hex digits of the keyed hash of an address; null stays null."""
+    import hashlib
+    import hmac
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else hmac.new(secret.encode(), v.encode(), hashlib.sha256).hexdigest()[:16])
+
+    return run

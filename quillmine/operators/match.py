@@ -9,9 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillmine.functions.vectors import dot
 from quillmine.operators.scoring import half_up
-from quillmine.session import work_path
+from quillmine.session import bounded, work_path
 
 BLOCK, TILE = 4_096, 2_048
 
@@ -181,15 +180,30 @@ def best_live(queries: DataFrame, live: DataFrame, same: float = 0.85) -> DataFr
     return ordered(queries).mapInArrow(run, "query_paper long, paper long, score double")
 
 
+#: Centres that are sent to every task.
+CENTRES = 10_000
+
+
 def assign(rows: DataFrame, centres: DataFrame, key: str, threshold: float) -> DataFrame:
-    """(id, cluster): the nearest centre, or none where it is below ``threshold``.
+    """(id, cluster, sim): the nearest centre, the lowest key on ties, or none where it is below ``threshold``.
 
-    ``centres`` (``key``, ``centroid``) are few; they are joined group by group where both have ``space``.
+    ``centres`` (``key``, ``centroid``) are few, which is checked; blocks of rows are multiplied with all of them.
     """
-    sim = half_up(dot(F.col("vector"), F.col("centroid")), 6)
-    pairs = rows.select("id", "space", "vector").join(centres.select("space", key, "centroid"), "space")
-    best = pairs.select("id", F.struct(sim.alias("sim"), (-F.col(key)).alias("low")).alias("s")).groupBy("id").agg(F.max("s").alias("s"))
-    return best.select("id", F.when(F.col("s.sim") >= threshold, -F.col("s.low")).alias("cluster"), F.col("s.sim").alias("sim"))
+    held = sorted((r[0], r[1]) for r in bounded(centres.select(F.col(key).cast("long"), "centroid"), CENTRES, "the centres").collect())
+    names, bank = np.array([k for k, _ in held], np.int64), np.array([v for _, v in held], np.float64)
+    kind = dict(centres.dtypes)[key]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows and len(names):
+                block = batch.column(1).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(batch.num_rows, -1)
+                near = np.floor(block @ bank.T * 1e6 + 0.5) / 1e6
+                at = near.argmax(axis=1)
+                top = near[np.arange(len(at)), at]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names[at], mask=top < threshold), pa.array(top)], names=["id", "cluster", "sim"])
+
+    found = rows.select(F.col("id").cast("long"), "vector").mapInArrow(run, "id long, cluster long, sim double")
+    return found.select("id", F.col("cluster").cast(kind).alias("cluster"), "sim")
 
 
 def decision(known: Column, questions: Column, modules: Column, clash: Column, best: Column) -> Column:

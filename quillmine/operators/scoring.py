@@ -57,8 +57,10 @@ def ladder(ranks: DataFrame, stop: float, digits: int, cap: float = MODULE_MARKS
     """Running expected marks by rank; rows end after the first that reaches ``stop``."""
     upto = Window.partitionBy("subject", "module_no").orderBy("rank_no").rowsBetween(Window.unboundedPreceding, 0)
     run = ranks.withColumn("run", F.sum("expected").over(upto))
+    # a topic without a label is named by the beginning of its text
+    named = F.coalesce(F.when(F.trim("label") != "", F.trim("label")), F.substring("representative_text", 1, 50))
     return run.filter(F.col("run") - F.col("expected") < stop).select(
-        "subject", "module_no", "rank_no", "topic_id", "expected", half_up(F.least("run", F.lit(cap)), digits).alias("cumulative"), (F.col("run") >= cap).alias("full")
+        "subject", "module_no", "rank_no", "topic_id", named.alias("label"), "expected", half_up(F.least("run", F.lit(cap)), digits).alias("cumulative"), (F.col("run") >= cap).alias("full")
     )
 
 
@@ -81,7 +83,7 @@ def csv_rows(ranks: DataFrame, steps: DataFrame, years: DataFrame) -> DataFrame:
         F.col("total").alias("papers"),
         F.concat(F.bround(F.col("share") * 100, 0).cast("int").cast("string"), F.lit("%")).alias("frequency_pct"),
         F.coalesce("years", F.lit("—")).alias("years"),
-        F.bround("expected", 1).alias("expected"),
+        (F.rint(F.col("expected") * 10) / 10).alias("expected"),
         F.when(F.col("full"), "YES").otherwise("").alias("full_coverage"),
     )
 

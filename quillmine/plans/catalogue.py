@@ -375,7 +375,7 @@ def _ladder_sql(stop: float, digits: int) -> str:
         _RANKS_SQL
         + f""",
     w AS (SELECT *, sum(expected) OVER (PARTITION BY subject, module_no ORDER BY rank_no ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM r),
-    l AS (SELECT subject, module_no, rank_no, topic_id, expected, floor(least(run, 20.0) * {10.0**digits} + 0.5) / {10.0**digits} AS cumulative, run >= 20.0 AS "full" FROM w WHERE run - expected < {stop})"""
+    l AS (SELECT subject, module_no, rank_no, topic_id, coalesce(nullif(trim(label), ''), substring(representative_text, 1, 50)) AS label, expected, floor(least(run, 20.0) * {10.0**digits} + 0.5) / {10.0**digits} AS cumulative, run >= 20.0 AS "full" FROM w WHERE run - expected < {stop})"""
     )
 
 
@@ -404,15 +404,22 @@ def tiers(spark, sf):
     return _scores(spark, sf).select("topic_id", scoring.tier(F.col("share"), F.col("total")).alias("tier"))
 
 
+def _ranked_once(spark, sf):
+    """(appearances, ranked topics), each computed once."""
+    met = materialize(_met(spark, sf).select("topic_id", "sub_question_id", "paper_id", "exam_year", "marks", "text"), "met")
+    scores = scoring.scores(met, table(spark, sf, "topics"), table(spark, sf, "papers"), YEAR)
+    return met, materialize(scoring.ranked(scores), "ranks")
+
+
 @query(f"""WITH {_ladder_sql(30.0, 2)},
     y AS (SELECT topic_id, array_to_string(list_sort(list(DISTINCT exam_year), 'DESC'), ', ') AS years FROM m WHERE exam_year IS NOT NULL GROUP BY topic_id)
     SELECT r.subject, r.module_no AS module, r.rank_no AS priority, coalesce(r.label, '') AS label, r.representative_text AS question, CAST(trunc(r.avg_marks) AS INTEGER) AS avg_marks, r.frequency AS times, r.total AS papers,
-           concat(CAST(round_even(r.share * 100, 0) AS INTEGER), '%') AS frequency_pct, coalesce(y.years, '—') AS years, CASE WHEN l."full" THEN 'YES' ELSE '' END AS full_coverage
+           concat(CAST(round_even(r.share * 100, 0) AS INTEGER), '%') AS frequency_pct, coalesce(y.years, '—') AS years, round_even(r.expected * 10.0, 0) / 10.0 AS expected, CASE WHEN l."full" THEN 'YES' ELSE '' END AS full_coverage
     FROM r JOIN l ON l.topic_id = r.topic_id LEFT JOIN y ON y.topic_id = r.topic_id""")
 def csv_bank(spark, sf):
-    ranks = materialize(scoring.ranked(_scores(spark, sf)), "ranks")
-    years = _met(spark, sf).filter("exam_year is not null").groupBy("topic_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("exam_year"), asc=False), lambda y: y.cast("string")), ", ").alias("years"))
-    return scoring.csv_rows(ranks, scoring.ladder(ranks, 30.0, 2), years).drop("expected")
+    met, ranks = _ranked_once(spark, sf)
+    years = met.filter("exam_year is not null").groupBy("topic_id").agg(F.array_join(F.transform(F.sort_array(F.collect_set("exam_year"), asc=False), lambda y: y.cast("string")), ", ").alias("years"))
+    return scoring.csv_rows(ranks, scoring.ladder(ranks, 30.0, 2), years)
 
 
 @query(f"""WITH {_ladder_sql(30.0, 2)},
@@ -434,15 +441,29 @@ def representatives(spark, sf):
 @query(f"""WITH {_RANKS_SQL}, s AS (SELECT upper(trim(subject_code)) AS subject, count(*) AS paper_count, min(exam_year) AS min_year, max(exam_year) AS max_year FROM papers WHERE status = 'approved' GROUP BY 1)
     SELECT s.subject, s.paper_count, s.min_year, s.max_year, count(*) AS topic_count FROM s JOIN r ON r.subject = s.subject WHERE r.module_no IS NOT NULL GROUP BY ALL""")
 def snapshot_header(spark, sf):
-    met = _met(spark, sf)
-    out = snapshot.snapshots(met, scoring.ranked(_scores(spark, sf)).filter("module_no is not null"), table(spark, sf, "papers"))
+    met, ranks = _ranked_once(spark, sf)
+    out = snapshot.snapshots(met, ranks.filter("module_no is not null"), table(spark, sf, "papers"))
     return out.select("subject", "paper_count", "min_year", "max_year", "topic_count")
 
 
 @query()
 def snapshot_json(spark, sf):
-    ranks = materialize(scoring.ranked(_scores(spark, sf)).filter("module_no is not null"), "ranks")
-    return snapshot.snapshots(_met(spark, sf), ranks, table(spark, sf, "papers"))
+    met, ranks = _ranked_once(spark, sf)
+    return snapshot.snapshots(met, ranks.filter("module_no is not null"), table(spark, sf, "papers"))
+
+
+@query("""SELECT upper(trim(subject_code)) AS subject, count(*) AS paper_count, min(exam_year) AS min_year, max(exam_year) AS max_year FROM papers p WHERE status = 'approved' AND subject_code IS NOT NULL
+    GROUP BY 1 HAVING bool_or(EXISTS (SELECT 1 FROM sub_questions s WHERE s.paper_id = p.id AND s.module_no BETWEEN 1 AND 5 AND length(s.text) >= 60))""")
+def rebuilt_header(spark, sf):
+    """The whole rebuild, questions to published documents, by what SQL can state of a document: its subject and sessions."""
+    return rebuilt_documents(spark, sf).select("subject", "paper_count", "min_year", "max_year")
+
+
+@query()
+def rebuilt_documents(spark, sf):
+    """All subjects with live papers rebuilt: questions to clusters, scores, ranks, claimed keys, labels, ladders and documents."""
+    documents, _ = rebuild.published(table(spark, sf, "sub_questions"), table(spark, sf, "papers"), previous_keys(spark, sf), YEAR)
+    return documents
 
 
 # ---------------------------------------------------------------- vectors and clusters
@@ -478,9 +499,7 @@ def centroids(spark, sf):
 @query(f"""WITH {_CENTRES_SQL}, s AS (SELECT e.vec_id, u.label, floor(list_inner_product(CAST(e.embedding AS DOUBLE[]), u.centroid) * 1000000.0 + 0.5) / 1000000.0 AS sim FROM embeddings e, u)
     SELECT vec_id AS id, CASE WHEN sim >= 0.3 THEN label END AS cluster, sim FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY sim DESC, label) AS n FROM s) WHERE n = 1""")
 def refine_assign(spark, sf):
-    rows = table(spark, sf, "embeddings")
-    centres = V.centroids(rows, "label", "embedding").withColumn("space", F.lit(0))
-    return match.assign(_vectors(spark, sf).withColumn("space", F.lit(0)), centres, "label", 0.3)
+    return match.assign(_vectors(spark, sf), V.centroids(table(spark, sf, "embeddings"), "label", "embedding"), "label", 0.3)
 
 
 @query()
@@ -490,13 +509,14 @@ def greedy_clusters(spark, sf):
 
 
 _COMPARE_SQL = f"""b AS (SELECT a.label AS query_paper, a.vec_id AS query_id, b.label AS paper, max(floor(list_inner_product(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) * 1000.0 + 0.5) / 1000.0) AS sim
-    FROM embeddings a JOIN embeddings b ON a.label <> b.label GROUP BY 1, 2, 3),
+    FROM embeddings a JOIN embeddings b ON a.label <> b.label WHERE a.vec_id % 100 = 0 GROUP BY 1, 2, 3),
     s AS (SELECT CAST(query_paper AS BIGINT) AS query_paper, CAST(paper AS BIGINT) AS paper, floor(avg(CASE WHEN sim >= 0.35 THEN 1.0 ELSE 0.0 END) * 1000.0 + 0.5) / 1000.0 AS score FROM b GROUP BY 1, 2)"""
 
 
 def _comparison(spark, sf):
     rows = _vectors(spark, sf).select("id", F.col("space").alias("paper"), "vector")
-    return match.compare_papers(rows, rows, 0.35)
+    # a stated query set: the rows whose id is divisible by 100, against all rows
+    return match.compare_papers(rows.filter("id % 100 = 0"), rows, 0.35)
 
 
 @query(f"WITH {_COMPARE_SQL} SELECT query_paper, paper, score FROM s")
@@ -640,12 +660,20 @@ def _hits(spark, sf):
     return table(spark, sf, "events").select("user_id", "event_id", F.unix_micros(F.col("ts").cast("timestamp")).alias("micros")).withColumn("at", F.col("micros") / 1e6)
 
 
-@query()
+_WITHIN_SQL = "list_filter(r.times, lambda t: e.secs - t <= 21600.0)"
+_LIMIT_SQL = f"""WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) / 1e6 AS secs, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    r AS (SELECT user_id, event_id, n, [secs] AS times, true AS accepted FROM e WHERE n = 1
+          UNION ALL SELECT e.user_id, e.event_id, e.n, CASE WHEN len({_WITHIN_SQL}) < 2 THEN list_append({_WITHIN_SQL}, e.secs) ELSE {_WITHIN_SQL} END, len({_WITHIN_SQL}) < 2
+          FROM r JOIN e ON e.n = r.n + 1 AND e.user_id IS NOT DISTINCT FROM r.user_id)
+    SELECT user_id, event_id, accepted FROM r"""
+
+
+@query(_LIMIT_SQL)
 def rate_limit(spark, sf):
     return fold.ordered_fold(_hits(spark, sf), ["user_id"], ["at", "event_id"], ["event_id", "at"], "event_id long, accepted boolean", fold.sliding_limit(2, 6 * 3600.0))
 
 
-@query()
+@query(_LIMIT_SQL)
 def stream_limit(spark, sf):
     """The same limits kept by a stream over the events, drained."""
     stream = spark.readStream.schema(table(spark, sf, "events").schema).parquet(f"{sf}/events.parquet*")
@@ -670,6 +698,38 @@ def stream_dedup(spark, sf):
     return spark.read.schema("content_hash string, ts timestamp").parquet(out).groupBy("content_hash").agg(F.count("*").alias("n"))
 
 
+@query("SELECT upper(trim(subject_code)) AS code, 1 AS times FROM papers WHERE status = 'approved' AND subject_code IS NOT NULL GROUP BY 1")
+def publish_stream(spark, sf):
+    """Publish jobs of live papers through a stream: a subject is published once, however many jobs name it."""
+    schema = table(spark, sf, "papers").schema
+    jobs = spark.readStream.schema(schema).parquet(f"{sf}/papers.parquet*").filter("status = 'approved' and subject_code is not null").select(F.upper(F.trim("subject_code")).alias("code"))
+    out = work_path(spark, "published")
+    ingest.publishes(jobs, lambda codes: codes.write.mode("append").parquet(out), work_path(spark, "publishing")).awaitTermination()
+    return spark.read.schema("code string").parquet(out).groupBy("code").agg(F.count("*").cast("int").alias("times"))
+
+
+@query("""WITH o AS (SELECT id, CASE id % 4 WHEN 0 THEN 'approve' WHEN 1 THEN 'reject' WHEN 2 THEN 'reprocess' END AS action FROM papers),
+    a AS (SELECT p.id, p.status, p.session_key, o.action, coalesce((o.action = 'approve' AND p.status IN ('review', 'awaiting_confirmation')) OR (o.action = 'reject' AND p.status IN ('review', 'awaiting_confirmation', 'processing', 'failed'))
+            OR (o.action = 'reprocess' AND p.status IN ('review', 'rejected', 'failed')), false) AS ok FROM papers p JOIN o ON o.id = p.id),
+    r AS (SELECT *, CASE WHEN action IS NULL THEN NULL WHEN NOT ok THEN 'state'
+            WHEN action = 'approve' AND session_key IS NOT NULL AND (EXISTS (SELECT 1 FROM a b WHERE b.session_key = a.session_key AND b.status = 'approved')
+              OR a.id > (SELECT min(b.id) FROM a b WHERE b.session_key = a.session_key AND b.ok AND b.action = 'approve')) THEN 'session' END AS refused FROM a)
+    SELECT id, CASE WHEN action IS NOT NULL AND refused IS NULL THEN CASE action WHEN 'approve' THEN 'approved' WHEN 'reject' THEN 'rejected' ELSE 'processing' END ELSE status END AS status,
+      CASE WHEN action = 'reject' AND refused IS NULL THEN NULL ELSE session_key END AS session_key, refused FROM r""")
+def review_actions(spark, sf):
+    """Approve, reject and reprocess with their guards, one order for three papers of four."""
+    papers = table(spark, sf, "papers")
+    turn = F.col("id") % 4
+    orders = papers.select("id", F.when(turn == 0, "approve").when(turn == 1, "reject").when(turn == 2, "reprocess").alias("action")).filter("action is not null")
+    return lifecycle.reviewed(papers, orders)
+
+
+@query("SELECT id, substring(trim(regexp_replace(text, '[\\s\\p{Z}]+', ' ', 'g')), 1, 2000) AS text FROM sub_questions")
+def normal_texts(spark, sf):
+    """Question texts as they are stored: white space collapsed, at most 2,000 characters."""
+    return table(spark, sf, "sub_questions").select("id", F.substring(F.trim(F.regexp_replace("text", r"[\s\p{Z}]+", " ")), 1, 2_000).alias("text"))
+
+
 # ---------------------------------------------------------------- browsing
 
 
@@ -680,7 +740,7 @@ def search(spark, sf):
 
 @query(f"SELECT {_BRANCH_SQL} AS branch, count(*) AS n FROM (SELECT *, {_LETTERS_SQL} AS letters FROM subjects) GROUP BY 1")
 def branch_facet(spark, sf):
-    return table(spark, sf, "subjects").groupBy(C.branch_of(F.col("code")).alias("branch")).agg(F.count("*").alias("n"))
+    return table(spark, sf, "subjects").groupBy(C.branch_of(F.col("code")).alias("branch")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "branch")
 
 
 @query("""WITH s(status) AS (VALUES ('processing'), ('awaiting_confirmation'), ('review'), ('approved'), ('rejected'), ('failed'), ('withdrawn')) SELECT s.status, count(p.id) AS n FROM s LEFT JOIN papers p ON p.status = s.status GROUP BY s.status
@@ -751,10 +811,64 @@ def session_span(spark, sf):
     return dated.groupBy("subject_code").agg(F.min_by("id", F.struct("exam_year", "id")).alias("first_id"), F.max_by("id", F.struct(F.col("exam_year"), -F.col("id"))).alias("last_id"))
 
 
-@query()
+_FAMILY_SQL = f"""fam AS (SELECT id AS topic_id, upper(trim(subject_code)) AS subject, module_no,
+    list_extract(list_filter(regexp_split_to_array(lower(regexp_replace(label, '^(?i:{'|'.join(X.VERBS)})\\s+', '')), '[^\\p{{L}}\\p{{N}}]+'), lambda w: length(w) > 2 AND NOT list_contains([{_STOP_SQL}], w)), 1) AS family
+    FROM topics WHERE subject_code IS NOT NULL)"""
+
+
+@query(f"""WITH {_FAMILY_SQL}, nb AS (SELECT topic_id AS a, lead(topic_id) OVER w AS b, family AS f, lead(family) OVER w AS g FROM fam WINDOW w AS (PARTITION BY subject, module_no ORDER BY topic_id))
+    SELECT a, b, CAST(CASE WHEN f = g THEN 0.6 ELSE 0.15 END AS DOUBLE) AS weight FROM nb WHERE b IS NOT NULL""")
 def graph_edges(spark, sf):
-    topics = table(spark, sf, "topics").select(F.col("id").alias("topic_id"), F.upper(F.trim("subject_code")).alias("subject"), "module_no", "label").filter("subject is not null")
-    return browse.edges(topics)
+    """Neighbours within a module, weighted by whether they are kin; ``graph_kin`` has all kin."""
+    return browse.edges(_graph_topics(spark, sf))
+
+
+@query(f"""WITH {_FAMILY_SQL} SELECT subject, topic_id, family, min(topic_id) OVER f AS first, count(*) OVER f - 1 AS kin FROM fam WHERE family IS NOT NULL WINDOW f AS (PARTITION BY subject, family)""")
+def graph_kin(spark, sf):
+    """Every topic's label family: all topics of a subject with the same ``first`` are kin (0.6), as one row per topic instead of all pairs."""
+    return browse.family_members(_graph_topics(spark, sf))
+
+
+def _graph_topics(spark, sf):
+    return table(spark, sf, "topics").select(F.col("id").alias("topic_id"), F.upper(F.trim("subject_code")).alias("subject"), "module_no", "label").filter("subject is not null")
+
+
+@query(f"WITH {_SCORES_SQL}, {_STUDIED_SQL} SELECT subject, module_no, count(*) AS topics, count(*) FILTER (WHERE topic_id IN (SELECT topic_id FROM st)) AS studied FROM sc GROUP BY subject, module_no")
+def studied_counts(spark, sf):
+    """Topics of each module, and how many of them were studied."""
+    seen = _scores(spark, sf).select("subject", "module_no", "topic_id").join(_studied(spark, sf).withColumn("seen", F.lit(True)), "topic_id", "left")
+    return seen.groupBy("subject", "module_no").agg(F.count("*").alias("topics"), F.count("seen").alias("studied"))
+
+
+@query(f"SELECT DISTINCT CAST(nullif(regexp_extract(code, '^B([A-Z]+?)L?([0-9])([0-9]{{2}})[A-Z]?$', 2), '') AS INTEGER) AS semester FROM subjects WHERE regexp_extract(code, '^B([A-Z]+?)L?([0-9])([0-9]{{2}})[A-Z]?$', 2) <> '' ORDER BY 1")
+def semesters(spark, sf):
+    return table(spark, sf, "subjects").select(C.semester_of(F.col("code")).alias("semester")).filter("semester is not null").distinct().orderBy("semester")
+
+
+@query("""SELECT upper(trim(subject_code)) AS subject, CASE WHEN min(exam_year) IS NULL THEN '' WHEN min(exam_year) = max(exam_year) THEN CAST(min(exam_year) AS VARCHAR) ELSE concat(min(exam_year), '–', max(exam_year)) END AS years,
+    concat(count(*), CASE WHEN count(*) = 1 THEN ' paper' ELSE ' papers' END) AS papers FROM papers WHERE status = 'approved' GROUP BY 1""")
+def subject_lines(spark, sf):
+    """Years and number of papers of each subject as readers see them."""
+    live = table(spark, sf, "papers").filter("status = 'approved'").groupBy(F.upper(F.trim("subject_code")).alias("subject")).agg(F.min("exam_year").alias("low"), F.max("exam_year").alias("high"), F.count("*").alias("n"))
+    return live.select("subject", browse.year_range(F.col("low"), F.col("high")).alias("years"), browse.counted(F.col("n"), "paper").alias("papers"))
+
+
+@query("""SELECT id, CASE WHEN n > 10 THEN 'too many files' WHEN NOT coalesce(ends_with(lower(filename), '.pdf'), false) THEN 'not a pdf' WHEN page_count * 2000000 > 10485760 THEN 'too large' END AS refused
+    FROM (SELECT *, row_number() OVER (PARTITION BY uploader_hash, CAST(created_at AS DATE) ORDER BY created_at, id) AS n FROM papers)""")
+def upload_precheck(spark, sf):
+    """What is refused before it is sent: more than ten files of an uploader and day, other files, large ones (2 MB a page)."""
+    number = F.row_number().over(Window.partitionBy("uploader_hash", F.to_date("created_at")).orderBy("created_at", "id"))
+    return table(spark, sf, "papers").select("id", browse.upload_refusal(F.col("filename"), F.col("page_count") * 2_000_000, number).alias("refused"))
+
+
+@query("""WITH n AS (SELECT subject_code AS code, count(*) AS papers, max(updated_at) AS changed FROM papers WHERE status = 'approved' GROUP BY 1)
+    SELECT s.code, CAST(row_number() OVER (ORDER BY n.changed DESC NULLS LAST, s.code) AS BIGINT) AS place FROM subjects s LEFT JOIN n ON n.code = s.code""")
+def cards_by_change(spark, sf):
+    """Subject cards, the last changed first, with their place."""
+    counts = table(spark, sf, "papers").filter("status = 'approved'").groupBy(F.col("subject_code").alias("code")).agg(F.count("*").alias("papers"), F.max("updated_at").alias("changed"))
+    cards = browse.ordered_cards(table(spark, sf, "subjects").select("code").join(counts, "code", "left"), "changed")
+    # the catalogue is a fixed list
+    return cards.select("code", F.row_number().over(Window.orderBy(F.desc_nulls_last("changed"), "code")).cast("long").alias("place"))
 
 
 @query(f"WITH {_SCORES_SQL} SELECT topic_id, 7 + 20 * share AS radius, total > 1 AND expected >= 0.5 AS worth, CAST(floor(expected + 0.5) AS BIGINT) AS marks FROM sc")
@@ -775,6 +889,6 @@ def upload_status(spark, sf):
 
 
 @query("""SELECT id, CASE status WHEN 'approved' THEN 'This paper is already published.' WHEN 'rejected' THEN 'This file was reviewed and rejected.' ELSE 'This file is already being processed.' END AS message,
-    CASE WHEN page_count < 1 THEN 'empty' WHEN page_count > 6 THEN 'too many pages' END AS guard, sha256(upload_token_hash) AS token FROM papers""")
+    CASE WHEN pdf_type IS NULL THEN 'encrypted' WHEN page_count < 1 THEN 'empty' WHEN page_count > 6 THEN 'too many pages' WHEN question_count * 60 > 2000 THEN 'page too large' END AS guard, sha256(upload_token_hash) AS token FROM papers""")
 def upload_answers(spark, sf):
-    return table(spark, sf, "papers").select("id", lifecycle.duplicate_message(F.col("status")).alias("message"), lifecycle.page_guard(F.lit(False), F.col("page_count"), F.lit(800)).alias("guard"), F.sha2("upload_token_hash", 256).alias("token"))
+    return table(spark, sf, "papers").select("id", lifecycle.duplicate_message(F.col("status")).alias("message"), lifecycle.page_guard(F.col("pdf_type").isNull(), F.col("page_count"), F.col("question_count") * 60).alias("guard"), F.sha2("upload_token_hash", 256).alias("token"))

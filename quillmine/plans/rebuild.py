@@ -8,7 +8,9 @@ from pyspark.sql import functions as F
 from quillmine.functions import text as X
 from quillmine.functions import vectors as V
 from quillmine.operators import cluster, fold, labels, scoring
+from quillmine.plans import snapshot
 from quillmine.session import materialize
+from quillmine.sources import tables
 
 SHORTEST = 12
 
@@ -55,3 +57,29 @@ def carried(topics: DataFrame, members: DataFrame, previous: DataFrame) -> DataF
     new = labels.topic_labels(members.join(keys.filter("old_label is null").select(*topic), topic), topic)
     label = X.clean_label(F.coalesce("old_label", "label"))
     return topics.drop("own", "first_id").join(keys, topic).join(new, topic, "left").withColumn("label", label).drop("old_label")
+
+
+def published(questions: DataFrame, papers: DataFrame, previous: DataFrame, year: int = 2025, threshold: float = 0.7) -> tuple[DataFrame, DataFrame]:
+    """(documents, topics) of all subjects with live papers: questions to clusters, scores, ranks, claimed keys, labels, ladders and documents.
+
+    Topics are named by their keys.  ``previous``: former links of questions to keys and labels.
+    """
+    topics, members = topics_of(questions, papers, threshold, year=year)
+    topics, members = materialize(topics, "topics"), materialize(members, "members")
+    total = papers.filter("status = 'approved'").groupBy(F.upper(F.trim("subject_code")).alias("subject")).agg(F.count("*").alias("total"))
+    keyed = carried(topics, members, previous).join(total, "subject")
+    share = F.col("frequency") / F.col("total")
+    ranks = keyed.withColumn("share", share).withColumn("expected", scoring.half_up(share * F.col("avg_marks"), 2)).withColumn("topic_id", F.col("stable_key"))
+    ranks = materialize(ranks, "ranks")
+    live = papers.filter("status = 'approved'").select(F.col("id").alias("paper_id"), "exam_year")
+    asked = questions.select(F.col("id").cast("long").alias("sub_question_id"), "paper_id", "marks")
+    met = members.join(ranks.select("subject", "module_no", "cluster", "topic_id"), ["subject", "module_no", "cluster"]).select("topic_id", "sub_question_id", "text")
+    met = met.join(asked, "sub_question_id").join(live, "paper_id")
+    return snapshot.snapshots(met, ranks, papers), ranks
+
+
+def publish(documents: DataFrame, papers: DataFrame, folder: str) -> None:
+    """Replace the documents of the subjects in hand, and remove those of subjects without a live paper."""
+    tables.write_snapshots(documents, folder)
+    live = papers.filter("status = 'approved'").select(F.upper(F.trim("subject_code")).alias("subject"))
+    tables.keep_subjects(documents.sparkSession, folder, live.distinct())

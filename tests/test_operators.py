@@ -165,7 +165,8 @@ def test_ladder_and_ranks(spark):
     df = spark.createDataFrame(rows, "subject string, module_no int, topic_id int, total int, share double, avg_marks double, weighted_score double, expected double, label string, representative_text string, frequency int")
     ranks = scoring.ranked(df)
     assert [r["topic_id"] for r in ranks.orderBy("rank_no").collect()] == [2, 1, 3, 4, 5]
-    export = [tuple(r)[2:] for r in scoring.ladder(ranks, 30.0, 2).orderBy("rank_no").collect()]
+    assert [r["label"] for r in scoring.ladder(ranks.withColumn("label", F.when(F.col("rank_no") > 1, "  ")), 30.0, 2).orderBy("rank_no").collect()] == ["text 2", "text 1", "text 3", "text 4"]
+    export = [tuple(r)[2:] for r in scoring.ladder(ranks, 30.0, 2).drop("label").orderBy("rank_no").collect()]
     assert export == [(1, 2, 8.0, 8.0, False), (2, 1, 9.0, 17.0, False), (3, 3, 7.0, 20.0, True), (4, 4, 6.0, 20.0, True)]
     assert scoring.ladder(ranks, 20.0, 1).count() == 3
     sheet = scoring.sheet_rows(ranks, scoring.ladder(ranks, 30.0, 2)).orderBy("rank_no").collect()
@@ -255,10 +256,69 @@ def test_life_cycle(spark):
 
 def test_browsing(spark):
     topics = spark.createDataFrame([(1, "S", 1, "Paging Unit", 9.4), (2, "S", 1, "Routing", 8.0), (3, "S", 2, "Paging Table", 5.0)], "topic_id int, subject string, module_no int, label string, expected double")
-    assert sorted(map(tuple, browse.edges(topics).collect())) == [(1, 2, 0.15), (1, 3, 0.6)]
+    assert sorted(map(tuple, browse.edges(topics).collect())) == [(1, 2, 0.15)]
+    assert sorted((r["topic_id"], r["first"], r["kin"]) for r in browse.family_members(topics).collect()) == [(1, 1, 1), (2, 2, 0), (3, 1, 1)]
     studied = spark.createDataFrame([(1,), (2,), (9,)], "topic_id int")
     assert [tuple(r) for r in browse.coverage(topics, studied, 16.0).collect()] == [("S", 1, 16)]
-    assert {r["family"]: r["topics"] for r in browse.family_pairs(topics).collect()} == {"paging": 2, "routing": 1}
+    shown = spark.createDataFrame([(2020, 2024, 1), (2024, 2024, 2), (None, None, 0)], "a int, b int, n int")
+    assert [tuple(r) for r in shown.select(browse.year_range(F.col("a"), F.col("b")), browse.counted(F.col("n"), "paper")).collect()] == [("2020–2024", "1 paper"), ("2024", "2 papers"), ("", "0 papers")]
+    chosen = spark.createDataFrame([("a.PDF", 5, 1), ("a.txt", 5, 2), (None, 5, 3), ("b.pdf", 99 << 20, 4), ("c.pdf", 5, 11)], "f string, s int, n int")
+    assert [r[0] for r in chosen.select(browse.upload_refusal(F.col("f"), F.col("s"), F.col("n"))).collect()] == [None, "not a pdf", "not a pdf", "too large", "too many files"]
+    cards = spark.createDataFrame([("B", 1, 5), ("A", 1, None), ("C", 3, 4)], "code string, papers int, changed int")
+    assert [[r["code"] for r in browse.ordered_cards(cards, by).collect()] for by in ("papers", "changed", "code")] == [["C", "A", "B"], ["B", "C", "A"], ["A", "B", "C"]]
+
+
+def test_review_edit_and_jobs(spark):
+    papers = spark.createDataFrame(
+        [(1, "review", "k", None), (2, "review", "k", None), (3, "approved", "m", None), (4, "review", "m", None), (5, "rejected", None, None), (6, "approved", None, None), (7, None, None, None)],
+        "id int, status string, session_key string, status_reason string",
+    )
+    orders = spark.createDataFrame([(1, "approve"), (2, "approve"), (4, "approve"), (5, "reprocess"), (6, "reject"), (7, "reject")], "id int, action string")
+    got = {r["id"]: tuple(r)[1:] for r in lifecycle.reviewed(papers, orders).collect()}
+    assert got == {1: ("approved", "k", None), 2: ("review", "k", "session"), 3: ("approved", "m", None), 4: ("review", "m", "session"), 5: ("processing", None, None), 6: ("approved", None, "state"), 7: (None, None, "state")}
+    jobs = spark.createDataFrame([(1, "process", "boom"), (3, "publish", "boom"), (4, "match", None)], "id int, job string, error string")
+    assert {r["id"]: (r["status"], r["status_reason"]) for r in lifecycle.after_jobs(papers, jobs).collect() if r["id"] in (1, 3, 4)} == {1: ("failed", "boom"), 3: ("approved", None), 4: ("review", None)}
+    known = papers.selectExpr("id", "status", "session_key", "'A' as subject_code", "2020 as exam_year", "'May' as exam_month", "'see' as paper_type")
+    edits = spark.createDataFrame([(1, "B", 2024, "July", "see"), (3, "B", 2024, "July", "see")], "id int, subject_code string, exam_year int, exam_month string, paper_type string")
+    after = {r["id"]: (r["subject_code"], r["session_key"]) for r in lifecycle.edited(known, edits, F.concat_ws(":", "subject_code", "exam_year")).collect()}
+    assert after[1] == ("B", "B:2024") and after[3] == ("A", "m") and after[2] == ("A", "k")
+
+
+def test_upload_check_and_keyed_hash(spark):
+    pdf = b"%PDF-1"
+    rows = [(pdf, 6, False, True), (pdf, 6, True, True), (pdf, 6, False, False), (pdf, 99 << 20, False, True), (b"x", 1, False, True), (None, None, False, True)]
+    df = spark.createDataFrame(rows, "c binary, n long, blocked boolean, within boolean")
+    assert [r[0] for r in df.select(lifecycle.upload_check(F.col("c"), F.col("n"), F.col("blocked"), F.col("within"))).collect()] == [None, "blocked", "too often", "too large", "not a pdf", "not a pdf"]
+    hashes = [r[0] for r in spark.createDataFrame([("10.0.0.1",), ("10.0.0.2",), (None,)], "a string").select(lifecycle.keyed_hash("s")(F.col("a"))).collect()]
+    assert len(hashes[0]) == 16 and hashes[0] != hashes[1] and hashes[2] is None
+
+
+def test_rebuild_to_documents(spark, tmp_path):
+    """Questions to published documents; keys survive a replaced paper, and a subject without live papers goes."""
+    stems = ["explain the paging unit and its page table", "describe the routing protocol of the network layer", "derive the normal form of the relation schema", "discuss the scheduling of processes with priorities", "compare the stack and the heap of a program"]
+    papers = [(p, s, "approved", 2020 + p, "January", "see") for p, s in ((1, "AAA"), (2, "AAA"), (3, "BBB"))]
+    asked = [(10 * p + k, p, 1 + k % 5, f"{stem} {'in detail' if p == 2 else ''}", 8, 1, "a") for p, *_ in papers for k, stem in enumerate(stems)]
+    kinds = "id int, paper_id int, module_no int, text string, marks int, q_no int, sub_q string"
+    questions, names = spark.createDataFrame(asked, kinds), "id int, subject_code string, status string, exam_year int, exam_month string, paper_type string"
+    nothing = spark.createDataFrame([], "sub_question_id long, stable_key string, label string")
+    documents, topics = rebuild.published(questions, spark.createDataFrame(papers, names), nothing, 2025)
+    folder = str(tmp_path / "docs")
+    rebuild.publish(documents, spark.createDataFrame(papers, names), folder)
+    said = {r["subject"]: json.loads(r["data"]) for r in spark.read.parquet(folder).collect()}
+    assert said.keys() == {"AAA", "BBB"} and [s["id"] for s in said["AAA"]["sessions"]] == [2, 1]
+    assert len(said["AAA"]["modules"]) == 5 and all(m["topics"][0]["label"] for m in said["AAA"]["modules"])
+    before = {r["stable_key"] for r in topics.filter("subject = 'AAA'").collect()}
+
+    # paper 2 is replaced by paper 4, and the only paper of the other subject is rejected
+    links = questions.join(topics.select("subject", "module_no", "stable_key", F.lit("Kept Label").alias("label")), "module_no").filter("subject = 'AAA' and paper_id < 3").select(F.col("id").cast("long").alias("sub_question_id"), "stable_key", "label")
+    papers = [papers[0], (2, "AAA", "rejected", 2022, "January", "see"), (3, "BBB", "rejected", 2023, "January", "see"), (4, "AAA", "approved", 2024, "July", "see")]
+    more = spark.createDataFrame([(40 + k, 4, 1 + k % 5, stem, 8, 1, "a") for k, stem in enumerate(stems)], kinds)
+    live = spark.createDataFrame(papers, names)
+    documents, topics = rebuild.published(questions.unionByName(more), live, links, 2025)
+    rebuild.publish(documents, live, folder)
+    assert {r["subject"] for r in spark.read.parquet(folder).collect()} == {"AAA"}
+    after = {r["stable_key"] for r in topics.collect()}
+    assert len(before & after) * 2 >= len(before) and {r["label"] for r in topics.collect() if r["stable_key"] in before} == {"Kept Label"}
 
 
 # ------------------------------------------------------------- sources and sinks
@@ -271,6 +331,11 @@ def test_sources(spark, tmp_path):
     files = tables.read_files(spark, str(tmp_path))
     assert sorted(r["filename"] for r in files.select("filename").collect()) == ["a.pdf", "b.pdf"]
     read = lambda b: [[b.decode()[6:], None], ["", " "]]
+    def fails(b):
+        raise OSError("no such font")
+
+    broken = {r["failed"] for r in tables.extract_rows(files, fails, fails).collect()}
+    assert broken == {"native: OSError: no such font; scanned: OSError: no such font"}
     rows = tables.extract_rows(files, read, lambda b: [["seen", "by scan"]]).collect()
     assert sorted((r["pdf_type"], len(r["cells"])) for r in rows) == [("native", 2), ("scanned", 2)]
     (tmp_path / "cat.yaml").write_text("# head\nbcs501: Software Engineering\nBCS502: \"Computer: Networks\"  # note\n\n")
@@ -279,6 +344,15 @@ def test_sources(spark, tmp_path):
     assert [r["cells"] for r in tables.header_rows(pages, 2).collect()] == [["x"], ["y"]]
     tables.write_store(files, str(tmp_path / "store"))
     assert spark.read.parquet(str(tmp_path / "store")).count() == 2
+    store, kept = str(tmp_path / "store"), {r["filename"]: r["content_hash"] for r in files.collect()}
+    assert tables.get_stored(spark, store, kept["b.pdf"]) == b"%PDF-scan" and tables.get_stored(spark, store, "0" * 64) is None
+    with pytest.raises(ValueError):
+        tables.get_stored(spark, store, "../" + kept["b.pdf"])
+    tables.delete_stored(spark, store, spark.createDataFrame([(kept["b.pdf"],), ("x",)], "content_hash string"))
+    assert tables.get_stored(spark, store, kept["b.pdf"]) is None and tables.get_stored(spark, store, kept["a.pdf"]) is not None
+    first = spark.createDataFrame([(1, None, None, "May", None), (2, "BCS501", None, None, None), (3, None, None, None, None)], "paper_id int, code string, name string, month string, year int")
+    second = spark.createDataFrame([(1, "BCS502", "Networks", "June", 2024), (2, "X", "Y", "July", 2020)], "paper_id int, code string, name string, month string, year int")
+    assert sorted(map(tuple, tables.merged_headers(first, second).collect())) == [(1, "BCS502", "Networks", "May", 2024), (2, "BCS501", None, None, None), (3, None, None, None, None)]
     assert tables.stretch(np.array([[0, 10, 20], [30, 200, 255]]), 0).tolist() == [[0, 10, 20], [30, 200, 255]]
 
 
