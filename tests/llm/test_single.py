@@ -244,7 +244,7 @@ def test_headers_recur(spark):
     """A line is a header if it recurs between different neighbours and isn't running text; a question set again is none."""
     rows = [(1, i, f"Explain tree {i}\nLine Of The House\nand memory {i}") for i in range(3)] + [(2, 10 + i, "Define Pudim and\nSikon Of Welkos\nwith a table") for i in range(3)]
     rows = [(p, i, t.replace("and memory", f"m{i} and")) for p, i, t in rows]
-    rows += [(3, 20 + i, f"Alone a{i}\nWith example define the tree\nb{i} switch") for i in range(3)]
+    rows += [(3, 20 + i, f"Alone a{i}\nWith example define the tree\nb{i} switch") for i in range(3)] + [(4, 30, "State why, with example define the tree.")]
     df = spark.createDataFrame([(*r, None, None) for r in rows], "paper_id int, id int, text string, code string, name string")
     clean = spark.createDataFrame([(t,) for t in CLEAN], "text string")
     assert {r["id"]: r["headers"] for r in scans.header_lines(df, clean).collect()} == {0: [1], 1: [1], 2: [1]}
