@@ -44,9 +44,10 @@ from quillmine.llm import similarity
 from quillmine.session import drop, materialize, qualified, remove_path, work_path
 
 WINDOW, MASK = 12, 31
-COVERED, LISTED = 4, 24
+COVERED, LISTED = 4, 8
 #: Chunks that one task looks up.
 ROWS_A_TASK = 250_000
+READ_IN = "spark.sql.files.minPartitionNum"
 #: Record of a byte chunk that is too frequent to have a list.
 MARK = -(2**63)
 #: Kinds of files: chunks of bytes, chunks of words, records, and the order of words.
@@ -75,11 +76,6 @@ def seen_hashes(papers: DataFrame) -> DataFrame:
     return rows.join(since, "digits").filter("batch > since").select("id")
 
 
-def stream_of(text: Column) -> Column:
-    """The words of a text in lower case, each with a blank behind it."""
-    return F.concat(F.trim(F.regexp_replace(F.lower(text), r"[^\p{L}\p{N}]+", " ")), F.lit(" "))
-
-
 def cut(texts: list[bytes], window: int = WINDOW, mask: int = MASK) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text number, chunk hash, bytes) of the content-defined chunks of texts.
 
@@ -186,11 +182,11 @@ def _emit(order: StoredOrder, tenths: int, buckets: int):
             held = similarity.entries(batch, order, tenths)
             held[2] = held[2] | np.where(np.isin(held[1], uid[accepted]), ACCEPTED, np.uint32(0))
             yield packed(WORDS, held)
-            words = similarity.coded_words(batch.column(2), order)
             _, first = np.unique(np.where(accepted, uid, MARK), return_index=True)
             kept = first[accepted[first]]
             if len(kept):
-                records = pa.table([batch.column(0), batch.column(5), *words], names=["uid", "uid2", "known", "rest"]).take(pa.array(kept))
+                took = batch.take(pa.array(kept))
+                records = pa.table([took.column(0), took.column(5), *similarity.coded_words(took.column(2), order)], names=["uid", "uid2", "known", "rest"])
                 where = bucket_of(uid[kept], buckets)
                 names = np.unique(where)
                 blocks = [_ipc(records.take(pa.array(np.flatnonzero(where == b)))) for b in names.tolist()]
@@ -247,44 +243,56 @@ def _chunks_table(kind: int, held: list[np.ndarray]) -> pa.Table:
     return pa.table({"chunk": chunk, "uid": uid, "size": size, "sketch": more})
 
 
-def _shared_bytes(held: list[np.ndarray], old: pa.Table) -> list[np.ndarray]:
-    """(new, old, bytes, whole): the bytes that pairs share within a bucket."""
-    chunk, own, size, whole = held
-    kept, uid = old.column("chunk").to_numpy(), old.column("uid").to_numpy()
-    by = np.lexsort((uid, kept))
-    by = by[np.r_[True, (kept[by][1:] != kept[by][:-1]) | (uid[by][1:] != uid[by][:-1])][: len(by)]]
-    kept, uid = kept[by], uid[by]
-    first = np.flatnonzero(np.r_[True, kept[1:] != kept[:-1]][: len(kept)])
-    length = np.diff(np.r_[first, len(kept)])
-    # a mark, the least of all handles, stands first
-    live = np.repeat((length <= LISTED) & (uid[first] != MARK), length)
-    kept, uid = kept[live], uid[live]
-    i, j = _met(chunk, kept)
-    a, b, size, whole = own[i], uid[j], (size[i] & np.uint32(similarity.MOST_WORDS)).astype(np.int64), whole[i].astype(np.int64)
-    by = np.lexsort((b, a))
-    a, b, size, whole = a[by], b[by], size[by], whole[by]
+def _shared_bytes(held: list[np.ndarray], old: list[pa.Table]) -> list[np.ndarray]:
+    """(new, old, bytes, whole): the bytes that pairs share within a bucket, whose files are each sorted by chunk."""
+    by = np.argsort(held[0], kind="stable")
+    chunk, own, size, whole = (x[by] for x in held)
+    spans, length, dead = [], np.zeros(len(chunk), np.int64), np.zeros(len(chunk), bool)
+    for table in old:
+        kept, uid = table.column("chunk").to_numpy(), table.column("uid").to_numpy()
+        low, high = np.searchsorted(kept, chunk, "left"), np.searchsorted(kept, chunk, "right")
+        # a mark, the least of all handles, stands first
+        dead |= (high > low) & (uid[np.minimum(low, len(uid) - 1)] == MARK)
+        length += high - low
+        spans.append((uid, low, high - low))
+    live = ~dead & (length <= LISTED)
+    rows, theirs = [], []
+    for uid, low, times in spans:
+        times = np.where(live, times, 0)
+        i = np.repeat(np.arange(len(chunk)), times)
+        rows.append(i)
+        theirs.append(uid[np.arange(len(i)) - np.repeat(np.cumsum(times) - times, times) + np.repeat(low, times)])
+    i, b = np.concatenate(rows), np.concatenate(theirs)
+    a = own[i]
+    by = np.lexsort((i, b, a))
+    i, a, b = i[by], a[by], b[by]
+    # a record that was accepted twice has its chunks in two files
+    once = np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1]) | (chunk[i][1:] != chunk[i][:-1])][: len(a)]
+    i, a, b = i[once], a[once], b[once]
     first = np.flatnonzero(np.r_[True, (a[1:] != a[:-1]) | (b[1:] != b[:-1])][: len(a)])
-    return [a[first], b[first], np.add.reduceat(size, first) if len(first) else size, whole[first]]
+    bytes_ = (size[i] & np.uint32(similarity.MOST_WORDS)).astype(np.int64)
+    return [a[first], b[first], np.add.reduceat(bytes_, first) if len(first) else bytes_, whole[i[first]].astype(np.int64)]
 
 
-def _shared_words(held: list[np.ndarray], old: pa.Table, tenths: int) -> list[np.ndarray]:
+def _shared_words(held: list[np.ndarray], old: list[pa.Table], tenths: int) -> list[np.ndarray]:
     """(new, old, 0, 0): pairs that share a chunk of words and may be alike by their sizes and sketches."""
-    kept = old.column("chunk").to_numpy()
-    by = np.argsort(kept, kind="stable")
-    kept, uid, size, sketch = kept[by], *(old.column(c).to_numpy()[by] for c in ("uid", "size", "sketch"))
-    chunk, a, own, drawn = held
-    longest = int(np.diff(np.flatnonzero(np.r_[True, kept[1:] != kept[:-1], True])).max()) if len(kept) else 1
-    step, out = max(1, similarity.PAIRS_AT_ONCE // longest), []
+    by = np.argsort(held[0], kind="stable")
+    chunk, a, own, drawn = (x[by] for x in held)
     most, late_flag = np.uint32(similarity.MOST_WORDS), np.uint32(similarity.LATE << 24)
-    for k in range(0, len(chunk), step):
-        i, j = _met(chunk[k : k + step], kept)
-        i += k
-        n, m = own[i] & most, size[j] & most
-        late, late2 = own[i] & late_flag != 0, size[j] & late_flag != 0
-        keep = similarity.alike_in_size(n, m, drawn[i], sketch[j], tenths)
-        keep &= ~(late & late2) & (~late | (n > m) | (n == most)) & (~late2 | (m > n) | (m == most))
-        if keep.any():
-            out.append(np.stack([a[i[keep]], uid[j[keep]]], axis=1))
+    out = []
+    for table in old:
+        kept, uid, size, sketch = (table.column(c).to_numpy() for c in ("chunk", "uid", "size", "sketch"))
+        longest = int(np.diff(np.flatnonzero(np.r_[True, kept[1:] != kept[:-1], True])).max()) if len(kept) else 1
+        step = max(1, similarity.PAIRS_AT_ONCE // longest)
+        for k in range(0, len(chunk), step):
+            i, j = _met(chunk[k : k + step], kept)
+            i += k
+            n, m = own[i] & most, size[j] & most
+            late, late2 = own[i] & late_flag != 0, size[j] & late_flag != 0
+            keep = similarity.alike_in_size(n, m, drawn[i], sketch[j], tenths)
+            keep &= ~(late & late2) & (~late | (n > m) | (n == most)) & (~late2 | (m > n) | (m == most))
+            if keep.any():
+                out.append(np.stack([a[i[keep]], uid[j[keep]]], axis=1))
     pairs = similarity._distinct(np.concatenate(out)) if out else [np.empty(0, np.int64)] * 2
     return [*pairs, np.zeros(len(pairs[0]), np.int64), np.zeros(len(pairs[0]), np.int64)]
 
@@ -312,8 +320,8 @@ def _look_up(folder: str, at: dict[str, list[str]], tenths: int, read):
                 continue
             new = similarity._unpack(held, PACKED[kind])
             if names := at.get(f"{kind}-{bucket}"):
-                old = _read_files(folder, names)
-                read.add(old.num_rows)
+                old = [_read_files(folder, [name]).combine_chunks() for name in names]
+                read.add(sum(x.num_rows for x in old))
                 yield rows(kind, bucket, _shared_bytes(new, old) if kind == BYTES else _shared_words(new, old, tenths))
             own = new[2] & ACCEPTED != 0
             if own.any():
@@ -389,10 +397,16 @@ class History:
         tasks = min(buckets, 1 + 20 * n // ROWS_A_TASK)
         blocks = new.select("uid", "space", "words", "stream", "accepted", "uid2").mapInArrow(_emit(order, tenths, buckets), "bucket int, kind int, block binary")
         looked = blocks.repartitionById(tasks, F.col("bucket") % tasks).mapInArrow(_look_up(self.path, state["at"], tenths, self.read), _PAIRED)
-        paired = materialize(looked, "paired")
-        former = dict(state["at"])
-        pairs = self._candidates(paired, only)
-        seen = materialize(self._confirmed(pairs, new, order, former, buckets, n), "seen") if former else materialize(new.select("id").limit(0), "seen")
+        # a batch is read in as many tasks as it needs, not in one a file
+        least = self.spark.conf.get(READ_IN, None)
+        self.spark.conf.set(READ_IN, str(tasks))
+        try:
+            paired = materialize(looked, "paired")
+            former = dict(state["at"])
+            pairs = materialize(self._candidates(paired, only), "pairs")
+            seen = materialize(self._confirmed(pairs, new, order, former, buckets, n), "seen") if former else materialize(new.select("id").limit(0), "seen")
+        finally:
+            self.spark.conf.unset(READ_IN) if least is None else self.spark.conf.set(READ_IN, least)
         files = paired.filter("file is not null").select("kind", "bucket", "file").collect()
         drop(paired)
         if publish and files:
@@ -435,7 +449,8 @@ class History:
         tasks = min(buckets, 1 + n // ROWS_A_TASK)
         wanted = pairs.select("old").distinct().repartitionById(tasks, (F.pmod("old", F.lit(buckets)) % tasks).cast("int"))
         old = wanted.mapInArrow(fetch, "old long, known_b array<smallint>, rest_b array<bigint>")
-        mine = similarity.coded(new, order).dropDuplicates(["uid", "uid2"])
+        some = new.join(pairs.select(F.col("new").alias("uid")).distinct(), "uid", "left_semi")
+        mine = similarity.coded(some, order).dropDuplicates(["uid", "uid2"])
         mine = mine.select(F.col("uid").alias("new"), F.col("uid2").alias("new2"), F.col("known").alias("known_a"), F.col("rest").alias("rest_a"))
         sure = pairs.join(mine, "new").join(old, "old").filter(similarity.reaches(self.tenths)).select(F.col("new").alias("uid"), F.col("new2").alias("uid2")).distinct()
         return new.select("id", "uid", "uid2").join(sure, ["uid", "uid2"], "left_semi").select("id")
@@ -497,8 +512,7 @@ class History:
 
 def prepared(rows: DataFrame, *parts: str) -> DataFrame:
     """Rows (``id``, ``text``, ``accepted`` and the columns ``parts``) with names, words and stream, written once, in folders by ``parts``."""
-    flat = rows.select("id", "accepted", *parts, "text", stream_of(F.col("text")).alias("stream"), F.lit(0).alias("space"))
-    return similarity.hashed_rows(flat, parts=parts)
+    return similarity.hashed_rows(rows.select("id", "accepted", *parts, "text", F.lit(0).alias("space")), parts=parts, stream=True)
 
 
 def _make_folder(spark: SparkSession, folder: str) -> None:

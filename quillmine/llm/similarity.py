@@ -50,9 +50,8 @@ LEAST_WORDS = 8
 PAIRS_AT_ONCE = 1_000_000
 
 
-def word_hashes(text: Column) -> Column:
-    """Sorted distinct 64-bit hashes of the words of a text: runs of letters and digits in lower case."""
-    words = F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
+def word_hashes(words: Column) -> Column:
+    """Sorted distinct 64-bit hashes of words."""
     return F.array_sort(F.array_distinct(F.transform(words, lambda w: F.xxhash64(w))))
 
 
@@ -62,15 +61,22 @@ def levels(n_rows: int) -> tuple[int, int]:
     return int(ALONE_UP_TO * growth), int(PAIRED_UP_TO * growth)
 
 
-def hashed_rows(rows: DataFrame, least: int = LEAST_WORDS, parts: tuple[str, ...] = ()) -> DataFrame:
+def hashed_rows(rows: DataFrame, least: int = LEAST_WORDS, parts: tuple[str, ...] = (), stream: bool = False) -> DataFrame:
     """Rows (``space``, ``id``, ``text`` and more) with ``uid``, ``uid2`` and ``words`` for ``text``; rows with equal words have one uid.
 
-    Rows of different spaces are never compared.  The result is written in folders by ``parts``.
+    Rows of different spaces are never compared.  The result is written in folders by ``parts``;
+    with ``stream`` it has the words of the text in their order, too, each with a blank behind it.
     """
     kept = [c for c in rows.columns if c != "text"]
-    hashed = rows.filter(F.col("text").isNotNull()).select(*kept, word_hashes(F.col("text")).alias("words")).filter(F.size("words") >= least)
+    # runs of letters and digits in lower case; the words are taken once, so they go through a generator and not through several expressions
+    words = F.array_remove(F.split(F.lower("text"), r"[^\p{L}\p{N}]+"), "")
+    found = [word_hashes, *((lambda ws: F.concat(F.array_join(ws, " "), F.lit(" ")),) if stream else ())]
+    each = F.transform(F.array(words), lambda ws: F.struct(*(f(ws).alias(n) for f, n in zip(found, ("words", "stream"), strict=False))))
+    hashed = rows.filter(F.col("text").isNotNull()).select(*kept, F.explode(F.filter(each, lambda x: F.size(x["words"]) >= least)).alias("found"))
+    hashed = hashed.select(*kept, "found.*")
     # words recur, so a dictionary of a whole file's words pays
-    return materialize(hashed.select(*kept, F.xxhash64("space", "words").alias("uid"), F.xxhash64(F.lit("second"), "space", "words").alias("uid2"), "words"), "words", parts, **{"parquet.dictionary.page.size": str(16 << 20)})
+    uid = F.xxhash64("space", "words").alias("uid"), F.xxhash64(F.lit("second"), "space", "words").alias("uid2")
+    return materialize(hashed.select(*kept, *(["stream"] if stream else []), *uid, "words"), "words", parts, **{"parquet.dictionary.page.size": str(16 << 20)})
 
 
 def _pack(part: np.ndarray, parts: int, arrays: list[np.ndarray]) -> pa.RecordBatch:
