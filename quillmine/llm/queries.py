@@ -53,10 +53,10 @@ def _papers(spark: SparkSession, sf: str) -> DataFrame:
                       nullif(regexp_extract(lower(content_hash), '([0-9a-f]{{64}})[^0-9a-z]*$', 1), '') AS digits FROM papers),
     t AS (SELECT 0 AS space, id, text FROM sub_questions), {_NEAR_SQL},
     d AS (SELECT s.id, p.batch, p.accepted FROM sub_questions s JOIN p ON p.id = s.paper_id),
-    both AS (SELECT id_a AS new, id_b AS old FROM near UNION ALL SELECT id_b, id_a FROM near)
+    links AS (SELECT id_a AS later, id_b AS earlier FROM near UNION ALL SELECT id_b, id_a FROM near)
     SELECT 'paper' AS kind, id FROM p WHERE digits IS NOT NULL AND EXISTS (SELECT 1 FROM p q WHERE q.accepted AND q.digits = p.digits AND q.batch < p.batch)
     UNION ALL
-    SELECT DISTINCT 'sub_question', a.id FROM both JOIN d a ON a.id = both.new JOIN d b ON b.id = both.old WHERE b.accepted AND b.batch < a.batch""")
+    SELECT DISTINCT 'sub_question', a.id FROM links JOIN d a ON a.id = links.later JOIN d b ON b.id = links.earlier WHERE b.accepted AND b.batch < a.batch""")
 def p1_found(spark: SparkSession, sf: str) -> DataFrame:
     from quillmine.llm.history import seen_hashes, seen_texts
 
