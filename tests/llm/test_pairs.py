@@ -176,6 +176,21 @@ def test_history_by_words_alone(spark, monkeypatch, alone, listed):
     kept.drop()
 
 
+def test_history_grows_over_several_batches(spark):
+    """Where buckets with several files are cut into more, all is found as before."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(3_000)}" for _ in range(12))) for i in range(160)]
+    again = spark.createDataFrame([(1_000 + i, t if i % 2 else t.rsplit(" ", 1)[0]) for i, t in rows], "id long, text string")
+    df = spark.createDataFrame(rows, "id long, text string")
+    for bucket_rows, buckets in ((150, 64), (10**6, 16)):
+        kept = history.History.open(spark, work_path(spark, "history"), bucket_rows=bucket_rows)
+        for low in range(0, 160, 40):
+            kept.append(df.filter(F.col("id").between(low, low + 39)))
+        assert kept.state["buckets"] == buckets
+        assert sorted(r["id"] for r in kept.check(again).collect()) == [1_000 + i for i, _ in rows]
+        kept.drop()
+
+
 def test_history_reads_touched_buckets_only(spark):
     """A batch reads as much of a long history as of a short one."""
     rng = random.Random(1)
