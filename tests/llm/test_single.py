@@ -2,7 +2,9 @@
 
 import math
 import random
+from collections import Counter
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -291,3 +293,24 @@ def test_paragraphs():
     assert [len(p) for p in scans.paragraphs(lines)] == [2, 2]
     assert scans.paragraphs([]) == []
     assert len(scans.paragraphs(["A full line that ends with a stop."] * 5_000)) == 1
+
+
+def test_scan_words_and_edges_once(monkeypatch):
+    """Words split through tables are those of the pattern, triples those spelled out; a word's edges are made once."""
+    for text in ("Don't re-use_it: CO2 @ 5%\n-the END", "Größe naïve x²", "", "\x1c_a\x00b"):
+        assert scans.plain_words(text, scans.AS_WRITTEN) == scans.PLAIN.findall(text)
+        low = text.lower()
+        assert scans.plain_words(low, scans.IN_LOWER) == scans.PLAIN.findall(low)
+        if text.isascii():
+            assert scans.plain_words(text, scans.FOLDED) == scans.PLAIN.findall(low.translate(scans._FOLD_LETTERS))
+    words = ["banana", "the", "aaaa"]
+    rows = next(scans._count_triples(iter([pa.RecordBatch.from_arrays([pa.array([w])], names=["word"]) for w in words])))
+    got = {scans.SIGNS[t // 784] + scans.SIGNS[t // 28 % 28] + scans.SIGNS[t % 28]: n for t, n in zip(*(c.to_pylist() for c in rows.columns), strict=True)}
+    assert got == Counter(f"^{w}$"[i : i + 3] for w in words for i in range(len(w)))
+    made, edges = [], scans.word_edges
+    monkeypatch.setattr(scans, "word_edges", lambda *a: made.append(a[0]) or edges(*a))
+    lexicon = scans.Lexicon({"state": 50, "the": 90}, 1_000)
+    told = {"thcorem": {"theorem": (7, 0)}}
+    for _ in range(3):
+        assert scans.decode(scans.pieces_of("State the thcorem, the thcorem."), lexicon, told) == ("State the theorem, the theorem.", {"misread"})
+    assert made == ["thcorem"]
